@@ -35,19 +35,35 @@ def valid_day(y: Column, m: Column, d: Column) -> Column:
     return (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= days_in_month(y, m))
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    return F.when(valid_day(y, m, d), y * 10000 + m * 100 + d)
-
-
 def _pad(n: Column, width: int) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """Date of three digit texts, null when there is no such day.
+
+    The range tests come first because the cast itself answers an impossible month or day by catching an
+    exception; what is left for it to refuse are the 29th to 31st of short months.
+    """
+    text = F.concat(y, F.lit("-"), m, F.lit("-"), F.ltrim(d))
+    possible = m.try_cast("int").between(1, 12) & F.ltrim(d).try_cast("int").between(1, 31)
+    return F.when(possible, text.try_cast("date"))
+
+
+def _century(yy: Column) -> Column:
+    return F.concat(F.when(yy >= str(fixed.TWO_DIGIT_YEAR_PIVOT), F.lit("19")).otherwise(F.lit("20")), yy)
+
+
 def date_stages(s: Column, tmp: str) -> list[dict[str, Column]]:
     """Columns to add, stage by stage, to parse the stripped text ``s``.
 
     The last stage leaves ``{tmp}iso`` (null when nothing parsed) and ``{tmp}num`` (the text was an epoch).
     Stages keep each regex and each part evaluated once; later stages refer to earlier columns by name.
+
+    The formats are tried in a fixed order, yet hardly ever is more than one attempt needed. With the year
+    last and slashes, month first wins whenever the first number can be a month: if that month lacks the day,
+    the day is above 28 and cannot be a month in its turn. With dashes and a two-digit year the same holds for
+    day first. Only ``yy-m-d`` may fail and still leave a chance to ``d-m-yy``.
     """
 
     def t(name: str) -> Column:
@@ -67,74 +83,83 @@ def date_stages(s: Column, tmp: str) -> list[dict[str, Column]]:
     def part(i: int) -> Column:
         return F.get(t("parts"), F.lit(i))
 
-    month_word = F.lower(F.get(t("named"), F.lit(1)))
-    months = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(fixed.MONTH_NAMES, start=1))):
-        months = F.when(month_word.isin(sorted({name, name[:3]})), F.lit(i)).otherwise(months)
-    millis = F.abs(t("epoch")) > fixed.EPOCH_MILLIS_ABOVE
+    month_words = {w: str(i) for i, name in enumerate(fixed.MONTH_NAMES, start=1) for w in {name, name[:3]}}
+    words = F.create_map(*[F.lit(x) for pair in sorted(month_words.items()) for x in pair])
     third = {
-        tmp + "sep": part(1),
-        tmp + "a": part(2).try_cast("int"),
-        tmp + "b": F.ltrim(part(3)).try_cast("int"),
-        tmp + "c": F.ltrim(part(4)).try_cast("int"),
-        # lengths tell years from days; a padded day (" 5") may only stand where a day may
-        tmp + "la": F.length(part(2)),
-        tmp + "lc": F.length(part(4)),
-        tmp + "bday": part(3).startswith(" "),
-        tmp + "cday": part(4).startswith(" "),
+        tmp + "dash": part(1) == "-",
+        tmp + "a": part(2),
+        tmp + "b": part(3),
+        tmp + "c": part(4),
         tmp + "clock": part(5) != "",
-        tmp + "h": part(5).try_cast("int"),
-        tmp + "mi": part(6).try_cast("int"),
-        tmp + "se": part(7).try_cast("int"),
-        tmp + "ny": F.get(t("named"), F.lit(3)).try_cast("int"),
-        tmp + "nm": months,
-        tmp + "nd": F.get(t("named"), F.lit(2)).try_cast("int"),
+        tmp + "nm": F.when(
+            t("named").isNotNull(), F.try_element_at(words, F.lower(F.get(t("named"), F.lit(1))))
+        ),
         tmp + "sec": F.when(
-            millis & t("epoch").between(-62135596800000, 253402300799999), F.floor(t("epoch") / 1000)
-        ).when(~millis & t("epoch").between(-62135596800, 253402300799), t("epoch")),
+            F.abs(t("epoch")) <= fixed.EPOCH_MILLIS_ABOVE, F.when(t("epoch") >= -62135596800, t("epoch"))
+        ).when(t("epoch").between(-62135596800000, 253402300799999), F.floor(t("epoch") / 1000)),
     }
-
-    a, b, c, la, lc = t("a"), t("b"), t("c"), t("la"), t("lc")
-    dash = t("sep") == "-"
-    pivot = fixed.TWO_DIGIT_YEAR_PIVOT
-    year_a = a + F.when(a >= pivot, 1900).otherwise(2000)
-    year_c = c + F.when(c >= pivot, 1900).otherwise(2000)
-    b_number, c_number = ~t("bday"), ~t("cday")
-    year_first = F.when(b_number, _ymd(a, b, c))
-    year_last = F.coalesce(_ymd(c, a, b), F.when(b_number, _ymd(c, b, a)))
-    short_slash = F.when(c_number, F.coalesce(_ymd(year_c, a, b), F.when(b_number, _ymd(year_c, b, a))))
-    short_dash = F.coalesce(
-        F.when((la == 2) & b_number, _ymd(year_a, b, c)),
-        F.when((lc == 2) & c_number & b_number, _ymd(year_c, b, a)),
-        F.when((lc == 2) & c_number, _ymd(year_c, a, b)),
-    )
+    a, b, c, dash = t("a"), t("b"), t("c"), t("dash")
+    long_first, long_last = F.length(a) == 4, F.length(c) == 4
+    short_last = F.length(c) <= 2
+    # a day-sized part may be a space and a digit; a month or a year may not
+    b_number, c_number = ~b.startswith(" "), ~c.startswith(" ")
+    may_be_month = F.lpad(F.col(tmp + "mfirst"), 2, "0").between("01", "12")
     fourth = {
-        tmp + "ymd": F.when((la == 4) & (lc <= 2) & (dash | ~t("clock")), year_first)
-        .when(t("clock"), None)
-        .when((la <= 2) & (lc == 4), year_last)
-        .when((la <= 2) & (lc == 2) & ~dash, short_slash)
-        .when((la <= 2) & (lc <= 2) & dash, short_dash)
-        .when(t("nm").isNotNull(), _ymd(t("ny"), t("nm"), t("nd"))),
+        # year first: yyyy-m-d, yyyy/m/d, yy-m-d
+        tmp + "yfirst": F.when(
+            short_last & b_number & (~t("clock") | dash),
+            F.when(long_first, a).when(dash & ~t("clock") & (F.length(a) == 2), _century(a)),
+        ),
+        # year last, of four or two digits
+        tmp + "ylast": F.when(
+            ~t("clock") & (F.length(a) <= 2),
+            F.when(long_last, c).when((F.length(c) == 2) & c_number, _century(c)),
+        ),
+        # the part that is the month if it can be one, else the other part is
+        tmp + "mfirst": F.when(dash & short_last, F.when(b_number, b).otherwise("")).otherwise(a),
+    }
+    swap = F.when(dash & short_last, ~may_be_month).otherwise(may_be_month)  # True: month is a, day is b
+    fifth = {
+        tmp + "d1": F.when(t("yfirst").isNotNull(), _day(t("yfirst"), b, c)),
+        tmp + "swap": swap,
+    }
+    sixth = {
+        tmp + "date": F.when(t("d1").isNotNull(), t("d1"))
+        .when(
+            t("ylast").isNotNull(),
+            _day(
+                t("ylast"),
+                F.when(t("swap"), a).when(b_number, b),
+                F.when(t("swap"), b).otherwise(a),
+            ),
+        )
+        .when(t("nm").isNotNull(), _day(F.get(t("named"), F.lit(3)), t("nm"), F.get(t("named"), F.lit(2))))
+        .when(
+            t("sec").isNotNull(),
+            F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t("sec") / 86400).cast("int")),
+        ),
         tmp + "time": F.when(
             t("clock"),
             F.when(
-                (t("h") <= 23) & (t("mi") <= 59) & (t("se") <= 59),
-                F.concat(_pad(t("h"), 2), F.lit(":"), _pad(t("mi"), 2), F.lit(":"), _pad(t("se"), 2)),
+                (F.lpad(part(5), 2, "0") <= "23") & (F.lpad(part(6), 2, "0") <= "59") & (F.lpad(part(7), 2, "0") <= "59"),
+                F.concat_ws(":", F.lpad(part(5), 2, "0"), F.lpad(part(6), 2, "0"), F.lpad(part(7), 2, "0")),
+            ),
+        )
+        .when(
+            t("sec").isNotNull(),
+            F.concat_ws(
+                ":",
+                _pad(F.floor(F.pmod(t("sec"), F.lit(86400)) / 3600), 2),
+                _pad(F.floor(F.pmod(t("sec"), F.lit(3600)) / 60), 2),
+                _pad(F.pmod(t("sec"), F.lit(60)), 2),
             ),
-        ).otherwise(F.lit("00:00:00")),
-        tmp + "day": F.floor(t("sec") / 86400).cast("int"),
-        tmp + "tod": F.pmod(t("sec"), F.lit(86400)).cast("int"),
+        )
+        .otherwise(F.lit("00:00:00")),
+    }
+    seventh = {
+        tmp + "iso": F.when(
+            t("date") >= F.lit("0001-01-01").cast("date"),
+            F.concat(t("date").cast("string"), F.lit("T"), t("time"), F.lit("Z")),
+        )
     }
-    digits = _pad(t("ymd"), 8)
-    from_parts = F.concat(
-        F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2),
-        F.lit("T"), t("time"), F.lit("Z"),
-    )
-    from_epoch = F.concat(
-        F.date_add(F.lit("1970-01-01").cast("date"), t("day")).cast("string"), F.lit("T"),
-        _pad(F.floor(t("tod") / 3600), 2), F.lit(":"),
-        _pad(F.floor(t("tod") / 60) % 60, 2), F.lit(":"),
-        _pad(t("tod") % 60, 2), F.lit("Z"),
-    )
-    fifth = {tmp + "iso": F.when(t("num"), from_epoch).otherwise(from_parts)}
-    return [first, second, third, fourth, fifth]
+    return [first, second, third, fourth, fifth, sixth, seventh]

@@ -11,8 +11,13 @@ from .fixed import WHITESPACE
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace (Spark's own ``trim`` removes only spaces)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove leading and trailing Unicode whitespace (Spark's own ``trim`` removes only spaces).
+
+    Matching a character against the whole set costs far more than comparing it, and most values neither
+    start nor end with a space, so those that start and end in printable ASCII are passed through.
+    """
+    plain = (c >= "!") & (c < "\x7f") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def is_blank(c: Column) -> Column:

@@ -6,6 +6,8 @@ out in stages (see ``_add_stages``) so that each regex and each parsed part is e
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -71,16 +73,36 @@ def _as_text(c: Column, kind: str, data_type: T.DataType | None) -> Column:
     return c if kind == "string" else c.cast("string")
 
 
-def _add_stages(df: DataFrame, stages: list[Stage]) -> DataFrame:
-    for stage in stages:
-        if stage:
-            df = df.withColumns(stage)
-    return df
+# Spark fuses a chain of projections into one generated method, and the JVM leaves methods above 8000 bytes
+# of bytecode uncompiled: a wide plan fused whole runs several times slower. Text length of the expressions
+# stands in for bytecode size; the budget keeps generated methods below that limit.
+_METHOD_BUDGET = 2600
+_KEEP_PARTITIONS = 1_000_000
 
 
-def _merge_stages(many: list[list[Stage]]) -> list[Stage]:
-    depth = max((len(s) for s in many), default=0)
-    return [{k: c for stages in many if i < len(stages) for k, c in stages[i].items()} for i in range(depth)]
+class _Staged:
+    """A DataFrame that grows by stages, cut into pieces small enough to be compiled."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.weight = 0
+
+    def add(self, stages: list[Stage]) -> _Staged:
+        for stage in stages:
+            if not stage:
+                continue
+            weight = sum(len(str(c)) for c in stage.values())
+            if self.weight and self.weight + weight > _METHOD_BUDGET:
+                # never merges partitions: it only ends the fused method, without moving rows
+                self.df = self.df.coalesce(_KEEP_PARTITIONS)
+                self.weight = 0
+            self.df = self.df.withColumns(stage)
+            self.weight += weight
+        return self
+
+
+def _names_in(c: Column) -> set[str]:
+    return set(re.findall(r"\w+", str(c)))
 
 
 class SourceTable:
@@ -133,9 +155,10 @@ class _Field:
     target: TargetField
     value: str  # final value, typed
     rule: str  # first rule or check that refused the row, null when none
-    message: str
-    hint: str
+    message: Column
+    hint: Column
     raw: Column
+    inputs: tuple[str, ...]  # columns the texts are made of
 
 
 def _business_key(spec: TargetSpec, plan: Plan, table: SourceTable, index: Column) -> Column:
@@ -222,9 +245,9 @@ class Conformed:
                 F.lit(f.mapping.target_field).alias("field"),
                 F.col(f.rule).alias("rule"),
                 F.lit(fixed.SEVERITY).alias("severity"),
-                F.col(f.message).alias("error_message"),
+                f.message.alias("error_message"),
                 f.raw.alias("raw_value"),
-                F.col(f.hint).alias("suggestion"),
+                f.hint.alias("suggestion"),
             ).cast(ERROR_TYPE)
             parts.append(F.when(F.col(f.rule).isNotNull(), F.array(entry)).otherwise(empty))
         return F.concat(*parts) if parts else empty
@@ -337,24 +360,31 @@ def _usable(value: Any) -> bool:
 
 
 def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, error: str | None, kind: str, src, tmp):
-    """Stages that end in the typed value, the refusing rule, its message and its hint."""
+    """Names of the final value, the refusing rule, its message and hint, and the stages that compute them.
+
+    A stage is only added where a check really changes or tests the value.
+    """
     params = mapping.parameters
     refused_by_rule = F.col(error).isNotNull() if error else None
     current = F.col(value)
     tests: list[tuple[Column, str]] = []  # later checks, in order
+    stages: list[Stage] = []
+
+    def keep(name: str, column: Column) -> Column:
+        stages.append({tmp + name: column})
+        return F.col(tmp + name)
 
     # not null
     null_test = None
     if not target.nullable:
-        blank = current.isNull() if kind not in ("string",) else is_blank(current)
+        blank = is_blank(current) if kind == "string" else current.isNull()
         substitute = params.get("default") or params.get("fallback")
         if _usable(substitute):
-            mixed, literal, new_kind = mix(current, kind, substitute)
-            current, kind = F.when(blank, literal).otherwise(mixed), new_kind
+            mixed, literal, kind = mix(current, kind, substitute)
+            current = keep("nn", F.when(blank, literal).otherwise(mixed))
         else:
             null_test = blank
-    stages: list[Stage] = [{tmp + "nn": current}]
-    current = F.col(tmp + "nn")
+    shown = current
 
     # enum
     enum_test, allowed = None, target.allowed
@@ -363,10 +393,9 @@ def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, erro
         substitute = params.get("fallback") or params.get("fallback_enum")
         if substitute and substitute in allowed:
             mixed, literal, kind = mix(current, kind, substitute)
-            current = F.when(outside, literal).otherwise(mixed)
+            current = keep("en", F.when(outside, literal).otherwise(mixed))
         else:
             enum_test = outside
-    shown = F.col(tmp + "nn")
 
     # regex
     regex_test, pattern = None, target.pattern
@@ -375,18 +404,16 @@ def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, erro
         miss = ~current.cast("string").rlike(translated) if translated else F.lit(True)
         miss = current.isNotNull() & miss
         if target.nullable and (params.get("on_invalid") == "null" or params.get("null_on_invalid")):
-            current = F.when(~miss, current)
+            current = keep("re", F.when(~miss, current))
         else:
             regex_test = miss
-    stages.append({tmp + "ck": current})
 
-    checked = F.col(tmp + "ck")
+    checked = current
     coerced = coerce(checked, kind, target.data_type)
-    out_type = spark_type(target.data_type)
-    final = coerced.value
-    if not isinstance(out_type, (T.StringType, T.BinaryType)) and target.data_type.lower().strip() != "money":
-        final = final.cast(out_type)
-    stages.append({tmp + "val": final})
+    final_name = next(reversed(stages[-1])) if stages else value
+    if coerced.value is not checked or coerced.message is not None:
+        final_name = tmp + "val"
+        stages.append({final_name: coerced.value})
 
     if refused_by_rule is not None:
         tests.append((refused_by_rule, mapping.transformation))
@@ -397,7 +424,7 @@ def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, erro
     if regex_test is not None:
         tests.append((regex_test, fixed.RULE_REGEX))
     if coerced.message is not None:
-        tests.append((checked.isNotNull() & F.col(tmp + "val").isNull(), fixed.RULE_TYPE))
+        tests.append((checked.isNotNull() & F.col(final_name).isNull(), fixed.RULE_TYPE))
     code: Column = F.lit(None).cast("string")
     if tests:
         code = F.when(*_pair(tests[0]))
@@ -444,8 +471,7 @@ def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, erro
         message, hint = F.when(which == texts[0][0], texts[0][1]), F.when(which == texts[0][0], texts[0][2])
         for rule, text, advice in texts[1:]:
             message, hint = message.when(which == rule, text), hint.when(which == rule, advice)
-    stages.append({tmp + "msg": message, tmp + "hint": hint})
-    return stages
+    return final_name, stages, message, hint
 
 
 def _pair(test: tuple[Column, str]) -> tuple[Column, Column]:
@@ -471,10 +497,8 @@ def conform(
     key = _business_key(spec, plan, table, F.col(index))
     declared = spec.by_name()
 
-    rule_stages: list[list[Stage]] = []
-    outcome_stage: Stage = {}
-    check_stages: list[list[Stage]] = []
     fields: list[_Field] = []
+    per_field: list[list[Stage]] = []
     for i, mapping in enumerate(plan.mappings):
         tmp = f"{prefix}{i}_"
         target = declared.get(mapping.target_field, TargetField(mapping.target_field))
@@ -485,22 +509,34 @@ def conform(
             src = Source(src.label, filled, "string", filled, filled)
             raw = filled
         outcome = compile_rule(mapping.transformation, src, mapping.parameters, tmp)
-        rule_stages.append(outcome.stages)
-        outcome_stage[tmp + "r"] = outcome.value
-        error = None
+        result, error = {tmp + "r": outcome.value}, None
         if outcome.error is not None:
             error = tmp + "e"
-            outcome_stage[error] = outcome.error
-        check_stages.append(_compile_checks(mapping, target, tmp + "r", error, outcome.kind, src, tmp))
-        fields.append(_Field(mapping, target, tmp + "val", tmp + "rule", tmp + "msg", tmp + "hint", raw))
-
-    frame = _add_stages(df, [table.stage, {key_column: key}])
-    frame = _add_stages(frame, _merge_stages(rule_stages))
-    frame = _add_stages(frame, [outcome_stage])
-    frame = _add_stages(frame, _merge_stages(check_stages))
+            result[error] = outcome.error
+        final, checks, message, hint = _compile_checks(mapping, target, tmp + "r", error, outcome.kind, src, tmp)
+        per_field.append([*outcome.stages, result, *checks])
+        made = {c for stage in per_field[-1] for c in stage} | set(table.stage) | {key_column}
+        inputs = tuple(sorted(made & (_names_in(message) | _names_in(hint) | _names_in(raw))))
+        fields.append(_Field(mapping, target, final, tmp + "rule", message, hint, raw, inputs))
+
+    staged = _Staged(df).add([table.stage, {key_column: key}])
+    for stages in per_field:
+        staged.add(stages)
+    keep = [*df.columns, key_column]
+    for f in fields:
+        keep += [f.value, f.rule, *f.inputs]
+    frame = staged.df.select(*[column_ref(c) for c in dict.fromkeys(keep)])
     mapped = {m.target_field for m in plan.mappings}
     unmapped = [f.name for f in spec.fields if not f.nullable and f.name not in mapped and f.default is None]
-    return Conformed(frame, fields, unmapped, spec, columns, key_column, index, prefix)
+    done = Conformed(frame, fields, unmapped, spec, columns, key_column, index, prefix)
+    # Row counts of whatever job runs over the frame. The observation also keeps Catalyst from pushing a filter
+    # on the outcome below the mapping, where every rule would be evaluated a second time inside the filter.
+    done.frame = frame.observe(
+        f"conform_{uuid.uuid4().hex}",
+        F.count(F.lit(1)).alias("total_source_records"),
+        F.count_if(done.refused()).alias("rejected_count"),
+    )
+    return done
 
 
 def apply_rule(
@@ -517,6 +553,6 @@ def apply_rule(
     table = SourceTable(df, tmp)
     src = table.source(names, rule)
     outcome = compile_rule(rule, src, params, tmp)
-    out = _add_stages(df, [table.stage, *outcome.stages])
+    out = _Staged(df).add([table.stage, *outcome.stages]).df
     message = outcome.error if outcome.error is not None else F.lit(None).cast("string")
     return out.select(*[column_ref(c) for c in df.columns], outcome.value.alias(value), message.alias(error))
