@@ -192,11 +192,13 @@ class Store:
         export(rows.orderBy("source_row_index"), path, "csv")
 
 
-def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def export(df: DataFrame, path: str, fmt: str = "csv", sep: str = ",") -> None:
     if fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
-        df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+        # by default the writer strips the ends of every value
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode("overwrite").option("header", True).option("escape", '"').options(sep=sep, **keep).csv(path)
 
 
 def quarantine_report(ledger: DataFrame) -> DataFrame:
