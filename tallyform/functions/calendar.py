@@ -83,8 +83,10 @@ def date_stages(s: Column, tmp: str) -> list[dict[str, Column]]:
     def part(i: int) -> Column:
         return F.get(t("parts"), F.lit(i))
 
-    month_words = {w: str(i) for i, name in enumerate(fixed.MONTH_NAMES, start=1) for w in {name, name[:3]}}
-    words = F.create_map(*[F.lit(x) for pair in sorted(month_words.items()) for x in pair])
+    pairs = ", ".join(
+        f"'{w}', '{i}'" for i, name in enumerate(fixed.MONTH_NAMES, start=1) for w in dict.fromkeys((name, name[:3]))
+    )
+    words = F.expr(f"map({pairs})")
     third = {
         tmp + "dash": part(1) == "-",
         tmp + "a": part(2),

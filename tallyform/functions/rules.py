@@ -299,8 +299,8 @@ def lookup(table: dict[str, Any], key: Column) -> Column:
     """Value of ``key`` in a small literal table, null when absent."""
     if not table:
         return _null()
-    flat = [F.lit(x) for k, v in table.items() for x in (k, str(v))]
-    return F.try_element_at(F.create_map(*flat), key)
+    keys = F.lit([str(k) for k in table])
+    return F.try_element_at(F.map_from_arrays(keys, F.lit([str(v) for v in table.values()])), key)
 
 
 @rule("ENUM_LOOKUP")

@@ -20,6 +20,21 @@ def strip(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
+def _strip_sql(name: str) -> str:
+    c = "`" + name.replace("`", "``") + "`"
+    plain = f"{c} >= '!' AND {c} < '\x7f' AND substring({c}, -1, 1) BETWEEN '!' AND '~'"
+    return f"CASE WHEN {plain} THEN {c} ELSE btrim({c}, '{WHITESPACE}') END"
+
+
+def strip_column(name: str) -> Column:
+    """``strip`` of a named text column: one call to the JVM instead of a dozen."""
+    return F.expr(_strip_sql(name))
+
+
+def blank_column(name: str) -> Column:
+    return F.expr(f"`{name}` IS NULL OR ({_strip_sql(name)}) = ''")
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == F.lit(""))
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions.checks import coerce
 from ..functions.rules import Source, Stage, compile_rule, mix
-from ..functions.text import fill, is_blank, java_regex, strip
+from ..functions.text import blank_column, fill, java_regex, strip, strip_column
 from ..plans.spec import FieldMapping, Plan, SpecError, TargetField, TargetSpec, spark_type
 
 ROW_INDEX = "source_row_index"
@@ -76,7 +76,7 @@ def _as_text(c: Column, kind: str, data_type: T.DataType | None) -> Column:
 # Spark fuses a chain of projections into one generated method, and the JVM leaves methods above 8000 bytes
 # of bytecode uncompiled: a wide plan fused whole runs several times slower. Text length of the expressions
 # stands in for bytecode size; the budget keeps generated methods below that limit.
-_METHOD_BUDGET = 2600
+_METHOD_BUDGET = 1500
 _KEEP_PARTITIONS = 1_000_000
 
 
@@ -87,19 +87,41 @@ class _Staged:
         self.df = df
         self.weight = 0
 
+    def _cut(self) -> None:
+        # never merges partitions: it only ends the fused method, without moving rows
+        self.df = self.df.coalesce(_KEEP_PARTITIONS)
+        self.weight = 0
+
     def add(self, stages: list[Stage]) -> _Staged:
-        for stage in stages:
-            if not stage:
-                continue
-            weight = sum(len(str(c)) for c in stage.values())
+        for stage, weight in ((s, _weight(s)) for s in stages if s):
             if self.weight and self.weight + weight > _METHOD_BUDGET:
-                # never merges partitions: it only ends the fused method, without moving rows
-                self.df = self.df.coalesce(_KEEP_PARTITIONS)
-                self.weight = 0
+                self._cut()
             self.df = self.df.withColumns(stage)
             self.weight += weight
         return self
 
+    def add_side_by_side(self, many: list[list[Stage]]) -> _Staged:
+        """Stages of independent fields: as many fields as fit one piece are added level by level together."""
+        group: list[list[Stage]] = []
+        size = self.weight
+        for stages in many:
+            weight = sum(map(_weight, stages))
+            if group and size + weight > _METHOD_BUDGET:
+                self.add(_merge_stages(group))
+                group, size = [], self.weight
+            group.append(stages)
+            size += weight
+        return self.add(_merge_stages(group))
+
+
+def _weight(stage: Stage) -> int:
+    return sum(len(str(c)) for c in stage.values())
+
+
+def _merge_stages(many: list[list[Stage]]) -> list[Stage]:
+    depth = max((len(s) for s in many), default=0)
+    return [{k: c for stages in many if i < len(stages) for k, c in stages[i].items()} for i in range(depth)]
+
 
 def _names_in(c: Column) -> set[str]:
     return set(re.findall(r"\w+", str(c)))
@@ -116,7 +138,9 @@ class SourceTable:
 
     def stripped(self, name: str) -> Column:
         key = f"{self.prefix}src_{self.columns.index(name)}"
-        self.stage[key] = strip(self.text(name))
+        if key not in self.stage:
+            text = _kind(self.types[name]) == "string"
+            self.stage[key] = strip_column(name) if text else strip(self.text(name))
         return F.col(key)
 
     def text(self, name: str) -> Column:
@@ -377,7 +401,7 @@ def _compile_checks(mapping: FieldMapping, target: TargetField, value: str, erro
     # not null
     null_test = None
     if not target.nullable:
-        blank = is_blank(current) if kind == "string" else current.isNull()
+        blank = blank_column(value) if kind == "string" else current.isNull()
         substitute = params.get("default") or params.get("fallback")
         if _usable(substitute):
             mixed, literal, kind = mix(current, kind, substitute)
@@ -519,9 +543,7 @@ def conform(
         inputs = tuple(sorted(made & (_names_in(message) | _names_in(hint) | _names_in(raw))))
         fields.append(_Field(mapping, target, final, tmp + "rule", message, hint, raw, inputs))
 
-    staged = _Staged(df).add([table.stage, {key_column: key}])
-    for stages in per_field:
-        staged.add(stages)
+    staged = _Staged(df).add([table.stage, {key_column: key}]).add_side_by_side(per_field)
     keep = [*df.columns, key_column]
     for f in fields:
         keep += [f.value, f.rule, *f.inputs]
