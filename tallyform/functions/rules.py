@@ -348,10 +348,12 @@ def coalesce_val(src: Source, params: Params, tmp: str) -> Outcome:
     return Outcome(F.when(missing, default).otherwise(value), None, kind)
 
 
-def uuid5_column(namespace: str, key: Column) -> Column:
-    """RFC 4122 version-5 UUID of ``key`` inside the namespace, from SHA-1 alone."""
+def uuid5_digest(namespace: str, key: Column) -> Column:
     space = uuid.uuid5(uuid.NAMESPACE_DNS, namespace)
-    digest = F.sha1(F.concat(F.unhex(F.lit(space.hex)), F.encode(key, "UTF-8")))
+    return F.sha1(F.concat(F.unhex(F.lit(space.hex)), F.encode(key, "UTF-8")))
+
+
+def uuid5_text(digest: Column) -> Column:
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat(
         F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3),
@@ -359,16 +361,23 @@ def uuid5_column(namespace: str, key: Column) -> Column:
     )
 
 
+def uuid5_column(namespace: str, key: Column) -> Column:
+    """RFC 4122 version-5 UUID of ``key`` inside the namespace, from SHA-1 alone."""
+    return uuid5_text(uuid5_digest(namespace, key))
+
+
 @rule("UUID_V5_FROM_KEY")
 def uuid_v5_from_key(src: Source, params: Params, tmp: str) -> Outcome:
-    digest = tmp + "uuid"
-    stages = [{digest: uuid5_column(params.get("namespace", fixed.DEFAULT_UUID_NAMESPACE), src.stripped)}]
+    namespace = params.get("namespace", fixed.DEFAULT_UUID_NAMESPACE)
+    stages = [
+        {tmp + "sha": uuid5_digest(namespace, src.stripped)},
+        {tmp + "uuid": uuid5_text(F.col(tmp + "sha"))},
+    ]
+    made = F.col(tmp + "uuid")
     if params.get("required", False):
-        return Outcome(
-            F.when(~src.blank, F.col(digest)), F.when(src.blank, F.lit(fixed.MSG_UUID_MISSING)), stages=stages
-        )
+        return Outcome(F.when(~src.blank, made), F.when(src.blank, F.lit(fixed.MSG_UUID_MISSING)), stages=stages)
     # only reached on its own: inside a plan a blank source is replaced by the row's business key
-    return Outcome(F.when(src.blank, F.uuid()).otherwise(F.col(digest)), None, stages=stages)
+    return Outcome(F.when(src.blank, F.uuid()).otherwise(made), None, stages=stages)
 
 
 def compile_rule(name: str, src: Source, params: Params | None, tmp: str) -> Outcome:

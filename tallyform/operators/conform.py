@@ -1,11 +1,12 @@
 """Apply a plan to a whole table: map, check, split into accepted rows and quarantine.
 
 Everything here is one narrow projection over the source: no shuffle, no Python in the tasks. Work is laid
-out in stages (see ``_add_stages``) so that each regex and each parsed part is evaluated once per row.
+out in stages (see ``_Layout``) so that each regex and each parsed part is evaluated once per row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Sequence
@@ -76,31 +77,27 @@ def _as_text(c: Column, kind: str, data_type: T.DataType | None) -> Column:
 # Spark fuses a chain of projections into one generated method, and the JVM leaves methods above 8000 bytes
 # of bytecode uncompiled: a wide plan fused whole runs several times slower. Text length of the expressions
 # stands in for bytecode size; the budget keeps generated methods below that limit.
-_METHOD_BUDGET = 1500
+_METHOD_BUDGET = 2000
 _KEEP_PARTITIONS = 1_000_000
 
 
-class _Staged:
-    """A DataFrame that grows by stages, cut into pieces small enough to be compiled."""
+class _Layout:
+    """Stages in order, with None where the fused method is to end."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self) -> None:
+        self.steps: list[Stage | None] = []
         self.weight = 0
 
-    def _cut(self) -> None:
-        # never merges partitions: it only ends the fused method, without moving rows
-        self.df = self.df.coalesce(_KEEP_PARTITIONS)
-        self.weight = 0
-
-    def add(self, stages: list[Stage]) -> _Staged:
+    def add(self, stages: list[Stage]) -> _Layout:
         for stage, weight in ((s, _weight(s)) for s in stages if s):
             if self.weight and self.weight + weight > _METHOD_BUDGET:
-                self._cut()
-            self.df = self.df.withColumns(stage)
+                self.steps.append(None)
+                self.weight = 0
+            self.steps.append(stage)
             self.weight += weight
         return self
 
-    def add_side_by_side(self, many: list[list[Stage]]) -> _Staged:
+    def add_side_by_side(self, many: list[list[Stage]]) -> _Layout:
         """Stages of independent fields: as many fields as fit one piece are added level by level together."""
         group: list[list[Stage]] = []
         size = self.weight
@@ -113,6 +110,12 @@ class _Staged:
             size += weight
         return self.add(_merge_stages(group))
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            # the coalesce never merges partitions: it only ends the fused method, without moving rows
+            df = df.coalesce(_KEEP_PARTITIONS) if step is None else df.withColumns(step)
+        return df
+
 
 def _weight(stage: Stage) -> int:
     return sum(len(str(c)) for c in stage.values())
@@ -502,23 +505,30 @@ def _pair(test: tuple[Column, str]) -> tuple[Column, Column]:
     return test[0], F.lit(test[1])
 
 
-def conform(
-    df: DataFrame,
-    plan: Plan,
-    spec: TargetSpec,
-    index: str = ROW_INDEX,
-    prefix: str = "__c_",
-    source_columns: Sequence[str] | None = None,
-) -> Conformed:
-    """Evaluate every mapping of ``plan`` on every row of ``df``.
+@dataclass(frozen=True)
+class _Compiled:
+    layout: _Layout
+    fields: list[_Field]
+    key_column: str
 
-    ``index`` names the column that holds each row's position (see ``sources.row_index``). It is evidence,
-    not data, and is left out of the payload. ``prefix`` keeps two evaluations of one table apart.
-    """
-    columns = list(source_columns) if source_columns is not None else [c for c in df.columns if c != index]
+
+_COMPILED: dict[tuple, _Compiled] = {}
+_COMPILED_MAX = 64
+
+
+def _compile(df: DataFrame, plan: Plan, spec: TargetSpec, index: str, prefix: str, columns: list[str]) -> _Compiled:
+    """Columns of a whole plan. They depend on names and types only, and are kept for the next batch."""
+    key = (
+        df.sparkSession.sparkContext.applicationId,
+        json.dumps([m.canonical() for m in plan.mappings], sort_keys=True, default=str),
+        repr(spec), json.dumps(spec.document, sort_keys=True, default=str),
+        df.schema.json(), index, prefix, tuple(columns),
+    )
+    if key in _COMPILED:
+        return _COMPILED[key]
     table = SourceTable(df, prefix, columns)
     key_column = prefix + "key"
-    key = _business_key(spec, plan, table, F.col(index))
+    business_key = _business_key(spec, plan, table, F.col(index))
     declared = spec.by_name()
 
     fields: list[_Field] = []
@@ -543,14 +553,35 @@ def conform(
         inputs = tuple(sorted(made & (_names_in(message) | _names_in(hint) | _names_in(raw))))
         fields.append(_Field(mapping, target, final, tmp + "rule", message, hint, raw, inputs))
 
-    staged = _Staged(df).add([table.stage, {key_column: key}]).add_side_by_side(per_field)
-    keep = [*df.columns, key_column]
-    for f in fields:
+    layout = _Layout().add([table.stage, {key_column: business_key}]).add_side_by_side(per_field)
+    if len(_COMPILED) >= _COMPILED_MAX:
+        _COMPILED.pop(next(iter(_COMPILED)))
+    _COMPILED[key] = _Compiled(layout, fields, key_column)
+    return _COMPILED[key]
+
+
+def conform(
+    df: DataFrame,
+    plan: Plan,
+    spec: TargetSpec,
+    index: str = ROW_INDEX,
+    prefix: str = "__c_",
+    source_columns: Sequence[str] | None = None,
+) -> Conformed:
+    """Evaluate every mapping of ``plan`` on every row of ``df``.
+
+    ``index`` names the column that holds each row's position (see ``sources.row_index``). It is evidence,
+    not data, and is left out of the payload. ``prefix`` keeps two evaluations of one table apart.
+    """
+    columns = list(source_columns) if source_columns is not None else [c for c in df.columns if c != index]
+    compiled = _compile(df, plan, spec, index, prefix, columns)
+    keep = [*df.columns, compiled.key_column]
+    for f in compiled.fields:
         keep += [f.value, f.rule, *f.inputs]
-    frame = staged.df.select(*[column_ref(c) for c in dict.fromkeys(keep)])
+    frame = compiled.layout.apply(df).select(*[column_ref(c) for c in dict.fromkeys(keep)])
     mapped = {m.target_field for m in plan.mappings}
     unmapped = [f.name for f in spec.fields if not f.nullable and f.name not in mapped and f.default is None]
-    done = Conformed(frame, fields, unmapped, spec, columns, key_column, index, prefix)
+    done = Conformed(frame, compiled.fields, unmapped, spec, columns, compiled.key_column, index, prefix)
     # Row counts of whatever job runs over the frame. The observation also keeps Catalyst from pushing a filter
     # on the outcome below the mapping, where every rule would be evaluated a second time inside the filter.
     done.frame = frame.observe(
@@ -575,6 +606,6 @@ def apply_rule(
     table = SourceTable(df, tmp)
     src = table.source(names, rule)
     outcome = compile_rule(rule, src, params, tmp)
-    out = _Staged(df).add([table.stage, *outcome.stages]).df
+    out = _Layout().add([table.stage, *outcome.stages]).apply(df)
     message = outcome.error if outcome.error is not None else F.lit(None).cast("string")
     return out.select(*[column_ref(c) for c in df.columns], outcome.value.alias(value), message.alias(error))

@@ -1,8 +1,8 @@
 """Schema inference, column profiles and rule trials over whole tables.
 
-Counts, distinct values, frequencies, samples and pattern flags all come from one table of
-(column, value, count): the source is read once, equal values are merged before the only big shuffle, and a
-value that fills a third of the table is one row by then.
+Counts, distinct values, frequencies, samples and pattern flags all come from tables of (column, value,
+count): the source is read once, equal values are merged before the only big shuffle, and a value that fills
+a third of the table is one row per task by then.
 """
 
 from __future__ import annotations
@@ -42,20 +42,45 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, index: str
     return long.groupBy("column_name", "position", "value").agg(*aggs)
 
 
+_SHORT = 64
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, index: str | None = None) -> DataFrame:
-    """Counts, null share, exact distinct count and pattern flags per column."""
+    """Counts, null share, exact distinct count and pattern flags per column.
+
+    What a value contributes is read off before the shuffle; a long text then travels as its SHA-256.
+    """
+    names = list(columns) if columns is not None else [c for c in df.columns if c != index]
     v = F.col("value")
-    filled = ~_blank(v)
-    n = F.col("count")
-    per = value_counts(df, columns, index).groupBy("column_name", "position").agg(
+    marks = {
+        "filled": ~_blank(v),
+        "comma": v.contains(","),
+        "date": v.contains("/") | v.contains("-"),
+        "money": v.startswith("$") | v.contains("("),
+        "digits": v.rlike(r"[0-9]{3}"),
+    }
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("position"), column_ref(n).cast("string").alias("value"))
+            for i, n in enumerate(names)
+        ]
+    )
+    long = df.select(F.explode(cells).alias("c")).select("c.*")
+    # the length keeps a digest apart from a text that happens to read like one
+    short = F.length(v) <= _SHORT
+    marked = long.select(
+        "column_name", "position", F.when(short, v).otherwise(F.sha2(v, 256)).alias("value"), F.length(v).alias("size"),
+        *[m.alias(k) for k, m in marks.items()],
+    )
+    by = ["column_name", "position", "value", "size", *marks]
+    distinct = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
+    n, filled = F.col("count"), F.col("filled")
+    per = distinct.groupBy("column_name", "position").agg(
         F.sum(n).alias("total_records"),
         F.coalesce(F.sum(F.when(filled, n)), F.lit(0)).alias("non_null_count"),
         F.coalesce(F.sum(F.when(~filled, n)), F.lit(0)).alias("null_count"),
         F.count_if(filled).alias("distinct_count"),
-        F.bool_or(filled & v.contains(",")).alias("comma"),
-        F.bool_or(filled & (v.contains("/") | v.contains("-"))).alias("date"),
-        F.bool_or(filled & (v.startswith("$") | v.contains("("))).alias("money"),
-        F.bool_or(filled & v.rlike(r"[0-9]{3}")).alias("digits"),
+        *[F.bool_or(filled & F.col(k)).alias(k) for k in fixed.PATTERN_FLAGS],
     )
     share = F.round(F.col("null_count") * 100 / F.col("total_records"), 2).cast("double")
     flags = F.array_compact(

@@ -140,18 +140,28 @@ class Upsert:
                 types.setdefault(f.name, f.dataType)
         return list(types.items())
 
-    def merged(self) -> DataFrame:
-        """The target after the batch: one outer join on the key, both sides hold a key once."""
+    def merged(self, winners: DataFrame | None = None, small: bool = False) -> DataFrame:
+        """The target after the batch; both sides of the join hold a key once.
+
+        One outer join moves target and batch once. For a batch known to be ``small`` the target stays where
+        it is: its rows look their key up in the batch, and the keys found tell which batch rows are new. Pass
+        the staged ``winners`` then, so that Spark knows their size and may broadcast them.
+        """
         t = self._known().select(
             *self._k,
             F.struct(*[F.col(c) for c in self.target.columns]).alias("t"),
             self._compared(self.target).alias("t_cmp"),
         )
-        w = self.winners()
+        w = self.winners() if winners is None else winners
         w = w.select(
             *self._k, F.struct(*self.columns).alias("w"), "__mixed", self._compared(w).alias("w_cmp")
         )
-        both = t.join(w, self._k, "full_outer")
+        if small:
+            found = self._known().select(*self._k).join(w.select(*self._k), self._k, "left_semi")
+            new = w.join(found, self._k, "left_anti")
+            both = t.join(w, self._k, "left").unionByName(new, allowMissingColumns=True)
+        else:
+            both = t.join(w, self._k, "full_outer")
         have_t, have_w = F.col("t").isNotNull(), F.col("w").isNotNull()
         if not self.data_columns:
             written = have_w & ~have_t

@@ -88,30 +88,32 @@ def execute(
     return result
 
 
+# Up to this many changed keys a batch is looked up from the target instead of shuffling the target.
+SMALL_BATCH_KEYS = 200_000
+
+
 def apply_batch(store: Store, batch: DataFrame, run_id: str, at: str, detect_changes: bool = True) -> dict[str, int]:
     """Upsert accepted rows into the store as a new version; counts of inserted, updated and skipped rows."""
     spec = store.spec
     target = store.target()
     up = Upsert(target, batch, spec.keys(), run_id, at, spec.surrogate(), detect_changes)
     counts = up.counts().first().asDict()
+    winners = stage(up.winners(), "winners")
+    small = winners.count() <= SMALL_BATCH_KEYS
     primary = spec.surrogate()
     if primary is not None:
-        changed = _rekeyed(up, target, primary, spec.keys())
-        if changed is not None:
-            up = Upsert(target, changed, spec.keys(), run_id, at, primary, detect_changes)
-    store.write(up.merged(), run_id, at)
+        winners = _rekeyed(up, winners, target, primary)
+    store.write(up.merged(winners, small), run_id, at)
     return counts
 
 
-def _rekeyed(up: Upsert, target: DataFrame, primary: str, keys) -> DataFrame | None:
-    """The batch with colliding primary keys of new rows replaced; None when there is no collision."""
-    first = up.winners().withColumnRenamed("__first", "__pos")
-    known = up._known().select(*up._k)
-    new = first.join(known, up._k, "left_anti").select(*up._k, "__pos", *up.columns)
-    replaced = rekey_collisions(new, target, primary, up._k, "__pos").filter("rekeyed")
-    if replaced.isEmpty():
-        return None
+def _rekeyed(up: Upsert, winners: DataFrame, target: DataFrame, primary: str) -> DataFrame:
+    """Winners with the primary keys of new rows replaced where they are taken."""
+    known = up._known().select(*up._k).join(winners.select(*up._k), up._k, "left_semi")
+    new = winners.join(known, up._k, "left_anti")
+    replaced = rekey_collisions(new, target, primary, up._k, "__first").filter("rekeyed")
     fresh = stage(replaced.select(*up._k, F.col(primary).alias("__new_pk")), "rekeyed")
-    rows = up.batch.withColumns({k: F.trim(F.col(n).cast("string")) for k, n in zip(up._k, up.keys)})
-    rows = rows.join(fresh, up._k, "left")
-    return rows.withColumn(primary, F.coalesce("__new_pk", primary)).drop("__new_pk", *up._k)
+    if fresh.isEmpty():
+        return winners
+    changed = winners.join(fresh, up._k, "left").withColumn(primary, F.coalesce("__new_pk", primary))
+    return stage(changed.drop("__new_pk"), "winners")

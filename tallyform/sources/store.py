@@ -99,7 +99,7 @@ class Store:
         return self._folder(row["folder"])
 
     def _folder(self, folder: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{folder}")
+        return self.spark.read.parquet(f"{self.path}/{folder}")
 
     def target(self) -> DataFrame:
         row = self.current()
