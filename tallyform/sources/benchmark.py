@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.catalogue import SPECS
+from ..plans.spec import TargetSpec
+from .readers import read_delimited, require_rows
+
 _FIRST = ["Ada", "Bram", "Chiara", "Dmitri", "Elif", "Farah", "Goran", "Hana", "Ivo", "Jolanda", "Kwame"]
 _LAST = ["Okafor", "Lindqvist", "Moreau", "Tanaka", "Varga", "Silva", "Novak", "Brandt", "Iyer", "Castellanos"]
 _DOMAINS = ["example.com", "example.org", "mail.example.net", "shop-example.io"]
@@ -169,3 +173,10 @@ def legacy_crm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LEGACY_ORDERS.format(orders=parquet_ref(sf_dir, "orders")))
+
+
+def named_dataset(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, TargetSpec]:
+    """A delimited file together with the shipped target specification of that name."""
+    if name not in SPECS:
+        raise KeyError(f"no data set {name!r}; known: {sorted(SPECS)}")
+    return require_rows(read_delimited(spark, path, index="source_row_index")), SPECS[name]

@@ -85,3 +85,43 @@ def test_suggestion():
     assert plan.mapping_for("status").parameters == {"default": "ACTIVE"} and plan.mapping_for("country_iso2").parameters == {"default": "US"}
     assert {q.question_id for q in plan.questions} == {"clarify_status", "clarify_risk_tier", "clarify_country_iso2"}
     assert suggest_plan(["order_num"], ORDERS).mapping_for("order_num").transformation == "DIRECT_COPY"
+
+
+def test_named_dataset_end_to_end(spark, tmp_path):
+    from tallyform import conform
+    from tallyform.sources.benchmark import named_dataset
+
+    text = "sku_raw,product_title,qty_on_hand,unit_cost_raw,category_code\n" + "".join(
+        f"{sku},{title},{qty},{cost},{cat}\n"
+        for sku, title, qty, cost, cat in [
+            (" S-1 ", "Bolt", "10", '"$1,204.50"', "HW"), ("S-2", "Nut", "ten", "2", "HW"), ("S-3", "", "5", "3", "HW"), ("S-4", "Cam", "-3", "($4.25)", "EL"),
+        ]
+    )
+    df, spec = named_dataset(spark, "inventory", write(tmp_path, "inv.csv", text))
+    from tallyform import Plan
+
+    plan = Plan.of(
+        ("item_uuid", ["sku_raw"], "UUID_V5_FROM_KEY"), ("sku_code", ["sku_raw"], "TRIM_CLEAN"), ("item_name", ["product_title"], "TRIM_CLEAN"),
+        ("stock_quantity", ["qty_on_hand"], "DIRECT_COPY"), ("unit_price", ["unit_cost_raw"], "CLEAN_CURRENCY_TO_FLOAT"),
+        ("category", ["category_code"], "ENUM_LOOKUP", {"mapping": {"hw": "Hardware", "el": "Electronics"}}),
+    )
+    done = conform(df, plan, spec)
+    rows = [tuple(r)[1:] for r in done.accepted().orderBy("sku_code").collect()]
+    assert rows == [("S-1", "Bolt", 10, 1204.5, "Hardware"), ("S-4", "Cam", -3, -4.25, "Electronics")]
+    bad = {r["source_row_index"]: (r["field"], r["rule"], r["natural_key"]) for r in done.evidence().collect()}
+    assert bad == {1: ("stock_quantity", "TYPE_INCOMPATIBILITY", "S-2"), 2: ("item_name", "NOT_NULL_CONSTRAINT", "S-3")}
+
+
+def test_signed_gap(spark):
+    from tallyform.operators.reconcile import reconcile_runs
+
+    metrics = spark.createDataFrame(
+        [("even", 100, 70, 10, 5), ("over", 100, 70, 10, 5), ("under", 100, 60, 10, 5), ("clean", 85, 70, 10, 5)],
+        "run_id string, total_source_records long, inserted_count long, updated_count long, skipped_count long",
+    )
+    held = {"even": 15, "over": 30, "under": 15}
+    ledger = spark.createDataFrame([(r, i) for r, n in held.items() for i in range(n)], "run_id string, i int")
+    got = {r["run_id"]: (r["unaccounted_records"], r["verdict"]) for r in reconcile_runs(metrics, ledger).collect()}
+    assert got == {
+        "even": (0, "PASSED_WITH_QUARANTINE"), "over": (-15, "DISCREPANCY_DETECTED"), "under": (10, "DISCREPANCY_DETECTED"), "clean": (0, "PASSED_EXACT")
+    }
