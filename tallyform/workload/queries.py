@@ -18,7 +18,7 @@ from ..sources import readers
 from ..sources.row_index import with_row_index
 from ..sources.scratch import scratch_path
 from ..sources.store import Store, export, quarantine_report
-from .sources_sql import table
+from .sources_sql import source, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,10 +55,10 @@ RULE_CASES: dict[str, tuple[str, str, list[str], dict[str, Any]]] = {
 
 
 def _rule_query(name: str) -> Query:
-    source, rule, fields, params = RULE_CASES[name]
+    origin, rule, fields, params = RULE_CASES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply_rule(table(spark, sf_dir, source), rule, fields, params).select("source_row_index", "value", "error")
+        return apply_rule(source(spark, sf_dir, origin), rule, fields, params).select("source_row_index", "value", "error")
 
     return run
 
@@ -76,11 +76,11 @@ def rule_trim_clean_documents(spark, sf_dir):
 
 
 def _crm(spark, sf_dir):
-    return conform(table(spark, sf_dir, "crm"), CUSTOMERS_PLAN, CUSTOMERS)
+    return conform(source(spark, sf_dir, "crm"), CUSTOMERS_PLAN, CUSTOMERS)
 
 
 def _orders(spark, sf_dir):
-    return conform(table(spark, sf_dir, "orders_src"), ORDERS_PLAN, ORDERS)
+    return conform(source(spark, sf_dir, "orders_src"), ORDERS_PLAN, ORDERS)
 
 
 @query
@@ -186,12 +186,12 @@ TYPED_PLAN = Plan.of(
 
 @query
 def type_coercion_accepted(spark, sf_dir):
-    return conform(table(spark, sf_dir, "typed"), TYPED_PLAN, TYPED_SPEC).accepted()
+    return conform(source(spark, sf_dir, "typed"), TYPED_PLAN, TYPED_SPEC).accepted()
 
 
 @query
 def type_coercion_report(spark, sf_dir):
-    e = conform(table(spark, sf_dir, "typed"), TYPED_PLAN, TYPED_SPEC).evidence()
+    e = conform(source(spark, sf_dir, "typed"), TYPED_PLAN, TYPED_SPEC).evidence()
     return e.select("source_row_index", "field", "rule", "error_message")
 
 
@@ -414,23 +414,8 @@ def rolled_back_runs(spark, sf_dir):
 
 @query
 def money_reconciliation(spark, sf_dir):
-    """Source, accepted and quarantined money, and the two checksums."""
-    src = table(spark, sf_dir, "orders_src")
-    done = _orders(spark, sf_dir)
-    total = reconcile.money_total(src, "order_total_str", "source_sum")
-    held = reconcile.money_total(done.frame.filter(done.refused()).select("order_total_str"), "order_total_str", "quarantined_sum")
-    kept = reconcile.target_total(done.accepted(), "total_amount", "target_sum")
-    n = done.accepted().agg(F.count(F.lit(1)).alias("n"))
-    one = src.agg(F.count(F.lit(1)).alias("source_rows")).select(
-        "source_rows", total.scalar().alias("s"), held.scalar().alias("q"), kept.scalar().alias("t"), n.scalar().alias("target_rows")
-    )
-    return one.select(
-        "source_rows", "target_rows",
-        F.col("s").cast("double").alias("source_sum"), F.col("q").cast("double").alias("quarantined_sum"),
-        F.col("t").cast("double").alias("target_sum"), F.abs(F.col("s") - F.col("t")).cast("double").alias("delta"),
-        reconcile.checksum("SRC", F.col("source_rows"), F.col("s")).alias("source_checksum"),
-        reconcile.checksum("TGT", F.col("target_rows"), F.col("t")).alias("target_checksum"),
-    )
+    """Source, accepted and quarantined money, and the two checksums, in one pass."""
+    return reconcile.money_report(_orders(spark, sf_dir), "order_total_str", "total_amount")
 
 
 @query
@@ -443,18 +428,18 @@ def quarantine_per_run(spark, sf_dir):
 
 @query
 def remediation_impact(spark, sf_dir):
-    return remediate.impact(table(spark, sf_dir, "crm"), CUSTOMERS_PLAN, remediate.fix_all(CUSTOMERS_PLAN), CUSTOMERS)
+    return remediate.impact(source(spark, sf_dir, "crm"), CUSTOMERS_PLAN, remediate.fix_all(CUSTOMERS_PLAN), CUSTOMERS)
 
 
 @query
 def remediation_one_field(spark, sf_dir):
     fixed_plan = remediate.fix_field(CUSTOMERS_PLAN, "joined_at", "DATE_TO_ISO8601", "INVALID_TIMESTAMP")
-    return remediate.outcomes(table(spark, sf_dir, "crm"), CUSTOMERS_PLAN, fixed_plan, CUSTOMERS)
+    return remediate.outcomes(source(spark, sf_dir, "crm"), CUSTOMERS_PLAN, fixed_plan, CUSTOMERS)
 
 
 @query
 def remediation_orders(spark, sf_dir):
-    return remediate.impact(table(spark, sf_dir, "orders_src"), ORDERS_PLAN, remediate.fix_all_for(ORDERS_PLAN, ORDERS), ORDERS)
+    return remediate.impact(source(spark, sf_dir, "orders_src"), ORDERS_PLAN, remediate.fix_all_for(ORDERS_PLAN, ORDERS), ORDERS)
 
 
 @query

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.benchmark import LEGACY_CRM, LEGACY_ORDERS, parquet_ref
+from ..sources.scratch import spread
 
 # Event values as the text a careless export would hold.
 TYPED_EVENTS = """
@@ -79,6 +80,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(TEXTS[name].format(**{t: parquet_ref(sf_dir, t) for t in needed}))
 
 
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table whose rows are about to be mapped."""
+    base = {"crm": "customer", "orders_src": "orders", "typed": "events"}[name]
+    return spread(table(spark, sf_dir, name), spark.read.parquet(f"{sf_dir}/{base}.parquet"), "source_row_index")
+
+
 def plain(name: str) -> str:
     """The same text for an engine in which the given tables are views."""
     return re.sub(r"\{(\w+)\}", r"\1", TEXTS[name])
