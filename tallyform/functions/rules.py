@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .calendar import date_stages
-from .fixed import WHITESPACE_CLASS
+from .fixed import WHITESPACE_TO_COLLAPSE
 from .text import fill, is_blank, strip
 
 Params = dict[str, Any]
@@ -133,7 +133,7 @@ def direct_copy(src: Source, params: Params, tmp: str) -> Outcome:
 
 @rule("TRIM_CLEAN")
 def trim_clean(src: Source, params: Params, tmp: str) -> Outcome:
-    squeezed = F.regexp_replace(src.stripped, WHITESPACE_CLASS + "+", " ")
+    squeezed = F.regexp_replace(src.stripped, WHITESPACE_TO_COLLAPSE, " ")
     value = F.when(src.stripped != "", squeezed)
     if not params.get("required", False):
         return Outcome(value)
@@ -171,7 +171,7 @@ def split_name(src: Source, params: Params, tmp: str) -> Outcome:
     s, comma, flat, got = src.stripped, tmp + "comma", tmp + "flat", tmp + "got"
     first_stage = {
         comma: F.instr(s, ","),
-        flat: F.regexp_replace(s, WHITESPACE_CLASS + "+", " "),
+        flat: F.regexp_replace(s, WHITESPACE_TO_COLLAPSE, " "),
     }
     if part == "first":
         after_comma = strip(F.substr(s, F.col(comma) + 1))
