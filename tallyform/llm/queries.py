@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyform.llm import chat, pieces, quality, urls
+from tallyform.llm import chat, decontaminate, language_id, near_dedup, pages, pieces, quality, suffix_dedup, toxicity, urls
 from tallyform.llm.shared import table
 
 
@@ -15,14 +15,34 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), k=4)
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -30,14 +50,24 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(talks))
 
 
+def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
+    "op1_language_network": op1_language_network,
     "op2_quality_divergence": op2_quality_divergence,
+    "op3_minmax_dedup": op3_minmax_dedup,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_positional_index": op5_positional_index,
+    "op6_suffix_arrays": op6_suffix_arrays,
+    "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op8_chat_windows": op8_chat_windows,
+    "op9_block_labeller": op9_block_labeller,
     "op10_url_ratio": op10_url_ratio,
 }
 

@@ -21,7 +21,7 @@ SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 
 #: Every ASCII byte that is neither a letter nor a digit separates words.
 ALNUM_WORDS = np.ones(256, dtype=bool)
-ALNUM_WORDS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
+ALNUM_WORDS[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
