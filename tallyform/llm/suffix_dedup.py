@@ -7,8 +7,9 @@ whose anchor occurs once in the corpus cannot repeat and goes no further; equal
 What is left, distinct stretches that share an anchor, is gathered by anchor into shards of bounded size. A shard's suffix
 array is refined by doubling, only unsorted groups being sorted again (Larsson and Sadakane), its common prefixes come from
 Kasai's walk, run along all stretches at once, and a window whose neighbour in the array agrees with it for ``length`` bytes
-repeats. An anchor with very many stretches is salted over several shards; such shards publish the sorted digests of their
-distinct windows, and sorted runs are merged by binary search, so that windows of different shards meet as well.
+repeats. An anchor with very many stretches is salted over several shards. Such a shard publishes the digests of its distinct
+windows as a sorted run, cut at fixed digests into pieces; the pieces of one anchor and range are merged by binary search, so
+that windows of different shards meet as well. There are the more ranges the more shards, so what is merged at once is bounded.
 
 Cases: null or empty texts have no bytes and lose none; texts under ``length`` bytes lose none; repeated rows are repeats like
 any other, so long ones lose everything; strings that overlap each other in one text count; other columns are ignored.
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ SPAN = 1 << 21
 PER_SALT = 2000
 #: Bytes of a shard's text, beyond which the next anchor begins a new one.
 SHARD_BYTES = 1 << 20
+#: Ranges of digests for each salt of an anchor.
+RANGES = 8
 
 _rng = np.random.Generator(np.random.PCG64(32))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,90 +230,122 @@ def shard_repeats(texts: list[bytes], counts: np.ndarray, length: int) -> tuple[
 # -- all shards -------------------------------------------------------------------------------------------------------
 
 
+_RUNS = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_PIECES = pa.struct([("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("single", pa.list_(pa.bool_()))])
+_FOUND = pa.schema([*_RUNS, ("anchor", pa.int64()), ("range", pa.int32()), ("piece", _PIECES)])
+_FOUND_DDL = "doc long, lo long, hi long, anchor long, `range` int, piece struct<w1:array<long>,w2:array<long>,doc:array<long>,lo:array<long>,single:array<boolean>>"
+
+
+def _solved(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs, and pieces of sorted digests, of a shard's (anchor, salts, doc, lo, count, bytes)."""
+    texts, counts = [r[5] for r in rows], np.array([r[4] for r in rows])
+    anchors, salts, docs, los = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    text, start, repeats, first = shard_repeats(texts, counts, length)
+    hit = repeats & (counts[text] == 1)
+    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    # a run that goes on from the last window of one text to the first of the next is two runs
+    marks = np.flatnonzero((start == 0) & hit & np.append(False, hit[:-1]))
+    begin, end = np.union1d(begin, marks), np.union1d(end, marks - 1)
+    own = text[begin]
+    empty = [pa.nulls(len(own), f.type) for f in list(_FOUND)[3:]]
+    yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(los[own] + start[begin]), pa.array(los[own] + start[end]), *empty], schema=_FOUND)
+    some = np.flatnonzero((salts[text] > 1) & first)
+    if not len(some):
+        return
+    data = np.frombuffer(b"\xff".join(texts), dtype=np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    at = (np.cumsum(sizes) - sizes)[text[some]] + start[some]
+    w1, w2 = (_range_hash(_prefix_hash(d), at, at + length) for d in (data, _SECOND[data]))
+    own = text[some]
+    part = ((w1 >> np.uint64(40)).astype(np.int64) * (salts[own] * RANGES)) >> 24
+    by = np.lexsort((w2, w1, part, anchors[own]))
+    some, own, part, w1, w2 = some[by], own[by], part[by], w1[by], w2[by]
+    heads = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (anchors[own][1:] != anchors[own][:-1])))
+    edges = pa.array(np.append(heads, len(some)), pa.int32())
+    lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (w1.view(np.int64), w2.view(np.int64), docs[own], los[own] + start[some], ~repeats[some])]
+    none = pa.nulls(len(heads), pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [none, none, none, pa.array(anchors[own][heads]), pa.array(part[heads], pa.int32()), pa.StructArray.from_arrays(lists, names=[f.name for f in _PIECES])], schema=_FOUND
+    )
+
+
 def _shards(work: DataFrame, length: int) -> DataFrame:
-    """Rows of two kinds from (anchor, salt, salted, doc, lo, count, bytes): runs of repeating windows of stretches that are
-    not repeated as a whole (doc, lo, hi), and for salted anchors the digests of distinct windows (w1, w2, doc, lo, single)."""
-    schema = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("single", pa.bool_())])
-
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        texts, counts = [r[5] for r in rows], np.array([r[4] for r in rows])
-        docs, los, salted = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
-        text, start, repeats, first = shard_repeats(texts, counts, length)
-        hit = repeats & (counts[text] == 1)
-        edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        # a run that goes on from the last window of one text to the first of the next is two runs
-        marks = np.flatnonzero((start == 0) & hit & np.append(False, hit[:-1])) if len(hit) else np.zeros(0, dtype=np.int64)
-        begin, end = np.union1d(begin, marks), np.union1d(end, marks - 1)
-        own = text[begin]
-        none = pa.nulls(len(own), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(los[own] + start[begin]), pa.array(los[own] + start[end]), none, none, pa.nulls(len(own), pa.bool_())], schema=schema)
-        some = np.flatnonzero(salted[text] & first) if salted.any() else np.zeros(0, dtype=np.int64)
-        if len(some):
-            data = np.frombuffer(b"\xff".join(texts), dtype=np.uint8)
-            sizes = np.array([len(t) + 1 for t in texts])
-            at = (np.cumsum(sizes) - sizes)[text[some]] + start[some]
-            w1 = _range_hash(_prefix_hash(data), at, at + length)
-            w2 = _range_hash(_prefix_hash(_SECOND[data]), at, at + length)
-            by = np.lexsort((w2, w1))
-            some, w1, w2 = some[by], w1[by], w2[by]
-            own = text[some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[own]), pa.array(los[own] + start[some]), pa.nulls(len(own), pa.int64()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(~repeats[some])], schema=schema
-            )
+    """Rows of two kinds from (anchor, salt, salts, doc, lo, count, bytes): runs of repeating windows of stretches that do not
+    repeat as a whole (doc, lo, hi), and for salted anchors pieces of sorted digests (anchor, range, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, now = 0, None
         for batch in batches:
-            for key in zip(*(batch[c].to_pylist() for c in ("anchor", "salt", "salted", "doc", "lo", "count", "bytes")), strict=True):
+            for key in zip(*(batch[c].to_pylist() for c in ("anchor", "salt", "salts", "doc", "lo", "count", "bytes")), strict=True):
                 if held >= SHARD_BYTES and key[:2] != now:
-                    yield from solve(rows)
+                    yield from _solved(rows, length)
                     rows, held = [], 0
                 now = key[:2]
                 rows.append((key[0], *key[2:]))
                 held += len(key[6])
         if rows:
-            yield from solve(rows)
+            yield from _solved(rows, length)
 
     dealt = work.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.mapInArrow(run, "doc long, lo long, hi long, w1 long, w2 long, single boolean")
+    return dealt.mapInArrow(run, _FOUND_DDL)
 
 
 _SECOND = np.random.Generator(np.random.PCG64(33)).permutation(256).astype(np.uint8)
 
 
-def _merged(digests: DataFrame) -> DataFrame:
-    """doc, lo, hi: windows that are single in their shard and occur in another one. Sorted runs lie one after the other in a
-    partition; binary search finds each digest's range."""
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of sorted runs of digests (w1, w2), which ones are in another run as well: each run is looked up in the others by
+    binary search."""
+    kind = np.dtype([("w1", "<i8"), ("w2", "<i8")])
+    whole = []
+    for w1, w2 in runs:
+        one = np.empty(len(w1), dtype=kind)
+        one["w1"], one["w2"] = w1, w2
+        whole.append(one)
+    every = np.sort(np.concatenate(whole), order=("w1", "w2"))
+    w1 = every["w1"]
+    out = []
+    for one in whole:
+        left, right = np.searchsorted(w1, one["w1"], "left"), np.searchsorted(w1, one["w1"], "right")
+        many = np.zeros(len(one), dtype=bool)
+        for i in np.flatnonzero(right - left > 1):
+            many[i] = int((every["w2"][left[i] : right[i]] == one["w2"][i]).sum()) > 1
+        out.append(many)
+    return out
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """doc, lo, hi: windows that are single in their shard and occur in another one."""
+
+    def solve(held: list[dict]) -> pa.RecordBatch:
+        docs, los = [], []
+        for piece, many in zip(held, merge_runs([(np.array(p["w1"]), np.array(p["w2"])) for p in held]), strict=True):
+            hit = many & np.array(piece["single"], dtype=bool)
+            docs.append(np.array(piece["doc"], dtype=np.int64)[hit])
+            los.append(np.array(piece["lo"], dtype=np.int64)[hit])
+        lo = pa.array(np.concatenate(los))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), lo, lo], schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: pa.Table) -> pa.RecordBatch:
-            w1, w2 = (rows[c].to_numpy() for c in ("w1", "w2"))
-            group = np.cumsum(np.r_[False, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]) if len(w1) else np.zeros(0, dtype=np.int64)
-            many = np.searchsorted(group, group, side="right") - np.searchsorted(group, group, side="left") > 1
-            hit = rows.filter(pc.and_(rows["single"], pa.array(many)))
-            lo = hit["lo"].combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(hit["doc"].chunks) if hit.num_rows else pa.array([], pa.int64()), lo if isinstance(lo, pa.Array) else pa.array(lo.to_pylist(), pa.int64()), lo if isinstance(lo, pa.Array) else pa.array(lo.to_pylist(), pa.int64())], names=["doc", "lo", "hi"])
-
-        rest: pa.Table | None = None
+        now, held = None, []
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            w1, w2 = (rows[c].to_numpy() for c in ("w1", "w2"))
-            # the last digest may go on in the next batch
-            cut = int(np.flatnonzero((w1 != w1[-1]) | (w2 != w2[-1]))[-1] + 1) if len(w1) and ((w1 != w1[-1]) | (w2 != w2[-1])).any() else 0
-            if cut:
-                yield found(rows.slice(0, cut))
-            rest = rows.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
+            for k in range(len(batch)):
+                key = (batch["anchor"][k].as_py(), batch["range"][k].as_py())
+                if key != now and held:
+                    yield solve(held)
+                    held = []
+                now = key
+                held.append(batch["piece"][k].as_py())
+        if held:
+            yield solve(held)
 
-    return digests.repartition("w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(run, "doc long, lo long, hi long")
+    return pieces.repartition("anchor", "range").sortWithinPartitions("anchor", "range").mapInArrow(run, "doc long, lo long, hi long")
 
 
 def _cut_out(docs: DataFrame, work: DataFrame, length: int) -> DataFrame:
-    """``work`` (anchor, content, salt, salted, doc, place, count) with lo and the bytes of its stretches."""
+    """``work`` (anchor, content, salt, salts, doc, place, count) with lo and the bytes of its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,15 +356,15 @@ def _cut_out(docs: DataFrame, work: DataFrame, length: int) -> DataFrame:
                     raw = text.encode()
                     for item in items:
                         lo, n = item["place"] >> 16, item["place"] & 0xFFFF
-                        rows.append((item["anchor"], item["salt"], item["salted"], doc, lo, item["count"], raw[lo : lo + n - 1 + length]))
+                        rows.append((item["anchor"], item["salt"], item["salts"], doc, lo, item["count"], raw[lo : lo + n - 1 + length]))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "salt", "salted", "doc", "lo", "count", "bytes"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "salt", "salts", "doc", "lo", "count", "bytes"])
 
-    wanted = work.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "salted", "place", "count")).alias("items"))
+    wanted = work.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "salts", "place", "count")).alias("items"))
     keyed = docs.select(row_key("doc_id", "text").alias("doc"), "text").where(F.octet_length("text") >= length)
     # rows with one key are one text: one of them is enough to cut from
-    return keyed.join(wanted, "doc").dropDuplicates(["doc"]).mapInArrow(run, "anchor long, salt int, salted boolean, doc long, lo long, count long, bytes binary")
+    return keyed.join(wanted, "doc").dropDuplicates(["doc"]).mapInArrow(run, "anchor long, salt int, salts int, doc long, lo long, count long, bytes binary")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -343,9 +377,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     lo, n = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF)
     runs = whole.select("doc", lo.alias("lo"), (lo + n - 1).alias("hi"))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").withColumn("salts", F.ceil(F.col("k") / PER_SALT).cast("int"))
-    work = kinds.join(groups, "anchor").select("anchor", F.pmod("content", F.col("salts")).cast("int").alias("salt"), (F.col("salts") > 1).alias("salted"), "doc", "place", "count")
+    work = kinds.join(groups, "anchor").select("anchor", F.pmod("content", F.col("salts")).cast("int").alias("salt"), "salts", "doc", "place", "count")
     found = stage(_shards(_cut_out(docs, work, length), length), "suffix-found")
-    runs = runs.unionAll(found.where("w1 is null").select("doc", "lo", "hi")).unionAll(_merged(found.where("w1 is not null").select("doc", "lo", "w1", "w2", "single")))
+    runs = runs.unionAll(found.where("piece is null").select("doc", "lo", "hi")).unionAll(_merged(found.where("piece is not null").select("anchor", "range", "piece")))
     return runs.groupBy("doc").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("runs"))
 
 
