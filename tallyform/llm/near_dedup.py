@@ -4,11 +4,13 @@ Equal shingle sets are one class from the start. A class is signed by the least
 each of ``PERMUTATIONS`` permutations; two permutations (four values) make a band, and classes that agree in a band share a
 bucket. At 0.8 similarity a pair shares none of the 24 bands with probability 0.59 ^ 24, about 3 in a million.
 
-Buckets are worked off without listing their pairs. In a round, each bucket names two of its members, of its least and its
-greatest component so far, and every member of another component is compared with them on full sets; links join components;
-buckets that lie in one component are done. A bucket of n copies so takes about n comparisons. When what is left has few pairs
-(or after ``ROUNDS`` rounds) all its pairs across components are compared, so that no link between candidates is lost.
-Comparisons are dealt by (member named, salt): a task holds one set and streams the others.
+Buckets are worked off without listing their pairs. In a round each bucket names one of its members, at first the one that
+shares most buckets with others (an original among its copies), later ones at random; each class that is in another component
+is compared, on full sets, with one of the members that its buckets name. Links join components, and buckets that lie in one
+component are done, so a group of n copies takes about n comparisons a round. Classes of which more than a fifth of the
+shingles occur in no other class still in question can have no link (the similarity is at most the share of the rest) and
+leave. When few pairs are left (or after ``ROUNDS`` rounds) all of them are compared, so that no link between candidates is
+lost. Comparisons are dealt by (member named, salt): a task holds one set and streams the others.
 
 Cases: null or empty texts have an empty set, link with nothing and are their own component; a text of fewer words than a shingle has
 one shingle, the whole; repeated rows are one class; among rows that share an id each has its own set, and their component the
@@ -31,7 +33,7 @@ PERMUTATIONS = 48
 BANDS = 24
 #: Members that one task compares with the set of one named member.
 PER_SALT = 256
-ROUNDS = 12
+ROUNDS = 10
 
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,22 +90,36 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u, root: the least node that each node of ``edges`` (u, v) reaches. Alternating large and small stars; every step is a
-    staged table, a star's many edges meet as partial minima."""
-    edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
+    """u, root: the least node that each node of ``edges`` (u, v) reaches. Alternating large and small stars, one staged table a
+    turn; a star's many edges meet as partial minima."""
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u != v").distinct(), "large-star")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == (seen.n, seen.s):
+        edges = stage(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        # done when every node has one edge, to a node that has none
+        ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)).distinct())
+        odd = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or (out > 0 and into > 0)")
+        if odd.isEmpty():
             return edges.select("u", F.col("v").alias("root"))
-        mark = (seen.n, seen.s)
+
+
+def _lonely(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node: those of ``nodes`` (node, n) of which over a fifth of the shingles are in no other one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in text_passes(batch["text"]):
+                shingles, first = shingle_sets(data, offsets, k)
+                of = np.repeat(np.arange(len(offsets) - 1), np.diff(first)) + a
+                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(of)), pa.array(shingles.view(np.int64))], names=["node", "shingle"])
+
+    rows = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingle long")
+    own = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    return own.join(nodes, "node").where("100 * (n - u) < 80 * n").select("node")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -170,53 +186,51 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
-    every = nodes.select(F.explode("buckets").alias("bucket"), "node", "n")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    held = stage(every.join(shared, "bucket", "left_semi"), "near-buckets")
-    texts = stage(_texts(docs, nodes.join(held.select("node").distinct(), "node", "left_semi"), k), "near-texts")
-    labels = held.select("node").distinct().withColumn("label", F.col("node"))
-    tested, before = None, None
+    every = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    held = stage(every.join(shared, "bucket"), "near-buckets")
+    labels = held.groupBy("node").agg(F.sum("c").alias("shares")).join(nodes.select("node", "id", "d1", "n"), "node")
+    labels = stage(labels.withColumn("label", F.col("node")), "near-labels")
+    texts = stage(_texts(docs, labels.select("node", "id", "d1"), k), "near-texts")
+    labels, held = labels.select("node", "n", "shares", "label"), held.select("bucket", "node")
+    tested = None
     for turn in range(ROUNDS + 1):
-        labelled = held.join(labels, "node") if turn else held.withColumn("label", F.col("node"))
-        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("member"))
+        labelled = held.join(labels, "node")
+        weight = F.col("shares") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.max_by("node", weight).alias("member"), F.max(weight).alias("w"))
         open_buckets = parts.groupBy("bucket").agg(
-            F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.min("label").alias("l1"), F.max("label").alias("l2"),
-            F.min_by("member", "label").alias("m1"), F.max_by("member", "label").alias("m2"),
+            F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
+            F.max_by("label", "w").alias("l1"), F.max_by("member", "w").alias("b"), F.max("w").alias("w"),
         ).where("labels > 1")
         open_buckets = stage(open_buckets, "near-open")
         left = open_buckets.agg(F.count("*").alias("n"), F.sum("c").alias("members"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()
         if not left.n:
             break
-        last = turn > 0 and (left.pairs <= 8 * left.members or turn == ROUNDS or before == left.pairs)
-        before = left.pairs
+        last = turn > 1 and (left.pairs <= 2 * left.members or turn == ROUNDS)
+        mine = labelled.join(open_buckets.select("bucket", "l1", "b", "w"), "bucket")
+        if turn == 1:  # most have joined their component; of the others, many can have no link at all
+            lonely = stage(_lonely(texts, mine.select("node", "n").distinct(), k), "near-lonely")
+            held = held.join(open_buckets.select("bucket"), "bucket", "left_semi").join(lonely, "node", "left_anti")
+            held = stage(held, "near-buckets")
+            mine = mine.join(lonely.select(F.col("node").alias("b")), "b", "left_anti").join(lonely, "node", "left_anti")
         if last:
-            mine = labelled.join(open_buckets.select("bucket"), "bucket")
-            theirs = mine.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-            pairs = mine.join(theirs, "bucket").where("label < lb")
-            pairs = pairs.select(F.col("node").alias("a"), "b", "n", "nb")
-        else:
-            mine = labelled.join(open_buckets.select("bucket", "l1", "l2", "m1", "m2"), "bucket")
-            named = F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("m1").alias("b")), F.struct(F.col("l2").alias("l"), F.col("m2").alias("b"))))
-            pairs = mine.select(F.col("node").alias("a"), "n", "label", named.alias("x")).where("label != x.l").select("a", "x.b", "n")
-            pairs = pairs.dropDuplicates(["a", "b"]).join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = pairs.where("100 * least(n, nb) >= 80 * greatest(n, nb)").select("a", "b").distinct()
-        if tested is not None:
+            theirs = mine.select("bucket", F.col("node").alias("other"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+            on = (mine["bucket"] == theirs["bucket"]) & (mine["label"] < theirs["lb"]) & (100 * F.least("n", "nb") >= 80 * F.greatest("n", "nb"))
+            pairs = mine.join(theirs, on).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        else:
+            pairs = mine.where("label != l1").groupBy(F.col("node").alias("a")).agg(F.max_by("b", "w").alias("b"))
         pairs = stage(pairs, "near-pairs")
         links = stage(_linked(pairs, texts, k), "near-links")
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionAll(both)
-        if turn:
-            of = labels.withColumnsRenamed({"node": "x"})
-            joined = links.join(of, F.col("a") == of["x"]).select(F.col("label").alias("u"), "b").join(of, F.col("b") == of["x"]).select("u", F.col("label").alias("v"))
-        else:
-            joined = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        of = labels.select(F.col("node").alias("x"), "label")
+        joined = links.join(of, F.col("a") == of["x"]).select(F.col("label").alias("u"), "b").join(of, F.col("b") == of["x"]).select("u", F.col("label").alias("v"))
         roots = components(joined)
-        labels = labels.join(roots, labels["label"] == roots["u"], "left").select("node", F.coalesce("root", "label").alias("label"))
-        labels = stage(labels, "near-labels")
+        labels = stage(labels.join(roots, labels["label"] == roots["u"], "left").select("node", "n", "shares", F.coalesce("root", "label").alias("label")), "near-labels")
         if last:
             break
-    of = nodes.select("d1", "d2", "node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = nodes.select("d1", "d2", "node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("id").alias("component"))
     of = of.join(least, "label").select("d1", "d2", "component")
     out = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
