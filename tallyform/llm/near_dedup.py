@@ -5,12 +5,12 @@ each of ``PERMUTATIONS`` permutations; two permutations (four values) make a ban
 bucket. At 0.8 similarity a pair shares none of the 24 bands with probability 0.59 ^ 24, about 3 in a million.
 
 Buckets are worked off without listing their pairs. In a round each bucket names one of its members, at first the one that
-shares most buckets with others (an original among its copies), later ones at random; each class that is in another component
+shares most buckets with others (an original among its copies), later one at random; each class that is in another component
 is compared, on full sets, with one of the members that its buckets name. Links join components, and buckets that lie in one
-component are done, so a group of n copies takes about n comparisons a round. Classes of which more than a fifth of the
-shingles occur in no other class still in question can have no link (the similarity is at most the share of the rest) and
-leave. When few pairs are left (or after ``ROUNDS`` rounds) all of them are compared, so that no link between candidates is
-lost. Comparisons are dealt by (member named, salt): a task holds one set and streams the others.
+component are done, so a group of n copies takes about n comparisons a round. After the first round the shingles that only
+one class still in question has are counted: two classes share at most what is left of either, which rules out most pairs of
+copies that were edited apart. When few pairs are left (or after ``ROUNDS`` rounds) all that this allows are compared, so that
+no link between candidates is lost. Comparisons are dealt by (member named, salt): a task holds one set and streams the others.
 
 Cases: null or empty texts have an empty set, link with nothing and are their own component; a text of fewer words than a shingle has
 one shingle, the whole; repeated rows are one class; among rows that share an id each has its own set, and their component the
@@ -33,7 +33,9 @@ PERMUTATIONS = 48
 BANDS = 24
 #: Members that one task compares with the set of one named member.
 PER_SALT = 256
-ROUNDS = 10
+ROUNDS = 6
+#: Pairs in buckets, for each place in them, that are few enough to be gone through at once.
+FEW = 200
 
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,8 +109,8 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("root"))
 
 
-def _lonely(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node: those of ``nodes`` (node, n) of which over a fifth of the shingles are in no other one of them."""
+def _own_shingles(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, rest: how many shingles of each of ``nodes`` (node, n) another one of them has as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +121,13 @@ def _lonely(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     rows = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingle long")
     own = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
-    return own.join(nodes, "node").where("100 * (n - u) < 80 * n").select("node")
+    return nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("rest"))
+
+
+def _possible(n: str, m: str, rest: str, other: str) -> F.Column:
+    """Whether sets of n and m shingles, of which ``rest`` and ``other`` are not theirs alone, can be 0.8 similar: they share
+    at least 4 / 9 of n + m."""
+    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (9 * F.least(rest, other) >= 4 * (F.col(n) + F.col(m)))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -192,34 +200,29 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     labels = held.groupBy("node").agg(F.sum("c").alias("shares")).join(nodes.select("node", "id", "d1", "n"), "node")
     labels = stage(labels.withColumn("label", F.col("node")), "near-labels")
     texts = stage(_texts(docs, labels.select("node", "id", "d1"), k), "near-texts")
-    labels, held = labels.select("node", "n", "shares", "label"), held.select("bucket", "node")
+    labels, held = labels.select("node", "n", F.col("n").alias("rest"), "shares", "label"), held.select("bucket", "node")
     tested = None
     for turn in range(ROUNDS + 1):
         labelled = held.join(labels, "node")
         weight = F.col("shares") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.max_by("node", weight).alias("member"), F.max(weight).alias("w"))
+        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.max_by("node", weight).alias("member"), F.max_by("n", weight).alias("n"), F.max_by("rest", weight).alias("rest"), F.max(weight).alias("w"))
         open_buckets = parts.groupBy("bucket").agg(
             F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
-            F.max_by("label", "w").alias("l1"), F.max_by("member", "w").alias("b"), F.max("w").alias("w"),
+            F.max_by("label", "w").alias("l1"), F.max_by("member", "w").alias("b"), F.max_by("rest", "w").alias("rb"), F.max_by("n", "w").alias("nb"), F.max("w").alias("w"),
         ).where("labels > 1")
         open_buckets = stage(open_buckets, "near-open")
         left = open_buckets.agg(F.count("*").alias("n"), F.sum("c").alias("members"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()
         if not left.n:
             break
-        last = turn > 1 and (left.pairs <= 2 * left.members or turn == ROUNDS)
-        mine = labelled.join(open_buckets.select("bucket", "l1", "b", "w"), "bucket")
-        if turn == 1:  # most have joined their component; of the others, many can have no link at all
-            lonely = stage(_lonely(texts, mine.select("node", "n").distinct(), k), "near-lonely")
-            held = held.join(open_buckets.select("bucket"), "bucket", "left_semi").join(lonely, "node", "left_anti")
-            held = stage(held, "near-buckets")
-            mine = mine.join(lonely.select(F.col("node").alias("b")), "b", "left_anti").join(lonely, "node", "left_anti")
+        last = turn > 1 and (left.pairs <= FEW * left.members or turn == ROUNDS)
+        mine = labelled.join(open_buckets.select("bucket", "l1", "b", "nb", "rb", "w"), "bucket")
         if last:
-            theirs = mine.select("bucket", F.col("node").alias("other"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-            on = (mine["bucket"] == theirs["bucket"]) & (mine["label"] < theirs["lb"]) & (100 * F.least("n", "nb") >= 80 * F.greatest("n", "nb"))
+            theirs = mine.select("bucket", F.col("node").alias("other"), F.col("label").alias("lo"), F.col("n").alias("no"), F.col("rest").alias("ro"))
+            on = (mine["bucket"] == theirs["bucket"]) & (mine["label"] < theirs["lo"]) & _possible("n", "no", "rest", "ro")
             pairs = mine.join(theirs, on).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
-            pairs = mine.where("label != l1").groupBy(F.col("node").alias("a")).agg(F.max_by("b", "w").alias("b"))
+            pairs = mine.where((F.col("label") != F.col("l1")) & _possible("n", "nb", "rest", "rb")).groupBy(F.col("node").alias("a")).agg(F.max_by("b", "w").alias("b"))
         pairs = stage(pairs, "near-pairs")
         links = stage(_linked(pairs, texts, k), "near-links")
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -227,9 +230,16 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
         of = labels.select(F.col("node").alias("x"), "label")
         joined = links.join(of, F.col("a") == of["x"]).select(F.col("label").alias("u"), "b").join(of, F.col("b") == of["x"]).select("u", F.col("label").alias("v"))
         roots = components(joined)
-        labels = stage(labels.join(roots, labels["label"] == roots["u"], "left").select("node", "n", "shares", F.coalesce("root", "label").alias("label")), "near-labels")
+        labels = labels.join(roots, labels["label"] == roots["u"], "left").select("node", "n", "rest", "shares", F.coalesce("root", "label").alias("label"))
+        labels = stage(labels, "near-labels")
         if last:
             break
+        # Buckets that lie in one component are done, and so are classes with too few shared shingles for any partner.
+        mixed = held.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("bucket")
+        held = stage(held.join(mixed, "bucket", "left_semi"), "near-buckets")
+        rest = _own_shingles(texts, labels.select("node", "n").join(held.select("node").distinct(), "node", "left_semi"), k)
+        labels = stage(labels.drop("rest").join(rest, "node", "left").select("node", "n", F.coalesce("rest", "n").alias("rest"), "shares", "label"), "near-labels")
+        held = held.join(labels.where("100 * rest >= 80 * n").select("node"), "node", "left_semi")
     of = nodes.select("d1", "d2", "node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("id").alias("component"))
     of = of.join(least, "label").select("d1", "d2", "component")
