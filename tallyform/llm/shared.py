@@ -108,8 +108,8 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     total = len(words.hashes)
     text_of = np.repeat(np.arange(len(count)), np.where(count >= k, count - k + 1, (count > 0).astype(np.int64)))
     out = np.zeros(total, dtype=np.uint64)
-    for i in range(k):
-        out[: total - i if i else total] += words.hashes[i:] * GRAM[i]
+    for i in range(min(k, total)):
+        out[: total - i] += words.hashes[i:] * GRAM[i]
     left = np.repeat(words.first[1:], count) - np.arange(total)
     keep = left >= k
     short = np.flatnonzero((count > 0) & (count < k))
