@@ -38,7 +38,7 @@ class ToxicityParams:
     features: int = 2000
     #: Least number of sample documents that a feature must occur in.
     least: int = 5
-    l1: float = 0.0002
+    l1: float = 0.0005
     l2: float = 0.0001
     counterfactual: float = 1.0
     steps: int = 400
