@@ -24,17 +24,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, scan: DataFrame, by: str) -> DataFrame:
-    """Rows over all cores when the ``scan`` they come from has fewer partitions than there are cores.
-
-    Mapping a row costs far more than moving it, and a small file is one partition. A scan that already feeds
-    every core is left alone, so nothing is shuffled where there is much to shuffle. ``scan`` is the bare file
-    scan: asking it for its partitions runs nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if scan.rdd.getNumPartitions() < cores else df
-
-
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: cuts lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, name)

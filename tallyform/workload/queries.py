@@ -16,7 +16,7 @@ from ..plans.catalogue import CUSTOMERS, CUSTOMERS_PLAN, ORDERS, ORDERS_PLAN
 from ..plans.spec import Plan, TargetSpec
 from ..sources import readers
 from ..sources.row_index import with_row_index
-from ..sources.scratch import scratch_path, spread
+from ..sources.scratch import scratch_path
 from ..sources.store import Store, export, quarantine_report
 from .sources_sql import source, table
 
@@ -70,7 +70,7 @@ for _name in RULE_CASES:
 @query
 def rule_trim_clean_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return apply_rule(spread(docs, docs, "doc_id"), "TRIM_CLEAN", "text").select("doc_id", "value")
+    return apply_rule(docs, "TRIM_CLEAN", "text").select("doc_id", "value")
 
 
 # -- conform ----------------------------------------------------------------------------------------------

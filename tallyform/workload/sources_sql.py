@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.benchmark import LEGACY_CRM, LEGACY_ORDERS, parquet_ref
-from ..sources.scratch import spread
 
 # Event values as the text a careless export would hold.
 TYPED_EVENTS = """
@@ -82,8 +81,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table whose rows are about to be mapped."""
-    base = {"crm": "customer", "orders_src": "orders", "typed": "events"}[name]
-    return spread(table(spark, sf_dir, name), spark.read.parquet(f"{sf_dir}/{base}.parquet"), "source_row_index")
+    return table(spark, sf_dir, name)
 
 
 def plain(name: str) -> str:

@@ -85,3 +85,12 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     assert run() + store.quarantine().count() == 200
     assert store.metrics().agg(F.sum("total_source_records")).first()[0] == 200
     assert accepted_stream(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), PLAN, CUSTOMERS, "source_row_index").isStreaming
+
+
+def test_money_totals_survive_amounts_that_do_not_fit(spark):
+    from tallyform.operators.reconcile import money_total, target_total
+
+    text = spark.createDataFrame([("12.50",), ("9" * 30,), (None,)], "amount string")
+    assert float(money_total(text, "amount").first().total) == 12.5
+    numbers = spark.createDataFrame([(1e17,), (2.5,), (1e40,)], "balance_due double")
+    assert float(target_total(numbers).first().total) == 1e17 + 2.5
