@@ -1,8 +1,14 @@
-"""Changes of policy on a plan, and what they do to the rejected rows."""
+"""Changes of policy on a plan, and what they do to the rejected rows.
+
+A change is a set of overrides: parameters per target field. Overrides come from a person (``override``,
+``with_policy``), from the target's constraints (``fix_all_for``), or from the errors that were found
+(``fixes_from_errors``); one table says which parameters answer which failing rule.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,126 +19,137 @@ from ..functions.text import fill
 from ..plans.spec import Plan, TargetSpec
 from .conform import ROW_INDEX, conform
 
-_NULL_INSTEAD = {"on_invalid": "null", "null_on_invalid": True}
-
-
-def answer_question(plan: Plan, question_id: str, answer: str, field: str | None = None) -> Plan:
-    """Turn the answer to an open question into parameters of the field it is about."""
-    if question_id == "clarify_status_x":
-        for code in ("SUSPENDED", "INACTIVE"):
-            if code in answer:
-                return plan.with_parameters("status", {"fallback": code})
-        return plan.with_parameters("status", {}, drop=("fallback",)) if "Quarantine" in answer else plan.back_to_draft()
-    if question_id == "clarify_empty_names":
-        if fixed.FIX_NAME in answer:
-            return plan.with_parameters("first_name", {"default": fixed.FIX_NAME, "required": False})
-        if "Quarantine" in answer:
-            return plan.with_parameters("first_name", {"required": True}, drop=("default",))
-        return plan.back_to_draft()
-    if question_id == "clarify_bad_phones":
-        if "null" in answer.lower():
-            return plan.with_parameters("phone_e164", {"on_invalid": "null"})
-        if "Quarantine" in answer:
-            return plan.with_parameters("phone_e164", {}, drop=("on_invalid",))
-        return plan.back_to_draft()
-    target = field or question_id.removeprefix("clarify_")
-    if "Apply fallback default" in answer:
-        quoted = re.search(r"'(.*?)'", answer)
-        return plan.with_parameters(target, {"default": quoted.group(1)}) if quoted else plan.back_to_draft()
-    if "Quarantine" in answer:
-        return plan.with_parameters(target, {"required": True, "default": None})
+Overrides = Mapping[str, Mapping[str, Any]]
+#: As the value of a parameter: remove it.
+DROP = object()
+
+
+@dataclass(frozen=True)
+class Remedy:
+    """``filled`` parameters take the substitute; ``also`` are set as they stand."""
+
+    filled: tuple[str, ...] = ("fallback",)
+    also: Mapping[str, Any] = field(default_factory=dict)
+
+
+_NULL = Remedy((), {"on_invalid": "null", "null_on_invalid": True})
+_OPTIONAL = Remedy(("fallback", "default"), {"required": False})
+
+#: Failing rule or constraint -> parameter change. A rule that is not listed gets a fallback.
+REMEDIES = {
+    "DATE_TO_ISO8601": Remedy(("fallback", "default")),
+    "EMAIL_NORMALIZE": Remedy(),
+    "ENUM_LOOKUP": Remedy(),
+    "ENUM_CONSTRAINT": Remedy(),
+    "PHONE_TO_E164": _NULL,
+    "REGEX_CONSTRAINT": _NULL,
+    "SPLIT_NAME": _OPTIONAL,
+    "NOT_NULL_CONSTRAINT": _OPTIONAL,
+}
+#: What is written instead, by the rule that fills the field.
+SUBSTITUTES = {
+    "DATE_TO_ISO8601": fixed.FIX_DATE,
+    "EMAIL_NORMALIZE": fixed.FIX_EMAIL,
+    "ENUM_LOOKUP": fixed.FIX_STATUS,
+    "SPLIT_NAME": fixed.FIX_NAME,
+}
+#: Substitutes for status, phone, date and e-mail of the customer plan. Names stay required.
+CUSTOMER_FIXES: Overrides = {
+    "status": {"fallback": fixed.FIX_STATUS, "mapping": {"X": fixed.FIX_STATUS}},
+    "phone_e164": _NULL.also,
+    "joined_at": {"fallback": fixed.FIX_DATE, "default": fixed.FIX_DATE},
+    "email": {"fallback": fixed.FIX_EMAIL},
+}
+#: What to do with values that cannot be used.
+POLICIES = {
+    "null": lambda value: dict(_NULL.also),
+    "substitute": lambda value: {"fallback": value, "default": value, "required": False},
+    "quarantine": lambda value: {
+        "required": True, **dict.fromkeys(("default", "fallback", "on_invalid", "null_on_invalid"), DROP)
+    },
+}
+
+
+def override(plan: Plan, overrides: Overrides) -> Plan:
+    """The plan with changed parameters, as a draft that needs a new approval.
+
+    A ``mapping`` is added to the one the plan has, ``DROP`` removes a parameter, and fields that the plan
+    does not fill are left out.
+    """
+    for name, changes in overrides.items():
+        now = plan.mapping_for(name)
+        if now is None:
+            continue
+        kept = {k: v for k, v in changes.items() if v is not DROP}
+        if "mapping" in kept:
+            kept["mapping"] = {**(now.parameters.get("mapping") or {}), **kept["mapping"]}
+        plan = plan.with_parameters(name, kept, drop=tuple(k for k, v in changes.items() if v is DROP))
     return plan.back_to_draft()
 
 
-def _with_code(plan: Plan, field: str, raw: Any, code: str) -> dict[str, Any]:
-    mapping = plan.mapping_for(field)
-    codes = dict((mapping.parameters.get("mapping") if mapping else None) or {})
-    codes[str(raw)] = code
-    return codes
+def with_policy(plan: Plan, name: str, policy: str, value: Any = None) -> Plan:
+    """One field under ``null``, ``substitute`` (by ``value``) or ``quarantine``."""
+    if policy not in POLICIES:
+        raise ValueError(f"policy {policy!r} is none of {sorted(POLICIES)}")
+    return override(plan, {name: POLICIES[policy](value)})
+
+
+def remedy(
+    plan: Plan, name: str, rule: str, raw: Any = None, substitute: Any = None, spec: TargetSpec | None = None
+) -> dict[str, Any]:
+    """Parameters that answer one failing rule of a field; a rejected code ``raw`` is mapped as well."""
+    mapped = plan.mapping_for(name)
+    filler = mapped.transformation if mapped else rule
+    declared = spec.by_name().get(name) if spec else None
+    code = rule if rule in REMEDIES else filler
+    change = REMEDIES.get(code, Remedy())
+    if substitute is None:
+        allowed = declared.allowed if declared else []
+        substitute = allowed[0] if allowed else SUBSTITUTES.get(filler, fixed.FIX_OTHER)
+    found = {**dict.fromkeys(change.filled, substitute), **change.also}
+    if raw is not None and code.startswith("ENUM"):
+        found["mapping"] = {str(raw): substitute}
+    return found
+
+
+def fix_field(
+    plan: Plan, name: str, rule: str, raw: Any = None, substitute: Any = None, spec: TargetSpec | None = None
+) -> Plan:
+    """The fix for one field, chosen by its failing rule; ``spec`` names the allowed codes."""
+    return override(plan, {name: remedy(plan, name, rule, raw, substitute, spec)})
 
 
 def fix_all(plan: Plan) -> Plan:
-    """Substitutes for status, phone, date and e-mail of the customer plan. Names stay required."""
-    for m in plan.mappings:
-        if m.target_field == "status":
-            codes = _with_code(plan, "status", "X", fixed.FIX_STATUS)
-            plan = plan.with_parameters("status", {"fallback": fixed.FIX_STATUS, "mapping": codes})
-        elif m.target_field == "phone_e164":
-            plan = plan.with_parameters("phone_e164", _NULL_INSTEAD)
-        elif m.target_field == "joined_at":
-            plan = plan.with_parameters("joined_at", {"fallback": fixed.FIX_DATE, "default": fixed.FIX_DATE})
-        elif m.target_field == "email":
-            plan = plan.with_parameters("email", {"fallback": fixed.FIX_EMAIL})
-    return plan.back_to_draft()
-
-
-def fix_field(plan: Plan, field: str, rule: str, raw: Any = None, substitute: str | None = None) -> Plan:
-    """The fix for one field of the customer plan, chosen by field and failing rule."""
-    if plan.mapping_for(field) is None:
-        return plan.back_to_draft()
-    if field == "joined_at" or "DATE" in rule:
-        value = substitute or fixed.FIX_DATE
-        return plan.with_parameters(field, {"fallback": value, "default": value})
-    if field == "email" or "EMAIL" in rule:
-        return plan.with_parameters(field, {"fallback": substitute or fixed.FIX_EMAIL})
-    if field == "phone_e164" or "PHONE" in rule or "REGEX" in rule:
-        return plan.with_parameters(field, _NULL_INSTEAD)
-    if "NOT_NULL" in rule or rule == "SPLIT_NAME" or field == "first_name":
-        value = substitute or (fixed.FIX_NAME if field == "first_name" else fixed.FIX_OTHER)
-        return plan.with_parameters(field, {"fallback": value, "default": value, "required": False})
-    if "ENUM" in rule or field == "status":
-        value = substitute or fixed.FIX_STATUS
-        changes: dict[str, Any] = {"fallback": value}
-        if raw is not None:
-            changes["mapping"] = _with_code(plan, field, raw, value)
-        return plan.with_parameters(field, changes)
-    return plan.with_parameters(field, {"fallback": substitute or fixed.FIX_OTHER})
-
-
-def _named_substitute(name: str, with_time: bool) -> str:
-    low = name.lower()
-    if "name" in low:
-        return fixed.FIX_NAME
-    if "date" in low or (with_time and "time" in low):
-        return fixed.FIX_DATE
-    return fixed.FIX_EMAIL if "email" in low else fixed.FIX_OTHER
+    """The published fixes of the customer plan."""
+    return override(plan, CUSTOMER_FIXES)
 
 
 def fix_all_for(plan: Plan, spec: TargetSpec) -> Plan:
     """Substitutes for every field of any plan, chosen from the target's constraints."""
-    fields = spec.by_name()
-    for m in plan.mappings:
-        f = fields.get(m.target_field)
-        if f is None:
-            continue
-        if f.allowed:
-            plan = plan.with_parameters(f.name, {"fallback": f.allowed[0]})
-        elif not f.nullable:
-            value = _named_substitute(f.name, with_time=True)
-            plan = plan.with_parameters(f.name, {"fallback": value, "default": value, "required": False})
-        if f.constraints.get("regex"):
-            plan = plan.with_parameters(f.name, _NULL_INSTEAD)
-    return plan.back_to_draft()
-
-
-def fix_field_for(
-    plan: Plan, spec: TargetSpec, field: str, rule: str, raw: Any = None, substitute: str | None = None
-) -> Plan:
-    """The fix for one field of any plan."""
-    f = spec.by_name().get(field)
-    if plan.mapping_for(field) is None:
-        return plan.back_to_draft()
-    allowed = f.allowed if f else []
-    if "ENUM" in rule or allowed:
-        value = substitute or (allowed[0] if allowed else fixed.FIX_OTHER)
-        changes: dict[str, Any] = {"fallback": value}
-        if raw is not None:
-            changes["mapping"] = _with_code(plan, field, raw, value)
-        return plan.with_parameters(field, changes)
-    if "REGEX" in rule or (f and f.constraints.get("regex")):
-        return plan.with_parameters(field, _NULL_INSTEAD)
-    value = substitute or _named_substitute(field, with_time=False)
-    return plan.with_parameters(field, {"fallback": value, "default": value, "required": False})
+    fixes: dict[str, dict[str, Any]] = {}
+    for f in spec.fields:
+        # an allowed code also fills a required field
+        holds = {
+            "ENUM_CONSTRAINT": bool(f.allowed),
+            "NOT_NULL_CONSTRAINT": not f.nullable and not f.allowed,
+            "REGEX_CONSTRAINT": bool(f.constraints.get("regex")),
+        }
+        for code in (c for c, applies in holds.items() if applies):
+            fixes.setdefault(f.name, {}).update(remedy(plan, f.name, code, spec=spec))
+    return override(plan, fixes)
+
+
+def fixes_from_errors(errors: DataFrame, plan: Plan, spec: TargetSpec, least: int = 1) -> Plan:
+    """Fix what was found: one remedy per (field, rule) with at least ``least`` errors.
+
+    ``errors`` is the error table (columns ``field``, ``rule``); what reaches the driver is one row per field
+    and rule of the plan. Rules are applied in order of their names, so the result is repeatable.
+    """
+    pairs = errors.groupBy("field", "rule").count().filter(F.col("count") >= least).orderBy("field", "rule").collect()
+    fixes: dict[str, dict[str, Any]] = {}
+    for row in pairs:
+        fixes.setdefault(row["field"], {}).update(remedy(plan, row["field"], row["rule"], spec=spec))
+    return override(plan, fixes)
 
 
 def outcomes(df: DataFrame, before: Plan, after: Plan, spec: TargetSpec, index: str = ROW_INDEX) -> DataFrame:

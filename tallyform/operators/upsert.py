@@ -2,12 +2,15 @@
 
 The batch may hold a key many times (the last row wins) and one key may hold any share of it. Rows of a key
 are therefore merged by partial aggregates before they meet, and the row-by-row outcome is worked out in
-bounded blocks (see ``ordered``). Both sides of every join with the target hold a key once.
+bounded blocks (see ``ordered``). Keys are compared as trimmed text and null equals null, so a row without a key
+has outcomes like any other; ``pipeline.execute`` sends such rows to the ledger before they get here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +32,18 @@ class ConstraintError(ValueError):
 
 
 def _key_columns(keys: Sequence[str]) -> dict[str, Column]:
-    return {f"__k{i}": strip(F.col(k).cast("string")) for i, k in enumerate(keys)}
+    """Join keys: the trimmed text of each key, and whether it is null (a join drops null keys otherwise)."""
+    text = {f"__k{i}": strip(F.col(k).cast("string")) for i, k in enumerate(keys)}
+    found = {name: F.coalesce(value, F.lit("")) for name, value in text.items()}
+    found.update({f"__n{i}": value.isNull() for i, value in enumerate(text.values())})
+    return found
 
 
-def _comparable(name: str, dtype: T.DataType) -> Column:
-    """A missing amount counts as zero when rows are compared."""
+def _comparable(name: str, dtype: T.DataType, have: T.DataType) -> Column:
+    """A missing amount counts as zero when rows are compared; other values are compared as ``dtype``."""
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name)
-    return F.col(name)
+    return F.col(name) if have == dtype else F.col(name).cast(dtype).alias(name)
 
 
 class Upsert:
@@ -64,11 +71,16 @@ class Upsert:
         self._k = list(_key_columns(self.keys))
 
     def _compared(self, df: DataFrame) -> Column:
-        """The values a change is judged by; columns the target does not have yet count as null there."""
-        types = {f.name: f.dataType for f in self.batch.schema.fields}
-        have = set(df.columns)
+        """The values a change is judged by, as the target's types.
+
+        Columns the target does not have yet count as null there. Text that is no value of the target's type
+        fails the job; ``guard_types`` refuses such a batch beforehand.
+        """
+        types = dict(self._all_columns())
+        have = {f.name: f.dataType for f in df.schema.fields}
         parts = [
-            _comparable(c, types[c]) if c in have else F.lit(None).cast(types[c]).alias(c) for c in self.data_columns
+            _comparable(c, types[c], have[c]) if c in have else F.lit(None).cast(types[c]).alias(c)
+            for c in self.data_columns
         ]
         return F.struct(*parts) if parts else F.struct(F.lit(1).alias("same"))
 
@@ -84,7 +96,9 @@ class Upsert:
             F.col(self.index), *self.keys, *self._k, self._compared(self.batch).alias("__now")
         )
         seen = previous_in_key(rows, self._k, self.index, F.col("__now"), "__before", self.block_bits)
-        known = self._known().select(*self._k, self._compared(self.target).alias("__old"), F.lit(True).alias("__in"))
+        # a target from elsewhere may hold a key twice; one of its rows is enough to tell an outcome
+        known = self._known().select(*self._k, self._compared(self.target).alias("__old"))
+        known = known.groupBy(*self._k).agg(F.min("__old").alias("__old"), F.lit(True).alias("__in"))
         # only the first row of a key looks into the target: at most one per key, so no key is hot here
         first = seen.filter(~F.col("__before_found")).join(known, self._k, "left")
         later = seen.filter(F.col("__before_found"))
@@ -140,12 +154,11 @@ class Upsert:
                 types.setdefault(f.name, f.dataType)
         return list(types.items())
 
-    def merged(self, winners: DataFrame | None = None, small: bool = False) -> DataFrame:
-        """The target after the batch; both sides of the join hold a key once.
+    def merged(self, winners: DataFrame | None = None) -> DataFrame:
+        """The target after the batch.
 
-        One outer join moves target and batch once. For a batch known to be ``small`` the target stays where
-        it is: its rows look their key up in the batch, and the keys found tell which batch rows are new. Pass
-        the staged ``winners`` then, so that Spark knows their size and may broadcast them.
+        Target rows look their key up in the batch, and the keys found tell which batch rows are new. Pass the
+        staged ``winners``: Spark knows their size then, and leaves the target where it is when they are small.
         """
         t = self._known().select(
             *self._k,
@@ -156,12 +169,9 @@ class Upsert:
         w = w.select(
             *self._k, F.struct(*self.columns).alias("w"), "__mixed", self._compared(w).alias("w_cmp")
         )
-        if small:
-            found = self._known().select(*self._k).join(w.select(*self._k), self._k, "left_semi")
-            new = w.join(found, self._k, "left_anti")
-            both = t.join(w, self._k, "left").unionByName(new, allowMissingColumns=True)
-        else:
-            both = t.join(w, self._k, "full_outer")
+        found = self._known().select(*self._k).join(w.select(*self._k), self._k, "left_semi")
+        new = w.join(found, self._k, "left_anti")
+        both = t.join(w, self._k, "left").unionByName(new, allowMissingColumns=True)
         have_t, have_w = F.col("t").isNotNull(), F.col("w").isNotNull()
         if not self.data_columns:
             written = have_w & ~have_t
@@ -177,7 +187,8 @@ class Upsert:
             new = F.col("w")[name].cast(dtype) if name in batch_has else old
             if name in self.keys:
                 # the stored key is the trimmed text, as it was compared
-                new = F.col(self._k[self.keys.index(name)]).cast(dtype)
+                i = self.keys.index(name)
+                new = F.when(~F.col(f"__n{i}"), F.col(f"__k{i}")).cast(dtype)
             if name in self.keys or name == self.surrogate:
                 out.append(F.when(have_t, old).otherwise(new).alias(name))
             else:
@@ -221,10 +232,17 @@ def violations(df: DataFrame, spec: TargetSpec) -> DataFrame:
                 )
             ).alias("r")
         ).select("r.*")
-    unique = [f.name for f in spec.fields if (f.unique or f.name in spec.primary_key) and f.name in df.columns]
-    for name in unique:
-        dup = duplicate_keys(df.filter(F.col(name).isNotNull()), [name]).agg(
-            F.lit(name).alias("column_name"), F.lit("UNIQUE").alias("constraint"), F.count(F.lit(1)).alias("violations")
+    # a primary key of several columns is unique as a whole
+    unique = [(f.name,) for f in spec.fields if f.unique or spec.primary_key == (f.name,)]
+    if len(spec.primary_key) > 1:
+        unique.append(tuple(spec.primary_key))
+    for names in unique:
+        if not set(names) <= set(df.columns):
+            continue
+        filled = reduce(and_, [F.col(n).isNotNull() for n in names])
+        dup = duplicate_keys(df.filter(filled), names).agg(
+            F.lit(", ".join(names)).alias("column_name"), F.lit("UNIQUE").alias("constraint"),
+            F.count(F.lit(1)).alias("violations"),
         )
         found = dup if found is None else found.unionByName(dup)
     if found is None:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import fixed
-from .operators.conform import ROW_INDEX, Conformed, conform
-from .operators.upsert import Upsert, guard_not_null, rekey_collisions
+from .operators.conform import ERRORS_TYPE, ROW_INDEX, Conformed, conform
+from .operators.upsert import ConstraintError, Upsert, guard_not_null, guard_types, rekey_collisions
 from .plans.spec import Plan
 from .sources.scratch import stage
 from .sources.store import Store
@@ -29,18 +31,33 @@ class RunResult:
     timestamp: str
 
 
+# Rule name of rows that satisfy every constraint but have no value in a key column.
+RULE_NO_KEY = "UPSERT_KEY_IS_NULL"
+
+
 def _evaluate_once(done: Conformed, run_id: str, at: str) -> tuple[DataFrame, DataFrame]:
     """Accepted and quarantined rows of one single evaluation, written side by side.
 
-    Both parts come from the same pass, so no row can be in neither or in both.
+    Both parts come from the same pass, so no row can be in neither or in both. A row without an upsert key
+    cannot be found again by a later run; it is refused like a row that breaks a constraint.
     """
-    bad = done.refused()
-    target = F.when(~bad, F.struct(*done.target_columns())).alias("row")
+    row, keys = F.struct(*done.target_columns()), done.spec.keys()
+    bad = done.refused() | reduce(or_, [row[k].isNull() for k in keys])
+    target = F.when(~bad, row).alias("row")
     ledger = F.when(bad, F.struct(*done.quarantine_columns(run_id, at))).alias("ledger")
     both = done.frame.select(F.col(done._index).alias(ROW_INDEX), target, ledger, bad.alias("refused"))
     written = stage(both, "evaluated", ["refused"])
     accepted = written.filter(~F.col("refused")).select(ROW_INDEX, "row.*")
     refused = written.filter(F.col("refused")).select("ledger.*")
+    missing = {
+        "field": ", ".join(keys), "rule": RULE_NO_KEY, "severity": fixed.SEVERITY,
+        "error_message": "no value to find the row by", "suggestion": "map a source column that is always filled",
+    }
+    entry = F.struct(
+        *[F.lit(missing.get(f.name)).cast(f.dataType).alias(f.name) for f in ERRORS_TYPE.elementType.fields]
+    )
+    errors = F.when(F.size("errors") == 0, F.array(entry)).otherwise(F.col("errors"))
+    refused = refused.withColumn("errors", errors)
     return accepted, refused.withColumn("suggestion", F.col("errors")[0]["suggestion"])
 
 
@@ -67,14 +84,19 @@ def execute(
     detect_changes: bool = True,
     require_approval: bool = True,
 ) -> RunResult:
-    """Run an approved plan into the store. ``run_id`` and ``at`` are given, so that a run can be repeated."""
+    """Run an approved plan into the store.
+
+    ``run_id`` and ``at`` are given, so that a run can be repeated. The commit is the last step: until then the
+    old version is current, and a repeated run replaces all that the lost one had written.
+    """
     spec = store.spec
     if require_approval:
         plan.require_approved(spec)
     accepted, refused = _evaluate_once(conform(source, plan, spec), run_id, at)
     guard_not_null(accepted, spec)
+    accepted = guard_types(accepted, spec)
     snapshot = store.snapshot(run_id, at)
-    counts = apply_batch(store, accepted, run_id, at, detect_changes)
+    counts, number = prepare_batch(store, accepted, run_id, at, detect_changes)
     store.write_quarantine(refused, run_id)
     bad = refused.count()
     total = sum(counts.values()) + bad
@@ -84,34 +106,42 @@ def execute(
     )
     store.record_run(asdict(result))
     event = fixed.MIGRATION_RETRIED if result.skipped_count else fixed.MIGRATION_EXECUTED
-    store.log(event, actor, run_id, at, asdict(result))
+    store.log(event, actor, run_id, at, asdict(result), once=f"run-{run_id}")
+    store.commit(number, run_id, at)
     return result
 
 
-# Up to this many changed keys a batch is looked up from the target instead of shuffling the target.
-SMALL_BATCH_KEYS = 200_000
-
-
 def apply_batch(store: Store, batch: DataFrame, run_id: str, at: str, detect_changes: bool = True) -> dict[str, int]:
     """Upsert accepted rows into the store as a new version; counts of inserted, updated and skipped rows."""
+    counts, number = prepare_batch(store, batch, run_id, at, detect_changes)
+    store.commit(number, run_id, at)
+    return counts
+
+
+def prepare_batch(
+    store: Store, batch: DataFrame, run_id: str, at: str, detect_changes: bool = True
+) -> tuple[dict[str, int], int]:
+    """The outcome counts of a batch and the number of the version that holds it, which is not current yet."""
     spec = store.spec
     target = store.target()
     up = Upsert(target, batch, spec.keys(), run_id, at, spec.surrogate(), detect_changes)
     counts = up.counts().first().asDict()
+    given = batch.count()
+    if sum(counts.values()) != given:
+        raise ConstraintError(f"{given} rows have {sum(counts.values())} outcomes in {spec.table_name}")
     winners = stage(up.winners(), "winners")
-    small = winners.count() <= SMALL_BATCH_KEYS
     primary = spec.surrogate()
     if primary is not None:
         winners = _rekeyed(up, winners, target, primary)
-    store.write(up.merged(winners, small), run_id, at)
-    return counts
+    return counts, store.prepare(up.merged(winners), run_id)
 
 
 def _rekeyed(up: Upsert, winners: DataFrame, target: DataFrame, primary: str) -> DataFrame:
     """Winners with the primary keys of new rows replaced where they are taken."""
     known = up._known().select(*up._k).join(winners.select(*up._k), up._k, "left_semi")
     new = winners.join(known, up._k, "left_anti")
-    replaced = rekey_collisions(new, target, primary, up._k, "__first").filter("rekeyed")
+    texts = [k for k in up._k if k.startswith("__k")]
+    replaced = rekey_collisions(new, target, primary, texts, "__first").filter("rekeyed")
     fresh = stage(replaced.select(*up._k, F.col(primary).alias("__new_pk")), "rekeyed")
     if fresh.isEmpty():
         return winners

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import strip
 from .row_index import with_row_index
+from .scratch import scratch_path
 
 BOM = "﻿"
 
@@ -35,12 +36,6 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return ","
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """True when some quoted value contains a line break: then a line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-
-
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     """Drop rows whose values are all null or blank."""
     kept = [F.coalesce(strip(F.col(f"`{c}`").cast("string")), F.lit("")) != "" for c in df.columns]
@@ -49,7 +44,7 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise EmptySource("The uploaded dataset contains 0 records")
+        raise EmptySource("the source holds no records")
     return df
 
 
@@ -59,31 +54,46 @@ def read_delimited(
     sep: str | None = None,
     drop_blank: bool = True,
     index: str | None = None,
-    split_lines: bool | None = None,
+    split_lines: bool = False,
+    rest: str | None = "extra_fields",
 ) -> DataFrame:
     """CSV, TSV, semicolon or pipe text with a header; every value a string, empty values kept as ``""``.
 
-    A file can be split between tasks only when no quoted value spans lines. Left to ``split_lines=None`` this
-    is established by a scan that stops at the first such line; pass True or False when it is known.
+    ``split_lines=True`` declares that no quoted value contains a line break: a file is then divided between
+    tasks. By default a file is one task, which is right for any content.
+
+    A record with more fields than the header keeps its whole text in the column ``rest``, null elsewhere (a
+    short record with separators inside quotes may be kept there as well). ``rest=None`` declares that there
+    are none and leaves the column out.
     """
     if sep is None:
         sep = detect_delimiter(spark, path)
-    whole = _spans_lines(spark, path) if split_lines is None else not split_lines
-    df = (
+    reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", whole)
+        .option("multiLine", not split_lines)
         .option("inferSchema", False)
-        .csv(path)
     )
+    names = reader.csv(path).columns
+    clean = [n.lstrip(BOM) for n in names]
+    columns = [T.StructField(n, T.StringType()) for n in names]
+    if rest is not None:
+        if rest in clean:
+            raise ValueError(f"the header has a column {rest!r} already: name another one for longer records")
+        columns.append(T.StructField(rest, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", rest)
+    df = reader.schema(T.StructType(columns)).csv(path)
     if index is not None:
         df = with_row_index(df, index, file_order=True)
-    names = [c for c in df.columns if c != index]
-    clean = [n.lstrip(BOM) for n in names]
-    head = [F.col(index)] if index is not None else []
-    df = df.select(*head, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(c) for n, c in zip(names, clean)])
+    kept = [F.col(index)] if index is not None else []
+    kept += [F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(c) for n, c in zip(names, clean)]
+    if rest is not None:
+        text = F.col(f"`{rest}`")
+        separators = F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
+        kept.append(F.when(separators >= len(names), text).alias(rest))
+    df = df.select(*kept)
     if drop_blank:
         kept = [strip(F.col(f"`{c}`")) != "" for c in clean]
         df = df.filter(reduce(lambda a, b: a | b, kept))
@@ -91,22 +101,24 @@ def read_delimited(
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects, or one object that wraps such an array, or a single object."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return unwrap(df)
-
-
-def unwrap(df: DataFrame) -> DataFrame:
-    """Rows of the first wrapper member that holds a list; the table itself when there is none."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    for name in fixed.JSON_WRAPPERS:
-        kind = types.get(name)
-        if isinstance(kind, T.ArrayType):
-            if not isinstance(kind.elementType, T.StructType):
-                return df.limit(0)
-            rows = df.select(F.explode(name).alias("row")).filter(F.col("row").isNotNull())
-            return rows.select("row.*")
-    return df
+    """A JSON array of objects, or one object that wraps such an array, or a single object, per file.
+
+    Only an object at the top is unwrapped: records of an array keep their lists. Elements that are not objects
+    are left out; text that is not JSON fails the read. A document is one value of one task (2 GB at most); its
+    records are staged as JSON lines, so all that follows is divided between tasks.
+    """
+    document = spark.read.text(path, wholetext=True).select(F.ltrim(F.replace("value", F.lit(BOM), F.lit(""))).alias("d"))
+    document = document.select(F.regexp_replace("d", r"^\s+", "").alias("d"), F.from_json("d", "map<string,string>").alias("m"))
+    lists = [F.when(F.ltrim(F.col("m")[w]).startswith("["), F.col("m")[w]) for w in fixed.JSON_WRAPPERS]
+    body = F.when(F.col("d").startswith("["), F.col("d")).otherwise(
+        F.coalesce(*lists, F.concat(F.lit("["), F.col("d"), F.lit("]")))
+    )
+    records = document.select(F.explode(F.from_json(body, "array<string>", {"mode": "FAILFAST"})).alias("value"))
+    # outside of strings a line break is white space, and inside them JSON has it escaped
+    lines = records.select(F.translate(F.ltrim("value"), "\r\n", "  ").alias("value")).filter(F.col("value").startswith("{"))
+    staged = scratch_path(spark, "records")
+    lines.write.text(staged)
+    return read_json_lines(spark, staged)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +133,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         for r in spark.read.text(path).filter(strip(F.col("value")) != "").limit(10).collect()
     ]
     if not lines:
-        raise EmptySource("The uploaded dataset contains 0 records")
+        raise EmptySource("the source holds no records")
     if lines[0].startswith("{") and all(x.startswith("{") and x.endswith("}") for x in lines) and len(lines) > 1:
         return require_rows(read_json_lines(spark, path))
     if lines[0][0] in "{[":
@@ -146,6 +158,3 @@ def find_amount_column(columns: list[str]) -> str | None:
             return name
     return next((c for c in columns if "balance" in c.lower() or "amount" in c.lower()), None)
 
-
-def amount_of(df: DataFrame, column: str | None) -> Column:
-    return F.lit(None).cast("string") if column is None else F.col(f"`{column}`").cast("string")

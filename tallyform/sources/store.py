@@ -3,7 +3,8 @@
 A version is a folder that is never written again. Which one is current follows from an append-only commit
 log of one row per commit: a write first completes its folder and only then appends the commit, so a failed
 job leaves the old version current. A snapshot is the number of a version; rolling back commits that number
-again, without copying rows.
+again, without copying rows. Ledger, metrics and the audit event of a run are folders named by the run and come
+before its commit: a run that was lost half way is simply repeated, and metrics count only once committed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..operators.conform import ERRORS_TYPE, ROW_INDEX
 from ..operators.upsert import empty_target
 from ..plans.spec import TargetSpec
 
-COMMITS = "seq bigint, version bigint, folder string, action string, run_id string, created_at string"
+COMMITS = "seq bigint, version bigint, folder string, action string, run_id string, created_at string, parent bigint"
 EVENTS = "seq bigint, event_id string, event_type string, actor string, table_name string, run_id string, details map<string,string>, timestamp string"
 METRICS = (
     "run_id string, plan_id string, plan_version bigint, snapshot_id bigint, total_source_records bigint, "
@@ -42,6 +43,18 @@ LEDGER = T.StructType(
 )
 
 
+# Commits that made the rows of a run current.
+_WRITTEN = "action = 'write' AND folder <> ''"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _version_folder(number: int, run_id: str) -> str:
+    return f"data/v={number}-{run_id}"
+
+
 class UnknownSnapshot(ValueError):
     pass
 
@@ -73,14 +86,20 @@ class Store:
     def _append(self, name: str, schema: str, row: tuple) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _replace(self, folder: str, schema: str, row: tuple, *in_path: str) -> None:
+        rows = self.spark.createDataFrame([row], schema).drop(*in_path).coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+
     def commits(self) -> DataFrame:
         return self._read("commits", COMMITS)
 
     def events(self) -> DataFrame:
-        return self._read("audit", EVENTS)
+        return self._read("audit", EVENTS).select(*_names(EVENTS))
 
     def metrics(self) -> DataFrame:
-        return self._read("metrics", METRICS)
+        """One row per committed run; what a lost run left behind is not shown."""
+        done = self.commits().filter(_WRITTEN).select("run_id").distinct()
+        return self._read("metrics", METRICS).join(done, "run_id", "left_semi").select(*_names(METRICS))
 
     def current(self):
         """The newest commit, or None."""
@@ -111,21 +130,32 @@ class Store:
         """Number of the version a rollback would return to; the empty table is a version as well."""
         row = self.current()
         if row is None:
-            self._append("commits", COMMITS, (0, 0, "", "write", run_id, created_at))
+            self._append("commits", COMMITS, (0, 0, "", "write", run_id, created_at, None))
             return 0
         return int(row["version"])
 
     def committed(self, run_id: str) -> bool:
-        done = (F.col("run_id") == run_id) & (F.col("action") == "write") & (F.col("folder") != "")
-        return not self.commits().filter(done).isEmpty()
+        return not self.commits().filter(_WRITTEN).filter(F.col("run_id") == run_id).isEmpty()
+
+    def prepare(self, df: DataFrame, run_id: str) -> int:
+        """Write the rows of a new version, which ``commit`` makes current."""
+        number = self._next(self.commits(), "version")
+        df.write.mode("overwrite").parquet(f"{self.path}/{_version_folder(number, run_id)}")
+        return number
+
+    def commit(self, number: int, run_id: str, created_at: str) -> None:
+        """Make a prepared version current; the version it replaces is kept as its parent."""
+        before = self.current()
+        row = (
+            self._next(self.commits(), "seq"), number, _version_folder(number, run_id), "write", run_id, created_at,
+            None if before is None else int(before["version"]),
+        )
+        self._append("commits", COMMITS, row)
 
     def write(self, df: DataFrame, run_id: str, created_at: str) -> int:
         """Write a new version, then make it current."""
-        log = self.commits()
-        number = self._next(log, "version")
-        folder = f"data/v={number}-{run_id}"
-        df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        self._append("commits", COMMITS, (self._next(log, "seq"), number, folder, "write", run_id, created_at))
+        number = self.prepare(df, run_id)
+        self.commit(number, run_id, created_at)
         return number
 
     def rollback(self, snapshot_id: int, run_id: str, actor: str, at: str) -> RolledBack:
@@ -135,7 +165,9 @@ class Store:
             raise UnknownSnapshot(f"Snapshot '{snapshot_id}' not found")
         before = self.target().count()
         after = 0 if row["folder"] == "" else self._folder(row["folder"]).count()
-        self._append("commits", COMMITS, (self._next(log, "seq"), snapshot_id, row["folder"], "rollback", run_id, at))
+        self._append(
+            "commits", COMMITS, (self._next(log, "seq"), snapshot_id, row["folder"], "rollback", run_id, at, None)
+        )
         removed = max(0, before - after)
         self.log(
             fixed.MIGRATION_ROLLED_BACK, actor, run_id, at,
@@ -145,25 +177,35 @@ class Store:
         return RolledBack(run_id, snapshot_id, removed, after)
 
     def latest_snapshot(self) -> int | None:
-        """The version that was current before the newest write."""
-        rows = self.commits().orderBy(F.desc("seq")).limit(2).collect()
-        return int(rows[-1]["version"]) if rows else None
+        """The version that the newest write replaced, or the current one if a rollback went further back.
+
+        Rolling back to it never brings an undone run back. None before the first write onto a version.
+        """
+        newest = self.commits().filter(_WRITTEN).orderBy(F.desc("seq")).limit(1).first()
+        if newest is None or newest["parent"] is None:
+            return None
+        return min(int(newest["parent"]), int(self.current()["version"]))
 
     def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return self.target().orderBy(*self.spec.keys()).offset(offset).limit(limit)
 
     # -- ledgers ----------------------------------------------------------------------------------
 
-    def log(self, event_type: str, actor: str, run_id: str, at: str, details: dict[str, Any]) -> None:
+    def log(
+        self, event_type: str, actor: str, run_id: str, at: str, details: dict[str, Any], once: str | None = None
+    ) -> None:
+        """Add an event. With ``once`` it replaces the event written under that name, as by a repeated run."""
         seq = self._next(self.events(), "seq")
         text = {k: str(v) for k, v in details.items()}
-        self._append("audit", EVENTS, (seq, f"evt_{seq:08d}", event_type, actor, self.spec.table_name, run_id, text, at))
+        row = (seq, f"evt_{seq:08d}", event_type, actor, self.spec.table_name, run_id, text, at)
+        self._replace(f"audit/entry={once or f'{seq:08d}'}", EVENTS, row)
 
     def audit_trail(self, limit: int = 50) -> DataFrame:
         return self.events().orderBy(F.desc("timestamp"), F.desc("seq")).limit(limit)
 
     def record_run(self, row: dict[str, Any]) -> None:
-        self._append("metrics", METRICS, tuple(row[f.split()[0]] for f in METRICS.split(", ")))
+        names, run_id = _names(METRICS), row["run_id"]
+        self._replace(f"metrics/run_id={run_id}", METRICS, tuple(row[n] for n in names), "run_id")
 
     def write_quarantine(self, rows: DataFrame, run_id: str) -> None:
         """One folder per run: writing a run again replaces its rows and touches no other run."""
@@ -182,13 +224,13 @@ class Store:
     def export_target(self, path: str, fmt: str = "csv") -> None:
         rows = self.target()
         if rows.isEmpty():
-            raise ValueError("Target store has 0 records")
+            raise ValueError("nothing to export: the target is empty")
         export(rows.orderBy(*self.spec.keys()), path, fmt)
 
     def export_quarantine(self, path: str, run_id: str) -> None:
         rows = quarantine_report(self.quarantine(run_id))
         if rows.isEmpty():
-            raise ValueError("Quarantine ledger has 0 records")
+            raise ValueError("nothing to export: no refused rows of this run")
         export(rows.orderBy("source_row_index"), path, "csv")
 
 

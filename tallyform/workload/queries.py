@@ -470,7 +470,7 @@ def source_delimited(spark, sf_dir):
     path = scratch_path(spark, "csv")
     src = table(spark, sf_dir, "orders_src").select("order_id", "order_num", "cust_email_raw", "order_total_str")
     export(src, path, sep=";")
-    return readers.read_delimited(spark, path)
+    return readers.read_delimited(spark, path, rest=None)
 
 
 @query
@@ -494,7 +494,7 @@ def source_row_index(spark, sf_dir):
 def target_export(spark, sf_dir):
     path = scratch_path(spark, "export")
     export(_orders(spark, sf_dir).accepted().select("order_num", "customer_email", "order_status").orderBy("order_num"), path)
-    return readers.read_delimited(spark, path, sep=",", split_lines=True)
+    return readers.read_delimited(spark, path, sep=",", split_lines=True, rest=None)
 
 
 @query

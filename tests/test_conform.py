@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyform import Plan, TargetSpec, conform
-from tallyform.operators.remediate import answer_question, fix_all, fix_all_for, fix_field, impact
+from tallyform.operators.remediate import (
+    fix_all, fix_all_for, fix_field, fixes_from_errors, impact, override, with_policy,
+)
 from tallyform.plans.catalogue import CUSTOMERS, CUSTOMERS_PLAN
 from tallyform.plans.spec import ApprovalError, SpecError
 from tallyform.sources.benchmark import legacy_customers
@@ -29,9 +31,25 @@ def test_fix_all_leaves_the_nameless(spark):
 def test_fix_one_field_and_answers(spark):
     plan = fix_field(CUSTOMERS_PLAN, "joined_at", "DATE_TO_ISO8601", "INVALID_TIMESTAMP")
     assert conform(legacy_customers(spark), plan, CUSTOMERS).summary().first()["rejected_count"] == 58
-    plan = answer_question(CUSTOMERS_PLAN.approve("x"), "clarify_bad_phones", "Set phone_e164 to null and import remainder of record")
+    plan = with_policy(CUSTOMERS_PLAN.approve("x"), "phone_e164", "null")
     assert plan.status == "DRAFT" and plan.approval_fingerprint is None
     assert conform(legacy_customers(spark), plan, CUSTOMERS).summary().first()["rejected_count"] == 69
+    back = with_policy(plan, "phone_e164", "quarantine")
+    assert conform(legacy_customers(spark), back, CUSTOMERS).summary().first()["rejected_count"] == 98
+    assert override(CUSTOMERS_PLAN, {"nothing": {"default": 1}}) == CUSTOMERS_PLAN
+    coded = override(CUSTOMERS_PLAN, {"status": {"mapping": {"X": "SUSPENDED"}}}).mapping_for("status").parameters["mapping"]
+    assert coded == {**CUSTOMERS_PLAN.mapping_for("status").parameters["mapping"], "X": "SUSPENDED"}
+
+
+def test_fixes_follow_from_the_errors_found(spark):
+    src = legacy_customers(spark)
+    errors = conform(src, CUSTOMERS_PLAN, CUSTOMERS).evidence()
+    fixed_plan = fixes_from_errors(errors, CUSTOMERS_PLAN, CUSTOMERS)
+    assert conform(src, fixed_plan, CUSTOMERS).summary().first()["rejected_count"] == 0
+    # only the 40 unreadable dates are frequent enough
+    some = fixes_from_errors(errors, CUSTOMERS_PLAN, CUSTOMERS, least=40)
+    assert conform(src, some, CUSTOMERS).summary().first()["rejected_count"] == 58
+    assert fixes_from_errors(errors.limit(0), CUSTOMERS_PLAN, CUSTOMERS) == CUSTOMERS_PLAN
 
 
 def test_type_coercion(spark):

@@ -37,7 +37,7 @@ def test_formats(spark, tmp_path, name):
 
 def test_quotes_line_breaks_blank_rows_and_empty_values(spark, tmp_path):
     path = write(tmp_path, "q.csv", 'id,note,n\n1,"a ""b""\nnext",\n,  ,\n2," x ",5\n')
-    df = read_delimited(spark, path)
+    df = read_delimited(spark, path, rest=None)
     assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", 'a "b"\nnext', ""), ("2", " x ", "5")]
     assert read_delimited(spark, path, drop_blank=False).count() == 3
     assert detect_delimiter(spark, path) == ","
@@ -50,6 +50,24 @@ def test_wrapped_list_is_the_first_in_order(spark, tmp_path):
     assert read_json(spark, path).columns == ["b"]
 
 
+def test_array_records_keep_their_lists(spark, tmp_path):
+    records = [{"id": 1, "amount": 5, "items": [{"sku": "x"}, {"sku": "y\n"}]}, 5, None, {"id": 2, "amount": 6, "items": []}]
+    df = read_json(spark, write(tmp_path, "a.json", json.dumps(records, indent=2)))
+    assert [(r.id, r.amount, [i.sku for i in r["items"]]) for r in df.orderBy("id").collect()] == [(1, 5, ["x", "y\n"]), (2, 6, [])]
+    wrapped = read_json(spark, write(tmp_path, "o.json", json.dumps({"data": [{"id": 1, "data": [1, 2]}, "x"]})))
+    assert [(r.id, r.data) for r in wrapped.collect()] == [(1, [1, 2])]
+    with pytest.raises(Exception):
+        read_json(spark, write(tmp_path, "bad.json", '[{"id": 1}, {"id"')).count()
+
+
+def test_longer_records_are_kept(spark, tmp_path):
+    path = write(tmp_path, "r.csv", 'id,note\n1,a,b\n2,"x,y"\n3\n4,5" pipe\n')
+    for split in (False, True):
+        rows = {r.id: (r.note, r.extra_fields) for r in read_delimited(spark, path, split_lines=split).collect()}
+        assert rows["1"][0] == "a" and rows["1"][1].strip() == "1,a,b"
+        assert {k: v for k, v in rows.items() if k != "1"} == {"2": ("x,y", None), "3": ("", None), "4": ('5" pipe', None)}
+
+
 def test_row_index_follows_the_files(spark, tmp_path):
     spark.range(5000).repartitionByRange(9, "id").write.csv(str(tmp_path / "many"), header=True)
     df = read_delimited(spark, str(tmp_path / "many"), index="pos")

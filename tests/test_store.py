@@ -3,14 +3,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyform.operators.reconcile import reconcile_run, reconcile_runs
-from tallyform.pipeline import dry_run, execute
+from tallyform.operators.reconcile import balance_sheet, reconcile_run, reconcile_runs
+from tallyform.pipeline import RULE_NO_KEY, apply_batch, dry_run, execute
 from tallyform.plans.catalogue import CUSTOMERS, CUSTOMERS_PLAN
-from tallyform.plans.spec import ApprovalError
+from tallyform.plans.spec import ApprovalError, Plan, TargetSpec
 from tallyform.sources.benchmark import legacy_customers
 from tallyform.sources.readers import read_delimited
 from tallyform.sources.store import Store, UnknownSnapshot
-from tallyform.streaming.micro_batch import accepted_stream, start
+from tallyform.streaming.micro_batch import accepted_stream, batch_writer, start
 
 PLAN = CUSTOMERS_PLAN.approve("tester", CUSTOMERS)
 
@@ -69,6 +69,57 @@ def test_whole_run(spark, tmp_path):
     assert store.target().count() == 902
 
 
+@pytest.mark.parametrize("step", ["prepare", "write_quarantine", "record_run", "log", "commit"])
+def test_a_run_lost_at_any_step_is_repeated_without_loss(spark, tmp_path, monkeypatch, step):
+    store, src = Store(spark, str(tmp_path / "t"), CUSTOMERS), legacy_customers(spark, 100)
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    feed = batch_writer(store, PLAN, "feed", lambda: at(1))
+    with monkeypatch.context() as m:
+        m.setattr(store, step, lost)
+        with pytest.raises(RuntimeError):
+            feed(src, 0)
+    assert store.target().count() == 0 and store.metrics().count() == 0
+    feed(src, 0)
+    feed(src, 0)
+    kept, refused = store.target().count(), store.quarantine("feed_00000000").count()
+    assert kept + refused == 100 and refused > 0
+    run = reconcile_runs(store.metrics(), store.quarantine(), store.events(), store.target())
+    assert [(r.total_source_records, r.verdict) for r in run.collect()] == [(100, "PASSED_WITH_QUARANTINE")]
+    assert [r.event_type for r in store.audit_trail().collect()] == ["MIGRATION_EXECUTED"]
+    sheet = {r.measure: (r.value, r.broken) for r in balance_sheet(run).collect()}
+    assert sheet["read"] == (100, False) and sheet["kept"] == (kept, False) and sheet["missing"] == (0, False)
+
+
+def test_latest_snapshot_never_restores_an_undone_run(spark, tmp_path):
+    spec = TargetSpec.from_dict({"table_name": "t", "primary_key": "k", "fields": [{"name": "k"}, {"name": "v"}]})
+    store = Store(spark, str(tmp_path / "t"), spec)
+    assert store.latest_snapshot() is None
+    store.snapshot("r1", at(0))
+    assert store.latest_snapshot() is None
+    for n in (1, 2):
+        apply_batch(store, spark.createDataFrame([(0, f"k{n}", "x")], "source_row_index int, k string, v string"), f"r{n}", at(n))
+    assert store.latest_snapshot() == 1 and store.target().count() == 2
+    for n in (3, 4):
+        store.rollback(store.latest_snapshot(), "r2", "tester", at(n))
+        assert store.latest_snapshot() == 1 and store.target().count() == 1
+    store.rollback(0, "r1", "tester", at(5))
+    assert store.latest_snapshot() == 0
+
+
+def test_rows_without_a_key_go_to_the_ledger(spark, tmp_path):
+    spec = TargetSpec.from_dict({"table_name": "t", "primary_key": "k", "fields": [{"name": "k", "nullable": True}, {"name": "v"}]})
+    plan = Plan.of(("k", ["k"], "DIRECT_COPY"), ("v", ["v"], "DIRECT_COPY")).approve("x", spec)
+    store = Store(spark, str(tmp_path / "t"), spec)
+    src = spark.createDataFrame([(0, "a", "1"), (1, None, "2"), (2, None, "3")], "source_row_index int, k string, v string")
+    for n in (1, 2):
+        got = execute(store, src, plan, f"r{n}", at(n))
+        assert (got.inserted_count + got.skipped_count, got.quarantined_count, store.target().count()) == (1, 2, 1)
+    assert {e["rule"] for r in store.quarantine("r2").collect() for e in r.errors} == {RULE_NO_KEY}
+
+
 def test_stream_applies_each_batch_once(spark, tmp_path):
     src = legacy_customers(spark, 200)
     src.filter("source_row_index < 100").coalesce(1).write.parquet(str(tmp_path / "in"))
