@@ -10,7 +10,9 @@ is compared, on full sets, with one of the members that its buckets name. Links
 component are done, so a group of n copies takes about n comparisons a round. After the first round the shingles that only
 one class still in question has are counted: two classes share at most what is left of either, which rules out most pairs of
 copies that were edited apart. When few pairs are left (or after ``ROUNDS`` rounds) all that this allows are compared, so that
-no link between candidates is lost. Comparisons are dealt by (member named, salt): a task holds one set and streams the others.
+no link between candidates is lost: the pairs of a small bucket as rows, dealt by (member named, salt), where a task holds one set
+and streams the others; the members of a larger bucket in pairs of blocks, where a task counts what the sets of two blocks
+share and returns only the links that join components, so that no bucket is ever written out as its pairs.
 
 Cases: null or empty texts have an empty set, link with nothing and are their own component; a text of fewer words than a shingle has
 one shingle, the whole; repeated rows are one class; among rows that share an id each has its own set, and their component the
@@ -36,6 +38,12 @@ PER_SALT = 256
 ROUNDS = 6
 #: Pairs in buckets, for each place in them, that are few enough to be gone through at once.
 FEW = 200
+#: Members of a bucket whose pairs may be rows; a larger one is compared in blocks of so many members, or shingles, on average.
+SMALL = 32
+BLOCK = 256
+BLOCK_SHINGLES = 200_000
+#: Shingles that one product of a block counts.
+COLUMNS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,15 +139,18 @@ def _possible(n: str, m: str, rest: str, other: str) -> F.Column:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """a, b: the pairs (a, b) whose sets are 0.8 similar. The texts of b are held, one at a time; those of a stream by."""
+    """a, b: the pairs (a, b) whose sets are 0.8 similar. The texts of b are held, one at a time; those of a stream by. Texts are
+    shuffled to the numbers that want them at every size, so that costs grow in proportion."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     members = (
-        pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
-        .join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
+        texts.withColumnRenamed("node", "a")
+        .join(pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a").hint("shuffle_hash"), "a")
+        .select("b", "salt", "a", "text")
     )
     named = (
-        salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        .join(texts.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+        texts.withColumnRenamed("node", "b")
+        .join(salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).hint("shuffle_hash"), "b")
+        .select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +178,60 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _joining(shared: np.ndarray, n: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of members that join their labels into components. ``shared``: how many shingles each two of the sets have in common."""
+    close = np.triu(100 * shared >= 80 * (n[:, None] + n[None, :] - shared), 1) & (label[:, None] != label[None, :])
+    a, b = np.nonzero(close)
+    if not len(a):
+        return []
+    _, one = np.unique(np.stack([label[a], label[b]]), axis=1, return_index=True)
+    above = {x: x for x in label.tolist()}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for i in one:
+        u, v = top(int(label[a[i]])), top(int(label[b[i]]))
+        if u != v:
+            above[u] = v
+            out.append((int(a[i]), int(b[i])))
+    return out
+
+
+def _linked_in_blocks(places: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """a, b: links that join the labels of each bucket's members as all its links would. ``places``: bucket, node, label, blocks."""
+    both = places.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    both = both.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = both.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "label").join(texts, "node")
+
+    def run(members: pa.Table) -> pa.Table:
+        node, label = members["node"].to_numpy(), members["label"].to_numpy()
+        values, sizes = [], []
+        for _, _, data, offsets in text_passes(members["text"]):
+            shingles, first = shingle_sets(data, offsets, k)
+            values.append(shingles)
+            sizes.append(np.diff(first))
+        n = np.concatenate(sizes)
+        _, column, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        of, wide = np.repeat(np.arange(len(n)), n), count > 1
+        of, column = of[wide[column]], (np.cumsum(wide) - 1)[column[wide[column]]]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        shared = np.zeros((len(n), len(n)))
+        for low in range(0, int(wide.sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+            has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            has[of[part], column[part] - low] = 1
+            shared += has @ has.T
+        pairs = np.array(_joining(shared, n, label), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return both.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, text: one text for each node (id, d1, d2). Rows that share the id but not the set are left out."""
 
@@ -182,7 +247,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keep["node"], keep["text"]], names=["node", "text"])
 
     wanted = nodes.select("node", F.col("id").alias("node_id"), "d1")
-    own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "text", "d1")
+    own = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "text", "d1")
     return own.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
@@ -205,9 +270,9 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     for turn in range(ROUNDS + 1):
         labelled = held.join(labels, "node")
         weight = F.col("shares") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.max_by("node", weight).alias("member"), F.max_by("n", weight).alias("n"), F.max_by("rest", weight).alias("rest"), F.max(weight).alias("w"))
+        parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.max_by("node", weight).alias("member"), F.max_by("n", weight).alias("n"), F.max_by("rest", weight).alias("rest"), F.sum("n").alias("size"), F.max(weight).alias("w"))
         open_buckets = parts.groupBy("bucket").agg(
-            F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
+            F.count("*").alias("labels"), F.sum("size").alias("size"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
             F.max_by("label", "w").alias("l1"), F.max_by("member", "w").alias("b"), F.max_by("rest", "w").alias("rb"), F.max_by("n", "w").alias("nb"), F.max("w").alias("w"),
         ).where("labels > 1")
         open_buckets = stage(open_buckets, "near-open")
@@ -215,16 +280,21 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
         if not left.n:
             break
         last = turn > 1 and (left.pairs <= FEW * left.members or turn == ROUNDS)
-        mine = labelled.join(open_buckets.select("bucket", "l1", "b", "nb", "rb", "w"), "bucket")
+        mine = labelled.join(open_buckets.select("bucket", "l1", "b", "nb", "rb", "w", "c", "size"), "bucket")
         if last:
-            theirs = mine.select("bucket", F.col("node").alias("other"), F.col("label").alias("lo"), F.col("n").alias("no"), F.col("rest").alias("ro"))
-            on = (mine["bucket"] == theirs["bucket"]) & (mine["label"] < theirs["lo"]) & _possible("n", "no", "rest", "ro")
-            pairs = mine.join(theirs, on).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+            few = mine.where(F.col("c") <= SMALL)
+            theirs = few.select("bucket", F.col("node").alias("other"), F.col("label").alias("lo"), F.col("n").alias("no"), F.col("rest").alias("ro"))
+            on = (few["bucket"] == theirs["bucket"]) & (few["label"] < theirs["lo"]) & _possible("n", "no", "rest", "ro")
+            pairs = few.join(theirs, on).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
             pairs = mine.where((F.col("label") != F.col("l1")) & _possible("n", "nb", "rest", "rb")).groupBy(F.col("node").alias("a")).agg(F.max_by("b", "w").alias("b"))
         pairs = stage(pairs, "near-pairs")
-        links = stage(_linked(pairs, texts, k), "near-links")
+        links = _linked(pairs, texts, k)
+        if last:
+            blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("size") / BLOCK_SHINGLES)).alias("blocks")
+            links = links.unionAll(_linked_in_blocks(mine.where(F.col("c") > SMALL).select("bucket", "node", "label", blocks), texts, k))
+        links = stage(links, "near-links")
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionAll(both)
         of = labels.select(F.col("node").alias("x"), "label")
@@ -237,9 +307,10 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
         # Buckets that lie in one component are done, and so are classes with too few shared shingles for any partner.
         mixed = held.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("bucket")
         held = stage(held.join(mixed, "bucket", "left_semi"), "near-buckets")
-        rest = _own_shingles(texts, labels.select("node", "n").join(held.select("node").distinct(), "node", "left_semi"), k)
-        labels = stage(labels.drop("rest").join(rest, "node", "left").select("node", "n", F.coalesce("rest", "n").alias("rest"), "shares", "label"), "near-labels")
-        held = held.join(labels.where("100 * rest >= 80 * n").select("node"), "node", "left_semi")
+        if turn == 0:
+            rest = _own_shingles(texts, labels.select("node", "n").join(held.select("node").distinct(), "node", "left_semi"), k)
+            labels = stage(labels.drop("rest").join(rest, "node", "left").select("node", "n", F.coalesce("rest", "n").alias("rest"), "shares", "label"), "near-labels")
+            held = held.join(labels.where("100 * rest >= 80 * n").select("node"), "node", "left_semi")
     of = nodes.select("d1", "d2", "node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("id").alias("component"))
     of = of.join(least, "label").select("d1", "d2", "component")

@@ -129,6 +129,32 @@ def test_near_components_of_edited_copies(spark):
     assert got == sorted(key(*x) for x in similar(rows, 4))
 
 
+def test_near_components_of_copies_without_original(spark, monkeypatch):
+    """Large buckets whose members lie on both sides of the bound: compared in blocks, smaller here than in use."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    seed = rnd.choices(vocabulary, k=150)
+    rows = []
+    for i in range(150):
+        copy = list(seed)
+        for _ in range(rnd.choice([3, 4, 4, 5, 5])):
+            copy[rnd.randrange(150)] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(copy)))
+    want = sorted(key(*x) for x in similar(rows, 4))
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(key(r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert len({x[2] for x in want}) > 10
+
+
+def test_joining_links():
+    shared = np.array([[10, 9, 0, 9], [9, 10, 9, 0], [0, 9, 10, 0], [9, 0, 0, 10]])
+    n = np.array([10, 10, 10, 10])
+    assert near_dedup._joining(shared, n, np.array([5, 6, 7, 5])) == [(0, 1), (1, 2)]
+    assert near_dedup._joining(np.zeros((2, 2)), n[:2], np.array([1, 2])) == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (3, 10), (8, 7), (7, 9), (5, 5)]
     got = {r.u: r.root for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
