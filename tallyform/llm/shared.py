@@ -17,6 +17,9 @@ from tallyform.sources.scratch import scratch_path
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
 
+#: Bytes of the rows that a Python worker gets at once; a longer row is a batch of its own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: [\x20\x09-\x0D] separate words.
 SPACE_WORDS = np.ones(256, dtype=bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
@@ -133,7 +136,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers find this library where the driver has it, whatever folder they start in."""
+    """Let Python workers find this library where the driver has it, whatever folder they start in, and get rows in batches of
+    bounded bytes: 10,000 long texts at once would fill a worker. A batch size set in the session is kept."""
+    if not spark.conf.get(BATCH_SETTING, ""):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
