@@ -138,8 +138,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this library where the driver has it, whatever folder they start in, and get rows in batches of
     bounded bytes: 10,000 long texts at once would fill a worker. A batch size set in the session is kept."""
-    if not spark.conf.get(BATCH_SETTING, ""):
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    spark.conf.set(BATCH_SETTING, spark.conf.get(BATCH_SETTING, str(BATCH_BYTES)))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
