@@ -17,7 +17,8 @@ share and returns only the links that join components, so that no bucket is ever
 Cases: null or empty texts have an empty set, link with nothing and are their own component; a text of fewer words than a shingle has
 one shingle, the whole; repeated rows are one class; among rows that share an id each has its own set, and their component the
 least id; a row of null id is in its class, but never names it (a component without any id has a null component_id and
-all its rows are kept); other columns are ignored.
+all its rows are kept); other columns are ignored. Rows are told apart by id and text throughout, so what is said of one row never
+counts for another that shares its id, or has none.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyform.llm.shared import SPACE_WORDS, Words, grams, mix, stage, text_passes
+from tallyform.llm.shared import SPACE_WORDS, Words, grams, mix, row_key, stage, text_passes
 
 PERMUTATIONS = 48
 BANDS = 24
@@ -72,7 +73,7 @@ def _signed(shingles: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a 128-bit digest of the set), buckets array<long> (empty for an empty set)."""
+    """doc_id, key (of its id and text), n_shingles, d1, d2 (a 128-bit digest of the set), buckets array<long> (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +90,14 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(n > 0)]) * BANDS
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"].slice(a, b - a), pa.array(n, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)),
+                        batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(n, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(bands.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "buckets"],
+                    names=["doc_id", "key", "n_shingles", "d1", "d2", "buckets"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, buckets array<long>")
+    return docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, d1 long, d2 long, buckets array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,39 +233,38 @@ def _linked_in_blocks(places: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, text: one text for each node (id, d1, d2). Rows that share the id but not the set are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b, data, offsets in text_passes(batch["text"]):
-                shingles, first = shingle_sets(data, offsets, k)
-                total = np.zeros(len(shingles) + 1, dtype=np.uint64)
-                np.cumsum(shingles, out=total[1:])
-                good.append((total[first[1:]] - total[first[:-1]]).view(np.int64) == batch["d1"].slice(a, b - a).to_numpy())
-            keep = batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, dtype=bool)))
-            yield pa.RecordBatch.from_arrays([keep["node"], keep["text"]], names=["node", "text"])
-
-    wanted = nodes.select("node", F.col("id").alias("node_id"), "d1")
-    own = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("node_id"))).select("node", "text", "d1")
-    return own.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: one text for each node (id, key)."""
+    wanted = nodes.select("node", F.col("id").alias("node_id"), F.col("key").alias("node_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("node_id")) & (row_key("doc_id", "text") == F.col("node_key"))
+    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), on).select("node", "text").dropDuplicates(["node"])
 
 
 def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    out = _row_components(docs, k).select("doc_id", "n_shingles", F.col("head.id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _head(id_column: str) -> F.Column:
+    """The least id of a group and the least key of the rows that have it; a null id only where there is no other."""
+    return F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("key"))).alias("head")
+
+
+def _row_components(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, key, n_shingles, head (none, id, key: the row that names the component) for every row of ``docs``."""
     signed = stage(signatures(docs, k), "near-signatures")
     nodes = stage(
-        signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
-        .withColumn("node", F.monotonically_increasing_id()),
+        signed.where("n_shingles > 0").groupBy("d1", "d2").agg(_head("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+        .select("d1", "d2", "head.id", "head.key", "n", "buckets").withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
     every = nodes.select(F.explode("buckets").alias("bucket"), "node")
     shared = every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     held = stage(every.join(shared, "bucket"), "near-buckets")
-    labels = held.groupBy("node").agg(F.sum("c").alias("shares")).join(nodes.select("node", "id", "d1", "n"), "node")
+    labels = held.groupBy("node").agg(F.sum("c").alias("shares")).join(nodes.select("node", "id", "key", "n"), "node")
     labels = stage(labels.withColumn("label", F.col("node")), "near-labels")
-    texts = stage(_texts(docs, labels.select("node", "id", "d1"), k), "near-texts")
+    texts = stage(_texts(docs, labels.select("node", "id", "key")), "near-texts")
     labels, held = labels.select("node", "n", F.col("n").alias("rest"), "shares", "label"), held.select("bucket", "node")
     tested = None
     for turn in range(ROUNDS + 1):
@@ -311,15 +311,22 @@ def near_components(docs: DataFrame, k: int = 5) -> DataFrame:
             rest = _own_shingles(texts, labels.select("node", "n").join(held.select("node").distinct(), "node", "left_semi"), k)
             labels = stage(labels.drop("rest").join(rest, "node", "left").select("node", "n", F.coalesce("rest", "n").alias("rest"), "shares", "label"), "near-labels")
             held = held.join(labels.where("100 * rest >= 80 * n").select("node"), "node", "left_semi")
-    of = nodes.select("d1", "d2", "node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of.groupBy("label").agg(F.min("id").alias("component"))
-    of = of.join(least, "label").select("d1", "d2", "component")
-    out = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    out = out.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = nodes.select("d1", "d2", "node", "id", "key").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = of.groupBy("label").agg(_head("id"))
+    of = of.join(heads, "label").select("d1", "d2", "head")
+    out = signed.where("n_shingles > 0").select("doc_id", "key", "n_shingles", "d1", "d2").join(of, ["d1", "d2"]).select("doc_id", "key", "n_shingles", "head")
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key"))
+    return out.unionAll(signed.where("n_shingles = 0").select("doc_id", "key", "n_shingles", alone.alias("head")))
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Rows of ``docs`` whose id names their component, with the columns of ``docs``."""
-    gone = near_components(docs, k).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    """One row of each component, with the columns of ``docs``: of the rows with its least id, the one of least key. A component
+    without any id keeps its rows. Of rows that are alike in id and text one stays."""
+    kept = F.col("head.none") | (F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key")))
+    rows = _row_components(docs, k).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("c"), F.max(kept).alias("kept"))
+    marked = stage(rows.where("c > 1 or not kept"), "near-marked")
+    again = marked.where("kept").select("__id", "__key")
+    keyed = docs.withColumn("__row_key", row_key("doc_id", "text"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
+    one = keyed.join(again, on, "left_semi").dropDuplicates(["doc_id", "__row_key"])
+    return keyed.join(marked, on, "left_anti").unionAll(one).drop("__row_key")

@@ -34,3 +34,26 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in before.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in after.collect()} == {i: sha(t) for i, t in texts.items()}
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+def test_one_of_each_with_null_shared_and_repeated_ids(spark):
+    def text(n, *changed):
+        return " ".join(f"w{n}x{i}" + "z" * (i in changed) for i in range(200))
+
+    rows = [
+        (None, text(0, 7)), (0, text(0)),  # a copy without an id
+        (None, text(1)), (None, text(2)), (None, ""), (None, None),  # nothing like them
+        (None, text(3)), (None, text(3, 9)),  # a group without any id
+        (4, text(4)), (5, text(4, 9)), (5, text(5)),  # a copy and a clean text that share an id
+        (6, text(6)), (6, text(6, 9)),  # near copies that share an id
+        (7, text(7)), (7, text(7)), (7, text(7)), (8, ""), (8, ""), (8, None),  # repeated rows
+        (9, text(9)), (10, text(9)),
+    ]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert got.schema == docs.schema
+    count = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    six = [count.pop((6, t), 0) for t in (text(6), text(6, 9))]
+    assert sorted(six) == [0, 1]
+    gone = {(None, text(0, 7)), (5, text(4, 9)), (6, text(6)), (6, text(6, 9)), (10, text(9))}
+    assert count == dict.fromkeys(set(rows) - gone, 1)
