@@ -1,8 +1,8 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on a bounded sample of labelled documents: at most ``docs_per_language`` whole
-documents of at most ``doc_chars`` characters for each of at most ``languages`` languages (those with most documents), chosen
-by a hash of the id. Every byte of every text gets a probability for each language; a document's probabilities are the means
+Trained in numpy by backpropagation through time on a bounded sample of labelled documents: of every language at most
+``docs_per_language`` documents chosen by a hash of the id (``docs`` over all languages, but at least one of each), whole or, if
+longer than ``doc_chars`` characters, a stretch of so many from a place chosen alike. Every byte of every text gets a probability for each language; a document's probabilities are the means
 over its bytes. Long texts run as stretches of ``stretch`` bytes side by side.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to learn from;
@@ -26,8 +26,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    languages: int = 64
     docs_per_language: int = 300
+    docs: int = 19_200
     doc_chars: int = 8000
     hidden: int = 8
     steps: int = 500
@@ -36,7 +36,7 @@ class LanguageParams:
     rate: float = 0.02
     seed: int = 11
     stretch: int = 128
-    #: Stretches that run side by side.
+    #: Stretches that run side by side, fewer where there are more than 64 languages.
     columns: int = 3072
 
 
@@ -108,7 +108,10 @@ def train(samples: list[tuple[bytes, str]], params: LanguageParams = LanguagePar
         return None
     rng = np.random.Generator(np.random.PCG64(params.seed))
     size, n = params.hidden, len(langs)
-    texts = [[np.frombuffer(t, dtype=np.uint8) for t, lang in samples if lang == name] for name in langs]
+    by_lang: dict[str, list[np.ndarray]] = {name: [] for name in langs}
+    for t, lang in samples:
+        by_lang[lang].append(np.frombuffer(t, dtype=np.uint8))
+    texts = list(by_lang.values())
     net = {
         "inputs": rng.normal(0, 0.3, (2, 3 * size, 256)).astype(np.float32), "own": rng.normal(0, 0.3, (2, 3 * size, size)).astype(np.float32),
         "out": rng.normal(0, 0.3, (n, 2 * size)).astype(np.float32), "bias": np.zeros((n, 1), dtype=np.float32),
@@ -190,6 +193,7 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, stretch: int, co
     starts = offsets[:-1][text_of] + (np.arange(len(text_of)) - first[text_of]) * stretch
     sizes = np.minimum(offsets[1:][text_of] - starts, stretch)
     total = np.zeros((n, len(net.langs)))
+    columns = max(1, min(columns, columns * 64 // len(net.langs)))
     order = np.argsort(sizes, kind="stable")  # columns of like length run together
     for at in range(0, len(order), columns):
         some = order[at : at + columns]
@@ -202,14 +206,15 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, stretch: int, co
 
 
 def sample(docs: DataFrame, params: LanguageParams = LanguageParams()) -> list[tuple[bytes, str]]:
-    """Labelled documents that are not held out, as the bounds in ``params`` have it."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    chosen = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).select("lang")
-    names = [r.lang for r in chosen.collect()]
+    """Labelled documents that are not held out, as the bounds in ``params`` have it; every language that has one is in it."""
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
+    langs = usable.select("lang").distinct().count()
+    each = min(params.docs_per_language, max(1, params.docs // max(1, langs)))
+    start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - params.doc_chars, F.lit(0)) + 1).cast("int") + 1
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = (
-        usable.where(F.col("lang").isin(names) & (F.length("text") <= params.doc_chars))
-        .withColumn("place", F.row_number().over(by)).where(F.col("place") <= params.docs_per_language).orderBy("lang", "place").collect()
+        usable.select("doc_id", "lang", F.col("text").substr(start, F.lit(params.doc_chars)).alias("text"))
+        .withColumn("place", F.row_number().over(by)).where(F.col("place") <= each).orderBy("lang", "place").collect()
     )
     return [(r.text.encode(), r.lang) for r in rows]
 

@@ -80,6 +80,40 @@ def test_quality_rejects_labelled_junk_and_keeps_the_rest(spark):
     assert share[0] < 0.05 and share[1] > 0.98
 
 
+def many_languages(n):
+    """``n`` languages of words of their own, the last with the least text."""
+    rnd = random.Random(8)
+    out = []
+    for i in range(n):
+        words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}{a}{b}" for a in "aeiou" for b in "bdfglmnr"]
+        out += [(len(out) + j, " ".join(rnd.choices(words, k=400 if i < n - 1 else 120)), f"l{i:02}", "s", 0) for j in range(2)]
+    return out
+
+
+def test_quality_keeps_documents_of_every_language(spark):
+    rows = many_languages(66)
+    judged = quality.judge_quality(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(judged) == len(rows) and all(r.kept and r.word_distance < 0.5 for r in judged)
+
+
+def test_quality_references_against_counting(spark, corpus):
+    params = quality.QualityParams()
+    refs = quality.references(corpus)
+    rows = [r for r in corpus.collect() if r.lang is not None]
+    assert refs.langs == sorted({r.lang for r in rows})
+    for i, lang in enumerate(refs.langs):
+        raw = [r.text.encode() for r in rows if r.lang == lang and r.text is not None]
+        data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+        counts = quality._class_counts(data, offsets)
+        size = counts.sum(1)
+        steps = ((counts * params.steps + size[:, None] // 2) // np.maximum(size, 1)[:, None])[size >= params.min_chars]
+        median = np.sort(steps, axis=0)[(len(steps) - 1) // 2]
+        assert np.allclose(refs.classes[i], median / median.sum())
+        found = collections.Counter(w for t in raw for w in ALNUM_WORD.findall(lower(t.decode())))
+        top = sorted((c for w, c in found.items() if len(w.encode()) <= params.word_bytes), reverse=True)[: params.common_words]
+        assert np.allclose(np.sort(refs.shares[i][:-1])[::-1], np.array(top) / found.total())
+
+
 def similar(rows, k):
     sets = []
     for _, text, *_ in rows:
@@ -292,6 +326,21 @@ def test_language(spark, docs, rows):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_language_sample_has_every_language(spark):
+    rows = [r for i, t, lang, s, n in many_languages(66) for r in [(4 * i + k, t, lang, s, n) for k in range(4)]]
+    long = [(10_000 + i, f"é{i:04} " * 2000, "long", "s", 0) for i in range(20)]
+    empty = [(20_000 + i, "", "l00", "s", 0) for i in range(20)]
+    params = language_id.LanguageParams(docs=100, steps=1)
+    got = language_id.sample(spark.createDataFrame(rows + long + empty, DOCS), params)
+    count = collections.Counter(lang for _, lang in got)
+    assert set(count) == {r[2] for r in rows + long} and max(count.values()) == 1 and all(t for t, _ in got)
+    stretch = next(t.decode() for t, lang in got if lang == "long")
+    assert len(stretch) == params.doc_chars and any(stretch in r[1] for r in long)
+    net = language_id.train(got, params)
+    assert len(net.langs) == 67
+    assert np.allclose(language_id.pooled(net, np.frombuffer(b"abcd" * 99, dtype=np.uint8), np.array([0, 100, 396]), 128).sum(1), 1, atol=1e-4)
+
+
 def test_language_gradient():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
