@@ -8,8 +8,9 @@ the whole page. It is trained on at most ``pages`` pages, chosen by a hash of th
 parts strewn in, or with other names for the same elements, are trained on as well.
 
 Cases: null html is an empty page with an empty text; text outside elements is a block of the page's body; unclosed and
-wrongly nested tags close where a block tag of their own kind, or the page, ends; scripts, styles and the page's head hold no blocks; a
-tag cut off at the end of the page is no text; repeated rows give repeated results; other columns are ignored.
+wrongly nested tags close where a block tag of their own kind, or the page, ends; scripts, styles, form controls and the page's head
+hold no blocks; drawings and formulas are part of the block around them, and embedded elements hold blocks, up to their own end or
+that of an element around them; a self-closed one is empty; a tag cut off at the end of the page is no text; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose text is part of the block around them.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = set("script style template noscript textarea title iframe svg math object canvas select".split())
+RAW = set("script style textarea title select".split())
+#: Elements whose own tags, whatever they are called, are part of the block around them, until a tag of BREAKOUT.
+FOREIGN = {"svg", "math"}
+BREAKOUT = set("article aside blockquote body center dd div dl dt figure footer h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table ul".split())
+#: Elements that hold blocks of their own but may lie within a paragraph, which goes on after them.
+EMBEDDED = set("template noscript iframe object canvas".split())
 #: Elements that a block tag of their own kind closes.
 LEAVES = set("p li dt dd option tr td th h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = set("nav header footer aside form menu dialog button fieldset".split())
@@ -88,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if whole:
-                found.append(Block(whole, [e for e in stack if e[0] not in INLINE], min(linked[0], len(whole))))
+                found.append(Block(whole, [e for e in stack if e[0] not in INLINE and (e[0] not in EMBEDDED or e[1:])], min(linked[0], len(whole))))
             text.clear()
             linked[0] = 0
 
@@ -104,22 +110,31 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, closed = m[2].lower(), (m[3] or "").endswith("/")
+        foreign = next((i for i, e in enumerate(stack) if e[0] in FOREIGN), None)
         if m[1]:
-            if tag not in INLINE:
-                flush()
             known = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if tag not in INLINE and (foreign is None or known is not None and known < foreign or tag in BREAKOUT):
+                flush()
             if known is not None:
                 del stack[known:]
             continue
+        if foreign is not None and tag in BREAKOUT:
+            flush()
+            del stack[foreign:]
+        elif tag in FOREIGN or foreign is not None and (closed or tag not in RAW):
+            if not closed and tag not in VOID:
+                stack.append((tag, *_names(m[3] or "")))
+            continue
         if tag in INLINE:
             if tag not in VOID:
                 stack.append((tag, *_names(m[3] or "")))
             continue
-        flush()
+        if foreign is None or tag not in RAW:
+            flush()
         if tag == "body":  # the head ends here, closed or not
             stack = [e for e in stack if e[0] != "head"]
-        if tag in VOID or (m[3] or "").endswith("/") and tag not in RAW:
+        if tag in VOID or closed and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -128,7 +143,7 @@ def blocks(page: str) -> list[Block]:
         # A paragraph ends where another block begins; a list item, cell or heading where one of its kind does. Inline
         # elements left open within go with it.
         cut = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-        if cut is not None and (stack[cut][0] == "p" or stack[cut][0] == tag and tag in LEAVES):
+        if cut is not None and (stack[cut][0] == "p" and tag not in EMBEDDED or stack[cut][0] == tag and tag in LEAVES):
             del stack[cut:]
         stack.append((tag, *_names(m[3] or "")))
     tail = page[at:]

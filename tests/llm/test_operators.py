@@ -407,6 +407,35 @@ def test_pages(spark):
     assert {r.text for r in pages.extract(table.limit(0)).collect()} == set()
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p>one <svg class="icon" /> two</p><p>three</p>', ["one two", "three"]),
+        ('<p>one <svg><path d="M0"/><g><text>T</text></g></svg> two</p><p>three</p>', ["one T two", "three"]),
+        ("<p>one <svg><path> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]),
+        ("<p>let <math /> be</p><p>three</p>", ["let be", "three"]),
+        ("<div>a<math><mi>x<p>b</p>c</div><p>d</p>", ["ax", "b", "c", "d"]),
+        ('<object data="x"/><p>one</p>', ["one"]),
+        ("<object><p>one</p></object><p>two</p>", ["one", "two"]),
+        ("<div><object><param name=x>one</div><p>two</p>", ["one", "two"]),
+        ("<p>a <noscript>b</noscript> c</p><p>d</p>", ["a", "b", "c", "d"]),
+        ('<iframe src="x"/><p>one</p><canvas>two<p>three</p>', ["one", "two", "three"]),
+        ("<p>a<svg><style>.b{}</style><title>t</title><title/></svg>b</p><select><option>no</select><textarea>no</textarea><p>c</p>", ["ab", "c"]),
+    ],
+)
+def test_page_blocks_around_embedded_elements(inner, want):
+    cut = pages.blocks(f"<body><article>{inner}</article><footer>end</footer></body>")
+    assert [b.text for b in cut] == [*want, "end"]
+    assert [pages.markup_label(b.path) for b in cut] == [True] * len(want) + [False]
+    assert all([e[0] for e in b.path][:2] == ["body", "article"] for b in cut[:-1])
+
+
+def test_page_paragraph_goes_on_after_what_is_embedded():
+    cut = pages.blocks("<article><p class=advert>a <noscript>b</noscript> c</p>d</article>")
+    assert [(b.text, pages.markup_label(b.path)) for b in cut] == [("a", False), ("b", False), ("c", False), ("d", True)]
+
+
 def test_urls(spark):
     rows = [
         (1, "https://a.example.net/en/1?x"), (2, "http://EXAMPLE.NET/fr/1"), (3, "http://www.example.com/de/"), (4, "https://x.org/fr/2#t"), (5, "https://x.example.com/en/7"),
