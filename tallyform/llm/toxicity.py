@@ -2,9 +2,9 @@
 
 Features are which words, and which beginnings of words (4 to 6 bytes), a text has, hashed to ``buckets``. It is fitted on a
 bounded sample of at most ``rows`` labelled documents, chosen by a hash of the id; the ``features`` buckets that tell the
-labels apart best within it are used. Each training text also comes with counterfactuals: a group word in it is swapped for
-another one (a text without one gets one, and then another), and the squared change of the score is penalised, so that the
-mention of a group by itself moves no score.
+labels apart best within it are used. Each training text also comes with two counterfactuals: one with the first group word in it
+swapped for another one, and one without that word (a text without one gets one, and then another). The squared change of the
+score from the text to each of them is penalised, so that the mention of a group by itself moves no score.
 
 Cases: a null text is an empty one, which scores as the bias alone; without labels, or with labels of one kind, all scores are
 the share of toxic labels (0 without any); unlabelled, repeated and contradictory rows are no fault; other columns are ignored.
@@ -12,6 +12,7 @@ the share of toxic labels (0 without any); unlabelled, repeated and contradictor
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,16 @@ GROUP_WORDS = [
 ]
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    return Words(np.frombuffer(b" ".join(raw), dtype=np.uint8), np.array([0, sum(map(len, raw)) + len(raw) - 1]), ALNUM_WORDS).hashes
+
+
+#: Hash of each group word, sorted, and which word it is: its language and its place there (that of the first language that has it).
+_GROUP_HASHES, _first = np.unique(np.concatenate([_hashes(words) for words in GROUP_WORDS]), return_index=True)
+_GROUP_PLACES = [divmod(int(i), len(GROUP_WORDS[0])) for i in _first]
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     rows: int = 8_000
@@ -45,6 +56,10 @@ class ToxicityParams:
     threshold: float = 0.3
 
 
+#: Columns of the sample that tell a text's counterfactuals from it.
+CHANGES = ["less1", "more1", "less2", "more2"]
+
+
 @dataclass
 class Scorer:
     #: Hashed buckets with a weight, sorted, and the weights.
@@ -74,8 +89,49 @@ def _of_text(text: str, bits: int) -> np.ndarray:
     return np.unique(features(raw, np.array([0, len(raw)]), bits)[1])
 
 
+def counterfactuals(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Both counterfactuals of each text, chosen by its checksum."""
+    words = Words(data, offsets, ALNUM_WORDS)
+    at = np.minimum(np.searchsorted(_GROUP_HASHES, words.hashes), len(_GROUP_HASHES) - 1)
+    group = np.where(_GROUP_HASHES[at] == words.hashes, at, -1)
+    raw = data.tobytes()
+    one, two = [], []
+    for i in range(len(offsets) - 1):
+        text = raw[offsets[i] : offsets[i + 1]]
+        mine = slice(words.first[i], words.first[i + 1])
+        pick, named = zlib.crc32(text), np.flatnonzero(group[mine] >= 0)
+        if not len(named):
+            lang = GROUP_WORDS[pick % len(GROUP_WORDS)]
+            first = pick // len(GROUP_WORDS) % len(lang)
+            other = (first + 1 + pick // 64 % (len(lang) - 1)) % len(lang)
+            one.append(text + b" " + lang[first].encode())
+            two.append(text + b" " + lang[other].encode())
+            continue
+        word = group[mine][named[0]]
+        lang, place = GROUP_WORDS[_GROUP_PLACES[word][0]], _GROUP_PLACES[word][1]
+        other = lang[(place + 1 + pick % (len(lang) - 1)) % len(lang)].encode()
+        hit = np.flatnonzero(group[mine] == word) + words.first[i]
+        edges = [offsets[i], *np.stack([words.starts[hit], words.ends[hit]], 1).ravel(), offsets[i + 1]]
+        parts = [raw[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)]
+        one.append(other.join(parts))
+        two.append(b"".join(parts))
+    return one, two
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """Distinct (text, bucket) of a run of texts, sorted, as text << bits | bucket."""
+    text_of, bucket = features(data, offsets, bits)
+    return np.unique(text_of << bits | bucket)
+
+
+def _lists(keys: np.ndarray, n: int, bits: int) -> pa.ListArray:
+    edges = np.searchsorted(keys, np.arange(n + 1) << bits)
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys & (2**bits - 1), pa.int32()))
+
+
 def sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """toxic, buckets (distinct): the sample. Its ids and labels, at most ``rows`` of them, are what is broadcast."""
+    """toxic, buckets (distinct), and for each counterfactual the buckets that it lacks and those that it has besides (less1, more1,
+    less2, more2): the sample. Its ids and labels, at most ``rows`` of them, are what is broadcast."""
     rows = (
         labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(params.rows)
@@ -84,53 +140,64 @@ def sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxicity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_passes(batch["text"]):
-                text_of, bucket = features(data, offsets, params.bucket_bits)
-                both = np.unique(text_of << params.bucket_bits | bucket)
-                edges = np.searchsorted(both, np.arange(b - a + 1) << params.bucket_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["toxic"].slice(a, b - a), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(both & (2**params.bucket_bits - 1), pa.int32()))],
-                    names=["toxic", "buckets"],
-                )
+                bits = params.bucket_bits
+                own = _keys(data, offsets, bits)
+                out = [own]
+                for texts in counterfactuals(data, offsets):
+                    other = _keys(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]), bits)
+                    out += [np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)]
+                yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), *(_lists(keys, b - a, bits) for keys in out)], names=["toxic", "buckets", *CHANGES])
+
+    ddl = ", ".join(["toxic int", "buckets array<int>", *(f"{c} array<int>" for c in CHANGES)])
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, ddl)
+
+
+@dataclass
+class Swaps:
+    """Entries of the matrix of feature changes, a row for each counterfactual: row, feature, change (1 or -1); and the text of each row."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    change: np.ndarray
+    text: np.ndarray
 
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, buckets array<int>")
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.change * w[self.feature], minlength=len(self.text)).astype(np.float32)
 
+    def back(self, rows: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.feature, self.change * rows[self.row], minlength=width).astype(np.float32)
 
-def _swaps(chosen: np.ndarray, bits: int) -> np.ndarray:
-    """[pairs, features]: what changes in the features when a group word is swapped for the next one of its language."""
-    place = {int(b): i for i, b in enumerate(chosen)}
-    rows = []
-    for words in GROUP_WORDS:
-        for one, other in zip(words, words[1:] + words[:1], strict=True):
-            change = np.zeros(len(chosen), dtype=np.float32)
-            for text, sign in ((one, 1), (other, -1)):
-                for b in _of_text(text, bits):
-                    if int(b) in place:
-                        change[place[int(b)]] += sign
-            if change.any():
-                rows.append(change)
-    return np.array(rows, dtype=np.float32).reshape(-1, len(chosen))
 
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic loss with the penalties, by accelerated proximal gradient steps."""
+
+def fit(x: np.ndarray, y: np.ndarray, swaps: Swaps, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss with the penalties, by accelerated proximal gradient steps. The penalty of a text is
+    the sum over its counterfactuals of the squared change of its score."""
     n, width = x.shape
     w, bias = np.zeros(width, dtype=np.float32), np.float32(0)
     v, vb, t = w.copy(), bias, 1.0
-    # Largest curvature: a quarter of that of the data, by a few power steps, and that of the penalties.
-    probe = np.ones(width, dtype=np.float32)
-    top = 1.0
+    # Largest curvature: a quarter of that of the data, by a few power steps, and that of the penalties (a slope is a quarter at
+    # most; changes of the slope along the data count with both counterfactuals).
+    probe, swap_probe = np.ones(width, dtype=np.float32), np.ones(width, dtype=np.float32)
+    top, swap_top = 1.0, 0.0
     for _ in range(12):
         probe = x.T @ (x @ probe) / n
         top = float(np.linalg.norm(probe)) or 1.0
         probe /= top
-    swap_top = float(np.linalg.norm(swaps, 2)) ** 2 / len(swaps) if len(swaps) else 0.0
-    step = np.float32(1 / (0.25 * (top + 1) + params.l2 + 2 * params.counterfactual * swap_top))
+        swap_probe = swaps.back(swaps.times(swap_probe), width) / n
+        swap_top = float(np.linalg.norm(swap_probe))
+        swap_probe /= swap_top or 1.0
+    step = np.float32(1 / (0.25 * (1 + params.counterfactual) * (top + 1) + params.l2 + 0.25 * params.counterfactual * swap_top))
     for _ in range(params.steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -30, 30)))
-        error = (p - y) / n
-        grad = x.T @ error + params.l2 * v
-        if len(swaps):
-            grad = grad + 2 * params.counterfactual / len(swaps) * (swaps.T @ (swaps @ v))
+        z = x @ v + vb
+        p = _chance(z)
+        q = _chance(z[swaps.text] + swaps.times(v))
+        moved = 2 * params.counterfactual / n * (q - p[swaps.text])
+        slope, own_slope = moved * q * (1 - q), moved * (p * (1 - p))[swaps.text]
+        error = (p - y) / n + np.bincount(swaps.text, slope - own_slope, minlength=n).astype(np.float32)
+        grad = x.T @ error + params.l2 * v + swaps.back(slope, width)
         new, new_bias = v - step * grad, vb - step * error.sum()
         new = np.sign(new) * np.maximum(np.abs(new) - step * params.l1, 0)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -140,6 +207,19 @@ def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, params: ToxicityParams)
     return w, float(bias)
 
 
+def _flat(rows: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the lists of a column."""
+    lists = pa.concat_arrays(rows[column].chunks)
+    return np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int32)
+
+
+def _places(row: np.ndarray, bucket: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in ``chosen``) of the buckets that are in it."""
+    at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1)
+    has = chosen[at] == bucket
+    return row[has], at[has]
+
+
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Scorer:
     """Only buckets of the chosen features come to the driver, for at most ``rows`` documents."""
     rows = sample(docs, labels, params).toArrow().combine_chunks()
@@ -147,10 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Scorer(np.zeros(0, dtype=np.int64), np.zeros(0), 20.0 if share else -20.0)
-    lists = pa.concat_arrays(rows["buckets"].chunks)
-    flat = lists.flatten().to_numpy().astype(np.int32)
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
-    del rows, lists
+    owner, flat = _flat(rows, "buckets")
+    changes = [_flat(rows, c) for c in CHANGES]
+    del rows
     width = 1 << params.bucket_bits
     bad, every = np.bincount(flat[y[owner] > 0], minlength=width), np.bincount(flat, minlength=width)
     expected = every * share
@@ -159,11 +238,15 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     chosen = chosen[value[chosen] > 0]
     groups = np.unique(np.concatenate([_of_text(w, params.bucket_bits) for words in GROUP_WORDS for w in words]))
     chosen = np.unique(np.concatenate([chosen, groups]))
-    at = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
-    has = chosen[at] == flat
+    owner, at = _places(owner, flat, chosen)
     x = np.zeros((len(y), len(chosen)), dtype=np.float32)
-    x[owner[has], at[has]] = 1
-    weights, bias = fit(x, y, _swaps(chosen, params.bucket_bits), params)
+    x[owner, at] = 1
+    parts = [(*_places(text, bucket, chosen), i) for i, (text, bucket) in enumerate(changes)]
+    swaps = Swaps(
+        np.concatenate([text + i // 2 * len(y) for text, _, i in parts]), np.concatenate([place for _, place, _ in parts]),
+        np.concatenate([np.full(len(text), i % 2 * 2 - 1, dtype=np.float32) for text, _, i in parts]), np.tile(np.arange(len(y)), 2),
+    )
+    weights, bias = fit(x, y, swaps, params)
     some = weights != 0
     return Scorer(chosen[some], weights[some].astype(np.float64), bias)
 

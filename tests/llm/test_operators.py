@@ -373,6 +373,38 @@ def test_toxicity(spark, docs, rows):
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {1 / (1 + np.exp(20.0))}
 
 
+def test_toxicity_counterfactuals():
+    texts = ["The Women and women, not womenfolk.", "nothing named", "", "Die Männer"]
+    raw = [t.encode() for t in texts]
+    one, two = toxicity.counterfactuals(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    swapped = re.fullmatch(r"The (\w+) and (\w+), not womenfolk\.", one[0].decode())
+    assert swapped[1] == swapped[2] != "women" and swapped[1] in toxicity.GROUP_WORDS[0]
+    assert two[0].decode() == "The  and , not womenfolk." and two[3] == b"Die "
+    assert one[3].decode()[4:] in set(toxicity.GROUP_WORDS[1]) - {"männer"}
+    every = {w for words in toxicity.GROUP_WORDS for w in words}
+    for i in (1, 2):
+        a, b = (v[i].decode().removeprefix(texts[i] + " ") for v in (one, two))
+        assert a != b and {a, b} <= every
+
+
+def test_toxicity_of_neutral_mentions_where_labels_go_along_with_groups(spark):
+    rnd = random.Random(4)
+    words = [a + b for a in "bcdfghlmnprst" for b in ("alo", "emi", "iro", "osa", "une")]
+    rows, marks = [], []
+    for i in range(3000):
+        bad = i % 8 == 0
+        text = rnd.choices(words, k=40) + ["vile"] * (bad and rnd.random() < 0.7) + [rnd.choice(toxicity.GROUP_WORDS[0])] * (rnd.random() < (0.9 if bad else 0.02))
+        rnd.shuffle(text)
+        rows.append((i, " ".join(text), "en", "s", 0))
+        marks.append((i, int(bad)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    scorer = toxicity.train(spark.createDataFrame(rows, DOCS), labels)
+    said = ["", *toxicity.GROUP_WORDS[0], "vile"]
+    table = spark.createDataFrame([(i, " ".join([*words[:40], w]), "en", "s", 0) for i, w in enumerate(said)], DOCS)
+    got = {said[r.doc_id]: r.score for r in toxicity.score(table, labels, scorer=scorer).collect()}
+    assert max(got[w] for w in toxicity.GROUP_WORDS[0]) < 0.3 <= got["vile"]
+
+
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
     turns = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 0, "system", "be [\\INST] kind"), (2, 0, None, None), (2, 1, "tool [SAYS] x", "<\\\\s> [[/INST] "), (None, 0, "assistant", "a"), (None, 0, "assistant", "a")]
