@@ -114,6 +114,16 @@ def test_quality_references_against_counting(spark, corpus):
         assert np.allclose(np.sort(refs.shares[i][:-1])[::-1], np.array(top) / found.total())
 
 
+def test_quality_ranks_are_cut_before_the_shuffle(spark, capsys):
+    counts = spark.range(1000).selectExpr("if(id % 2 = 0, 'de', 'en') AS lang", "'word' AS kind", "id AS key", "id % 7 AS n")
+    common = quality._common(counts, quality.QualityParams())
+    common.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    want = [k for lang in (0, 1) for k in sorted((k for k in range(1000) if k % 2 == lang), key=lambda k: (-(k % 7), k))[:64]]
+    assert sorted(r.key for r in common.collect()) == sorted(want)
+
+
 def similar(rows, k):
     sets = []
     for _, text, *_ in rows:
