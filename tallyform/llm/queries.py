@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyform.llm import chat, decontaminate, language_id, near_dedup, pages, pieces, quality, suffix_dedup, toxicity, urls
+from tallyform.llm import (
+    chat, decontaminate, infill, language_id, near_dedup, packing, pages, pieces, quality, repair, suffix_dedup, toxicity, urls,
+)
 from tallyform.llm.shared import table
 
 
@@ -15,6 +17,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary() -> str:
+    """The public vocabulary with word ends that packing uses; the operator takes any of its kind."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -58,6 +67,19 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = infill.frame_texts(table(spark, sf_dir, "documents"))
+    return infill.digests(infill.fill_in_middle(framed, seed=42, rate=50, spm_rate=80))
+
+
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_network": op1_language_network,
     "op2_quality_divergence": op2_quality_divergence,
@@ -69,6 +91,9 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_block_labeller": op9_block_labeller,
     "op10_url_ratio": op10_url_ratio,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_harmonic_packing": op12_harmonic_packing,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE: dict[str, str] = {}
