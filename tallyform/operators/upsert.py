@@ -31,7 +31,7 @@ class ConstraintError(ValueError):
     """A batch that must not be written."""
 
 
-def _key_columns(keys: Sequence[str]) -> dict[str, Column]:
+def key_columns(keys: Sequence[str]) -> dict[str, Column]:
     """Join keys: the trimmed text of each key, and whether it is null (a join drops null keys otherwise)."""
     text = {f"__k{i}": strip(F.col(k).cast("string")) for i, k in enumerate(keys)}
     found = {name: F.coalesce(value, F.lit("")) for name, value in text.items()}
@@ -39,6 +39,13 @@ def _key_columns(keys: Sequence[str]) -> dict[str, Column]:
     return found
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """Number of the bucket of a key, from the trimmed text of its parts."""
+    texts = [F.coalesce(strip(F.col(k).cast("string")), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("\x1f", *texts))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
+
+
 def _comparable(name: str, dtype: T.DataType, have: T.DataType) -> Column:
     """A missing amount counts as zero when rows are compared; other values are compared as ``dtype``."""
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
@@ -68,7 +75,7 @@ class Upsert:
         self.columns = [c for c in batch.columns if c != index]
         fixed_columns = {*self.keys, surrogate, *LINEAGE}
         self.data_columns = [c for c in self.columns if c not in fixed_columns]
-        self._k = list(_key_columns(self.keys))
+        self._k = list(key_columns(self.keys))
 
     def _compared(self, df: DataFrame) -> Column:
         """The values a change is judged by, as the target's types.
@@ -86,13 +93,13 @@ class Upsert:
 
     def _known(self) -> DataFrame:
         """Target rows under their trimmed key."""
-        return self.target.withColumns(_key_columns(self.keys))
+        return self.target.withColumns(key_columns(self.keys))
 
     # -- row outcomes -----------------------------------------------------------------------------
 
     def actions(self) -> DataFrame:
         """One row per batch row: key columns, position and ``insert``, ``update`` or ``skip``."""
-        rows = self.batch.withColumns(_key_columns(self.keys)).select(
+        rows = self.batch.withColumns(key_columns(self.keys)).select(
             F.col(self.index), *self.keys, *self._k, self._compared(self.batch).alias("__now")
         )
         seen = previous_in_key(rows, self._k, self.index, F.col("__now"), "__before", self.block_bits)
@@ -127,7 +134,7 @@ class Upsert:
 
     def winners(self) -> DataFrame:
         """One row per key: the last row's data, the first row's surrogate key, and whether rows differed."""
-        rows = self.batch.withColumns(_key_columns(self.keys))
+        rows = self.batch.withColumns(key_columns(self.keys))
         hashed = F.xxhash64(self._compared(rows))
         aggs = [
             F.max_by(F.struct(*self.columns), F.col(self.index)).alias("__row"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import strip
+from .ranges import document_records, text_records
 from .row_index import with_row_index
 from .scratch import scratch_path
 
@@ -54,13 +55,14 @@ def read_delimited(
     sep: str | None = None,
     drop_blank: bool = True,
     index: str | None = None,
-    split_lines: bool = False,
+    split_lines: bool | None = None,
     rest: str | None = "extra_fields",
 ) -> DataFrame:
     """CSV, TSV, semicolon or pipe text with a header; every value a string, empty values kept as ``""``.
 
-    ``split_lines=True`` declares that no quoted value contains a line break: a file is then divided between
-    tasks. By default a file is one task, which is right for any content.
+    A file is divided between tasks, which find out where quoted values hold line breaks (see ``ranges``); the file is
+    read twice for that. ``split_lines=True`` declares that none does, and saves one reading. ``split_lines=False`` reads a
+    file in one task; it alone takes a carriage return as the end of a record.
 
     A record with more fields than the header keeps its whole text in the column ``rest``, null elsewhere (a
     short record with separators inside quotes may be kept there as well). ``rest=None`` declares that there
@@ -68,14 +70,8 @@ def read_delimited(
     """
     if sep is None:
         sep = detect_delimiter(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", not split_lines)
-        .option("inferSchema", False)
-    )
+    asked = {"sep": sep, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, multiLine=not split_lines, inferSchema=False, **asked)
     names = reader.csv(path).columns
     clean = [n.lstrip(BOM) for n in names]
     columns = [T.StructField(n, T.StringType()) for n in names]
@@ -83,10 +79,19 @@ def read_delimited(
         if rest in clean:
             raise ValueError(f"the header has a column {rest!r} already: name another one for longer records")
         columns.append(T.StructField(rest, T.StringType()))
-        reader = reader.option("columnNameOfCorruptRecord", rest)
-    df = reader.schema(T.StructType(columns)).csv(path)
-    if index is not None:
-        df = with_row_index(df, index, file_order=True)
+        asked["columnNameOfCorruptRecord"] = rest
+    if split_lines is None:
+        ddl = ", ".join(f"`{c.name.replace('`', '``')}` string" for c in columns)
+        records = text_records(spark, path, sep).select(
+            F.col("position").alias("__position"), F.from_csv(F.rtrim("record", F.lit("\r")), ddl, {"multiLine": "true", **asked}).alias("__record")
+        )
+        df = records.select("__position", "__record.*")
+        if index is not None:
+            df = df.withColumnRenamed("__position", index)
+    else:
+        df = reader.options(**asked).schema(T.StructType(columns)).csv(path)
+        if index is not None:
+            df = with_row_index(df, index, file_order=True)
     kept = [F.col(index)] if index is not None else []
     kept += [F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(c) for n, c in zip(names, clean)]
     if rest is not None:
@@ -104,20 +109,17 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of objects, or one object that wraps such an array, or a single object, per file.
 
     Only an object at the top is unwrapped: records of an array keep their lists. Elements that are not objects
-    are left out; text that is not JSON fails the read. A document is one value of one task (2 GB at most); its
-    records are staged as JSON lines, so all that follows is divided between tasks.
+    are left out. A document is divided between tasks, which find out where its records begin (see ``ranges``); they are
+    staged as JSON lines. Text that ends inside of a value fails the read, as does a record that is not JSON; what stands
+    between records is not looked at. An object without such a list is one record, one value of one task.
     """
-    document = spark.read.text(path, wholetext=True).select(F.ltrim(F.replace("value", F.lit(BOM), F.lit(""))).alias("d"))
-    document = document.select(F.regexp_replace("d", r"^\s+", "").alias("d"), F.from_json("d", "map<string,string>").alias("m"))
-    lists = [F.when(F.ltrim(F.col("m")[w]).startswith("["), F.col("m")[w]) for w in fixed.JSON_WRAPPERS]
-    body = F.when(F.col("d").startswith("["), F.col("d")).otherwise(
-        F.coalesce(*lists, F.concat(F.lit("["), F.col("d"), F.lit("]")))
-    )
-    records = document.select(F.explode(F.from_json(body, "array<string>", {"mode": "FAILFAST"})).alias("value"))
-    # outside of strings a line break is white space, and inside them JSON has it escaped
-    lines = records.select(F.translate(F.ltrim("value"), "\r\n", "  ").alias("value")).filter(F.col("value").startswith("{"))
+    records, bare = document_records(spark, path, tuple(fixed.JSON_WRAPPERS))
+    lines = records.select("text")
+    if bare:
+        lines = lines.unionByName(spark.read.text(bare, wholetext=True).select(F.replace("value", F.lit(BOM), F.lit("")).alias("text")))
     staged = scratch_path(spark, "records")
-    lines.write.text(staged)
+    # outside of strings a line break is white space, and inside them JSON has it escaped
+    lines.select(F.translate("text", "\r\n", "  ").alias("value")).write.text(staged)
     return read_json_lines(spark, staged)
 
 

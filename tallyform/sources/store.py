@@ -1,14 +1,27 @@
 """A versioned target table, its ledgers, snapshots and exports, on plain Parquet.
 
-A version is a folder that is never written again. Which one is current follows from an append-only commit
-log of one row per commit: a write first completes its folder and only then appends the commit, so a failed
-job leaves the old version current. A snapshot is the number of a version; rolling back commits that number
-again, without copying rows. Ledger, metrics and the audit event of a run are folders named by the run and come
-before its commit: a run that was lost half way is simply repeated, and metrics count only once committed.
+Rows lie in buckets by a hash of their key. A version is a manifest: for each bucket the write that made it, and that
+write's folder holds the bucket's rows. A new version rewrites the buckets that changed and takes the others over, so it
+costs what changed, and versions share what they have in common. Folders are never written again.
+
+Which version is current follows from the commit log, one small file per commit, numbered without gaps. A write first
+completes its folders and its manifest and only then claims the next number, by a file that must not exist: of two writers
+one gets it. The other one reads what was committed meanwhile; if that changed other buckets it puts its own into the newer
+manifest and claims the next number, else it is told to begin anew (``CommitConflict``). A failed job leaves the old version
+current. A snapshot is the number of a version; rolling back commits its manifest again, without copying rows.
+
+Beside the rows of a bucket lie 64-bit fingerprints of the values of its unique columns (``claims``). Whether a value may be
+taken is looked up there; only buckets that hold such a fingerprint are then read.
+
+Ledger, metrics and the audit event of a run are folders named by the run and come before its commit: a run that was lost
+half way is simply repeated, and metrics count only once committed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -19,10 +32,11 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..operators.conform import ERRORS_TYPE, ROW_INDEX
-from ..operators.upsert import empty_target
+from ..operators.upsert import LINEAGE, bucket_of, empty_target
 from ..plans.spec import TargetSpec
+from . import files
 
-COMMITS = "seq bigint, version bigint, folder string, action string, run_id string, created_at string, parent bigint"
+COMMITS = "seq bigint, version bigint, manifest string, action string, run_id string, created_at string, parent bigint, buckets bigint"
 EVENTS = "seq bigint, event_id string, event_type string, actor string, table_name string, run_id string, details map<string,string>, timestamp string"
 METRICS = (
     "run_id string, plan_id string, plan_version bigint, snapshot_id bigint, total_source_records bigint, "
@@ -44,21 +58,48 @@ LEDGER = T.StructType(
 
 
 # Commits that made the rows of a run current.
-_WRITTEN = "action = 'write' AND folder <> ''"
+_WRITTEN = "action = 'write' AND manifest <> ''"
 
+BUCKET, WRITE = "__bucket", "__write"
+CLAIMS = "constraint_id int, fingerprint bigint"
 
-def _names(schema: str) -> list[str]:
-    return [f.split()[0] for f in schema.split(", ")]
+#: Buckets of a new store. With rows of 100 bytes, 1,024 hold 10 billion rows at 1 GB each.
+BUCKETS = 16
 
 
-def _version_folder(number: int, run_id: str) -> str:
-    return f"data/v={number}-{run_id}"
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 class UnknownSnapshot(ValueError):
     pass
 
 
+class CommitConflict(RuntimeError):
+    """Another writer changed the same buckets since this write was prepared: prepare it again."""
+
+
+@dataclass(frozen=True)
+class View:
+    """The table as one commit left it: what a run reads, whoever commits meanwhile."""
+
+    seq: int
+    version: int | None
+    manifest: str
+    buckets: int
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Buckets written and not current yet."""
+
+    write: str
+    base: View
+    touched: tuple[int, ...]
+    present: tuple[int, ...]
+    columns: dict[str, Any]
+
+
 @dataclass(frozen=True)
 class RolledBack:
     run_id: str
@@ -70,8 +111,10 @@ class RolledBack:
 class Store:
     """One target table under ``path``: data versions, commit log, quarantine and audit ledgers, run metrics."""
 
-    def __init__(self, spark: SparkSession, path: str, spec: TargetSpec):
+    def __init__(self, spark: SparkSession, path: str, spec: TargetSpec, buckets: int = BUCKETS):
+        """``buckets`` counts for a new store only; an old one keeps the number it has."""
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+        self._buckets = buckets
 
     # -- small tables -----------------------------------------------------------------------------
 
@@ -83,15 +126,20 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
-
     def _replace(self, folder: str, schema: str, row: tuple, *in_path: str) -> None:
         rows = self.spark.createDataFrame([row], schema).drop(*in_path).coalesce(1)
         rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
 
     def commits(self) -> DataFrame:
-        return self._read("commits", COMMITS)
+        try:
+            return self.spark.read.schema(COMMITS).json(f"{self.path}/commits")
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+            return self.spark.createDataFrame([], COMMITS)
+
+    def _commit(self, seq: int) -> dict[str, Any]:
+        return json.loads(files.read_text(self.spark, f"{self.path}/commits/{seq:012d}.json"))
 
     def events(self) -> DataFrame:
         return self._read("audit", EVENTS).select(*_names(EVENTS))
@@ -101,9 +149,17 @@ class Store:
         done = self.commits().filter(_WRITTEN).select("run_id").distinct()
         return self._read("metrics", METRICS).join(done, "run_id", "left_semi").select(*_names(METRICS))
 
-    def current(self):
+    def current(self) -> dict[str, Any] | None:
         """The newest commit, or None."""
-        return self.commits().orderBy(F.desc("seq")).limit(1).first()
+        found = [n for n in files.names(self.spark, f"{self.path}/commits") if n.endswith(".json")]
+        return self._commit(int(found[-1].removesuffix(".json"))) if found else None
+
+    def view(self) -> View:
+        """The table as it is now."""
+        row = self.current()
+        if row is None:
+            return View(-1, None, "", self._buckets)
+        return View(row["seq"], row["version"], row["manifest"], row["buckets"])
 
     def _next(self, df: DataFrame, column: str) -> int:
         top = df.agg(F.max(column)).first()[0]
@@ -111,63 +167,162 @@ class Store:
 
     # -- target -----------------------------------------------------------------------------------
 
+    def _manifest(self, name: str) -> dict[str, Any]:
+        """{"columns": schema, "writes": {bucket: write}}: as many entries as there are buckets."""
+        return json.loads(files.read_text(self.spark, f"{self.path}/{name}"))
+
+    def _rows(self, manifest: str, only: Iterable[int] | None = None) -> DataFrame:
+        """Rows of a manifest, or of some of its buckets."""
+        if not manifest:
+            return empty_target(self.spark, self.spec)
+        held = self._manifest(manifest)
+        schema = T.StructType.fromJson(held["columns"])
+        return self._read_buckets("data", held["writes"], schema, only)
+
+    def _read_buckets(self, kind: str, writes: dict[str, str], schema: T.StructType, only: Iterable[int] | None) -> DataFrame:
+        wanted = None if only is None else {str(b) for b in only}
+        folders = [f"{self.path}/{kind}/{WRITE}={w}/{BUCKET}={b}" for b, w in writes.items() if wanted is None or b in wanted]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        # a bucket that was not rewritten since a column came has nulls there
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def _written(self, number: int) -> dict[str, Any]:
+        """The commit that wrote a version: its number is the version's."""
+        newest = self.view().seq
+        row = self._commit(number) if 0 <= number <= newest else None
+        if row is None or row["action"] != "write":
+            raise UnknownSnapshot(f"there is no version {number} to go back to")
+        return row
+
     def version(self, number: int) -> DataFrame:
-        row = self.commits().filter((F.col("version") == number) & (F.col("action") == "write")).first()
-        if row is None:
-            raise UnknownSnapshot(f"Snapshot '{number}' not found")
-        return self._folder(row["folder"])
+        return self._rows(self._written(number)["manifest"])
 
-    def _folder(self, folder: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+    def rewritten(self, number: int) -> DataFrame:
+        """Rows of a version, and whether it wrote them itself (``rewritten``) or took their bucket over from one before."""
+        held = self._manifest(self._written(number)["manifest"])
+        schema = T.StructType.fromJson(held["columns"])
+        parts = T.StructType([*schema.fields, T.StructField(WRITE, T.StringType())])
+        folders = [f"{self.path}/data/{WRITE}={w}/{BUCKET}={b}" for b, w in held["writes"].items()]
+        rows = self.spark.read.option("basePath", f"{self.path}/data").schema(parts).parquet(*folders)
+        return rows.select(*schema.names, (F.col(WRITE) == held["write"]).alias("rewritten"))
 
-    def target(self) -> DataFrame:
-        row = self.current()
-        if row is None or row["folder"] == "":
-            return empty_target(self.spark, self.spec)
-        return self._folder(row["folder"])
+    def target(self, only: Iterable[int] | None = None, view: View | None = None) -> DataFrame:
+        """The current rows (or those of a view), or some buckets of them."""
+        return self._rows((view or self.view()).manifest, only)
 
     def snapshot(self, run_id: str, created_at: str) -> int:
         """Number of the version a rollback would return to; the empty table is a version as well."""
-        row = self.current()
-        if row is None:
-            self._append("commits", COMMITS, (0, 0, "", "write", run_id, created_at, None))
-            return 0
-        return int(row["version"])
+        if self.view().version is None:
+            self._claim(0, {"version": 0, "manifest": "", "action": "write", "run_id": run_id, "created_at": created_at, "parent": None, "buckets": self._buckets})
+        return self.view().version
 
     def committed(self, run_id: str) -> bool:
         return not self.commits().filter(_WRITTEN).filter(F.col("run_id") == run_id).isEmpty()
 
-    def prepare(self, df: DataFrame, run_id: str) -> int:
-        """Write the rows of a new version, which ``commit`` makes current."""
-        number = self._next(self.commits(), "version")
-        df.write.mode("overwrite").parquet(f"{self.path}/{_version_folder(number, run_id)}")
-        return number
-
-    def commit(self, number: int, run_id: str, created_at: str) -> None:
-        """Make a prepared version current; the version it replaces is kept as its parent."""
-        before = self.current()
-        row = (
-            self._next(self.commits(), "seq"), number, _version_folder(number, run_id), "write", run_id, created_at,
-            None if before is None else int(before["version"]),
-        )
-        self._append("commits", COMMITS, row)
+    def claimed_columns(self) -> list[str]:
+        """Columns no two rows may have the same value in, besides the business key: the primary key, then unique ones."""
+        keys, surrogate = self.spec.keys(), self.spec.surrogate()
+        unique = [f.name for f in self.spec.fields if f.unique and (f.name,) != tuple(keys) and f.name != surrogate]
+        return ([surrogate] if surrogate else []) + unique
+
+    def prepare(
+        self, df: DataFrame, run_id: str, touched: Iterable[int] | None = None, view: View | None = None
+    ) -> Prepared:
+        """Write the rows of the buckets ``touched`` (all, by default), made from what ``view`` holds. ``commit`` makes them
+        current."""
+        view = view or self.view()
+        write, bucket = f"{run_id}-{uuid.uuid4().hex[:12]}", bucket_of(self.spec.keys(), view.buckets)
+        data, claims = (f"{self.path}/{kind}/{WRITE}={write}" for kind in ("data", "claims"))
+        df.withColumn(BUCKET, bucket).repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(data)
+        present = tuple(sorted(int(n.split("=")[1]) for n in files.names(self.spark, data) if n.startswith(f"{BUCKET}=")))
+        places = [(i, c) for i, c in enumerate(self.claimed_columns()) if c in df.columns]
+        if places and present:
+            kept = self._read_buckets("data", {str(b): write for b in present}, df.schema, None)
+            marks = F.array(*[F.struct(F.lit(i).alias("constraint_id"), fingerprint(c).alias("fingerprint")) for i, c in places])
+            marked = kept.select(bucket.alias(BUCKET), F.inline(marks)).filter(F.col("fingerprint").isNotNull())
+            marked.repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(claims)
+        given = tuple(range(view.buckets)) if touched is None else tuple(sorted(touched))
+        if not set(present) <= set(given):
+            raise ValueError(f"rows outside of the buckets to be written: {sorted(set(present) - set(given))}")
+        return Prepared(write, view, given, present, json.loads(df.schema.json()))
+
+    def _claim(self, seq: int, row: dict[str, Any]) -> bool:
+        """Take a place in the commit log, which somebody else may have by now."""
+        return files.put_if_absent(self.spark, f"{self.path}/commits/{seq:012d}.json", json.dumps({"seq": seq, **row}))
+
+    def commit(self, done: Prepared, run_id: str, created_at: str, attempts: int = 20) -> int:
+        """Make prepared buckets current; the number of the version. The version it replaces is kept as its parent."""
+        for _ in range(attempts):
+            now = self.view()
+            self._require_apart(done, now)
+            held = self._manifest(now.manifest) if now.manifest else {"columns": {"type": "struct", "fields": []}, "writes": {}}
+            writes = {b: w for b, w in held["writes"].items() if int(b) not in done.touched}
+            writes.update({str(b): done.write for b in done.present})
+            manifest = f"manifests/{done.write}-{now.seq + 1}.json"
+            entry = {"columns": _all_fields(done.columns, held["columns"]), "writes": writes, "write": done.write, "touched": list(done.touched)}
+            files.write_text(self.spark, f"{self.path}/{manifest}", json.dumps(entry))
+            row = {
+                "version": now.seq + 1, "manifest": manifest, "action": "write", "run_id": run_id, "created_at": created_at,
+                "parent": now.version, "buckets": done.base.buckets,
+            }
+            if self._claim(now.seq + 1, row):
+                return now.seq + 1
+        raise CommitConflict(f"no place in the commit log of {self.spec.table_name} after {attempts} attempts")
+
+    def _require_apart(self, done: Prepared, now: View) -> None:
+        """Refuse if a commit since the view that ``done`` was made from is a rollback, or changed a bucket that ``done``
+        changes. Where columns are unique any other write counts: it may have taken a value."""
+        for seq in range(done.base.seq + 1, now.seq + 1):
+            row = self._commit(seq)
+            if row["action"] == "write" and not row["manifest"]:
+                continue
+            apart = row["action"] == "write" and not self.claimed_columns()
+            if not apart or set(self._manifest(row["manifest"])["touched"]) & set(done.touched):
+                raise CommitConflict(f"run {row['run_id']} changed {self.spec.table_name} meanwhile (commit {seq})")
 
     def write(self, df: DataFrame, run_id: str, created_at: str) -> int:
-        """Write a new version, then make it current."""
-        number = self.prepare(df, run_id)
-        self.commit(number, run_id, created_at)
-        return number
-
-    def rollback(self, snapshot_id: int, run_id: str, actor: str, at: str) -> RolledBack:
-        log = self.commits()
-        row = log.filter((F.col("version") == snapshot_id) & (F.col("action") == "write")).first()
-        if row is None:
-            raise UnknownSnapshot(f"Snapshot '{snapshot_id}' not found")
-        before = self.target().count()
-        after = 0 if row["folder"] == "" else self._folder(row["folder"]).count()
-        self._append(
-            "commits", COMMITS, (self._next(log, "seq"), snapshot_id, row["folder"], "rollback", run_id, at, None)
-        )
+        """Replace all rows by a new version."""
+        return self.commit(self.prepare(df, run_id), run_id, created_at)
+
+    def holders(self, column: str, values: DataFrame, view: View | None = None) -> DataFrame:
+        """Rows of the target that hold one of the ``values`` (one column) in a unique column.
+
+        The fingerprints tell which buckets may hold one; only those are read, and values are compared in full.
+        """
+        view = view or self.view()
+        if not view.manifest:
+            return empty_target(self.spark, self.spec)
+        held = self._manifest(view.manifest)
+        folders = [f"{self.path}/claims/{WRITE}={w}/{BUCKET}={b}" for b, w in held["writes"].items()]
+        claims = self.spark.read.option("basePath", f"{self.path}/claims").schema(f"{CLAIMS}, {BUCKET} int").parquet(*folders)
+        name = values.columns[0]
+        asked = values.select(fingerprint(name).alias("fingerprint")).distinct()
+        mine = claims.filter(F.col("constraint_id") == self.claimed_columns().index(column))
+        only = [r[0] for r in mine.join(asked, "fingerprint", "left_semi").select(BUCKET).distinct().collect()]
+        wanted = values.select(F.col(name).cast("string").alias("__value")).distinct()
+        return self._rows(view.manifest, only).join(wanted, F.col(column).cast("string") == F.col("__value"), "left_semi")
+
+    def vacuum(self) -> list[str]:
+        """Delete folders and manifests that no commit names: what lost runs and refused writers left. Nobody may be writing."""
+        live = {r["manifest"] for r in self.commits().filter("manifest <> ''").select("manifest").collect()}
+        writes = {f"{WRITE}={w}" for m in live for w in self._manifest(m)["writes"].values()}
+        gone = [f"{kind}/{n}" for kind in ("data", "claims") for n in files.names(self.spark, f"{self.path}/{kind}") if n not in writes]
+        gone += [f"manifests/{n}" for n in files.names(self.spark, f"{self.path}/manifests") if f"manifests/{n}" not in live]
+        for name in gone:
+            files.delete(self.spark, f"{self.path}/{name}")
+        return gone
+
+    def rollback(self, snapshot_id: int, run_id: str, actor: str, at: str, attempts: int = 20) -> RolledBack:
+        row = self._written(snapshot_id)
+        for _ in range(attempts):
+            view = self.view()
+            entry = {"version": snapshot_id, "manifest": row["manifest"], "action": "rollback", "run_id": run_id, "created_at": at, "parent": None, "buckets": row["buckets"]}
+            if self._claim(view.seq + 1, entry):
+                break
+        else:
+            raise CommitConflict(f"no place in the commit log of {self.spec.table_name} after {attempts} attempts")
+        before, after = self.target(view=view).count(), self._rows(row["manifest"]).count()
         removed = max(0, before - after)
         self.log(
             fixed.MIGRATION_ROLLED_BACK, actor, run_id, at,
@@ -184,7 +339,7 @@ class Store:
         newest = self.commits().filter(_WRITTEN).orderBy(F.desc("seq")).limit(1).first()
         if newest is None or newest["parent"] is None:
             return None
-        return min(int(newest["parent"]), int(self.current()["version"]))
+        return min(int(newest["parent"]), self.view().version)
 
     def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return self.target().orderBy(*self.spec.keys()).offset(offset).limit(limit)
@@ -234,6 +389,18 @@ class Store:
         export(rows.orderBy("source_row_index"), path, "csv")
 
 
+def fingerprint(column: str):
+    """Of a value as text; none of null."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
+
+
+def _all_fields(new: dict[str, Any], old: dict[str, Any]) -> dict[str, Any]:
+    """Columns of both, lineage last: another writer may have added some since."""
+    fields = {f["name"]: f for f in [*new["fields"], *old["fields"]]}
+    last = [fields.pop(c) for c in LINEAGE if c in fields]
+    return {"type": "struct", "fields": [*fields.values(), *last]}
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", sep: str = ",") -> None:
     if fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -537,3 +537,20 @@ ORACLE["target_export"] = _ORDERS + "SELECT v_num AS order_num, v_email AS custo
 ORACLE["ledger_read_back"] = _ORDERS + f"""
 SELECT {_QID.replace(RUN, 'run_a')} AS quarantine_id, source_row_index, 'run_a' AS run_id, count(*)::INTEGER AS error_count FROM ev GROUP BY source_row_index"""
 ORACLE["store_upsert_rollback"] = f"SELECT account_id, account_code, status, score FROM ({plain('target')}) t"
+
+_BUCKET = "(('0x' || substr(md5(account_code), 1, 8))::BIGINT % 64)"
+ORACLE["store_bucketed_upsert"] = f"""
+WITH t AS (SELECT account_id, account_code, status, score FROM ({plain('target')}) x),
+n AS (SELECT 'N' || n_nationkey::VARCHAR AS account_id, 'U' || n_nationkey::VARCHAR AS account_code, n_name AS status, 1.0::DOUBLE AS score FROM nation),
+m AS (SELECT coalesce(t.account_id, n.account_id) AS account_id, account_code, coalesce(n.status, t.status) AS status, coalesce(n.score, t.score) AS score,
+  CASE WHEN n.account_code IS NULL THEN 'run_1' ELSE 'run_2' END AS migration_run_id FROM t FULL OUTER JOIN n USING (account_code)),
+b AS (SELECT DISTINCT {_BUCKET} AS bucket FROM n)
+SELECT 0 AS version, account_id, account_code, status, score, 'run_1' AS migration_run_id, true AS rewritten FROM t
+UNION ALL SELECT 1, account_id, account_code, status, score, migration_run_id, {_BUCKET} IN (SELECT bucket FROM b) FROM m"""
+ORACLE["store_unique_values"] = f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY territory ORDER BY source_row_index) AS place FROM ({plain('customer_territories')}) x),
+s AS (SELECT s.*, c.code AS holder, row_number() OVER (PARTITION BY s.territory ORDER BY s.source_row_index) AS place
+  FROM ({plain('supplier_territories')}) s LEFT JOIN (SELECT * FROM c WHERE place = 1) c ON s.territory = c.territory)
+SELECT 'run_1' AS run_id, code, territory, CASE WHEN place > 1 THEN 'the value belongs to another row of the batch' END AS refused FROM c
+UNION ALL SELECT 'run_2', code, territory, CASE WHEN holder IS NOT NULL THEN 'the value belongs to another row of the target'
+  WHEN place > 1 THEN 'the value belongs to another row of the batch' END FROM s"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import profiling, reconcile, remediate, suggest
 from ..operators.conform import apply_rule, conform
 from ..operators.upsert import Upsert, add_columns, duplicate_keys, rekey_collisions, version_diff, violations
-from ..pipeline import apply_batch
+from ..pipeline import apply_batch, execute
 from ..plans.catalogue import CUSTOMERS, CUSTOMERS_PLAN, ORDERS, ORDERS_PLAN
 from ..plans.spec import Plan, TargetSpec
 from ..sources import readers
@@ -522,3 +522,41 @@ def store_upsert_rollback(spark, sf_dir):
     apply_batch(store, table(spark, sf_dir, "batch"), "run_2", AT)
     store.rollback(0, "run_2", "tester", AT)
     return store.target().drop("migration_run_id", "migrated_at")
+
+
+ACCOUNTS = TargetSpec.from_dict(
+    {"table_name": "accounts", "primary_key": "account_id", "natural_key": "account_code", "fields": [
+        {"name": "account_id"}, {"name": "account_code"}, {"name": "status"}, {"name": "score", "data_type": "float"}]}
+)
+
+
+@query
+def store_bucketed_upsert(spark, sf_dir):
+    """Accounts, then a correction of a few of them: both versions, with the rows that each wrote. The second takes the
+    buckets without a changed account over from the first."""
+    store = Store(spark, scratch_path(spark, "store"), ACCOUNTS, buckets=64)
+    customers = table(spark, sf_dir, "target").drop("migration_run_id", "migrated_at")
+    apply_batch(store, customers.withColumn("source_row_index", F.expr("cast(substr(account_id, 2) as bigint)")), "run_1", AT)
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("source_row_index"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("account_id"),
+        F.concat(F.lit("U"), F.col("n_nationkey").cast("string")).alias("account_code"), F.col("n_name").alias("status"), F.lit(1.0).alias("score"),
+    )
+    apply_batch(store, nations, "run_2", AT)
+    both = [store.rewritten(n).withColumn("version", F.lit(n)) for n in (0, 1)]
+    return both[0].unionByName(both[1]).drop("migrated_at")
+
+
+@query
+def store_unique_values(spark, sf_dir):
+    """Customers, then suppliers, claim one territory each: rows whose territory another key has go to the ledger."""
+    spec = TargetSpec.from_dict(
+        {"table_name": "agents", "natural_key": "code", "fields": [{"name": "code"}, {"name": "territory", "constraints": {"unique": True}}]}
+    )
+    plan = Plan.of(("code", ["code"], "DIRECT_COPY"), ("territory", ["territory"], "DIRECT_COPY")).approve("tester", spec)
+    store = Store(spark, scratch_path(spark, "agents"), spec)
+    execute(store, source(spark, sf_dir, "customer_territories"), plan, "run_1", AT)
+    execute(store, source(spark, sf_dir, "supplier_territories"), plan, "run_2", AT)
+    kept = store.target().select(F.col("migration_run_id").alias("run_id"), "code", "territory", F.lit(None).cast("string").alias("refused"))
+    e = F.col("errors")[0]
+    lost = store.quarantine().select("run_id", F.col("source_natural_key").alias("code"), e["raw_value"].alias("territory"), e["error_message"].alias("refused"))
+    return kept.unionByName(lost)

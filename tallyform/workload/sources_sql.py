@@ -65,9 +65,22 @@ SELECT run_id, concat('rb_', run_id) AS event_id, 'MIGRATION_ROLLED_BACK' AS eve
 GROUP BY run_id
 """
 
+# Agents of few territories.
+CUSTOMER_TERRITORIES = """
+SELECT c_custkey AS source_row_index, concat('C', cast(c_custkey AS varchar(20))) AS code,
+       concat(cast(c_nationkey AS varchar(20)), '-', c_mktsegment) AS territory
+FROM {customer} WHERE c_mktsegment <> 'MACHINERY'
+"""
+SUPPLIER_TERRITORIES = """
+SELECT s_suppkey AS source_row_index, concat('S', cast(s_suppkey AS varchar(20))) AS code,
+       concat(cast(s_nationkey AS varchar(20)), CASE WHEN s_suppkey % 2 = 0 THEN '-MACHINERY' ELSE '-BUILDING' END) AS territory
+FROM {supplier}
+"""
+
 TEXTS = {
     "crm": LEGACY_CRM, "orders_src": LEGACY_ORDERS, "typed": TYPED_EVENTS, "batch": ACCOUNT_BATCH,
     "target": ACCOUNT_TARGET, "run_metrics": RUN_METRICS, "run_ledger": RUN_LEDGER, "run_events": RUN_EVENTS,
+    "customer_territories": CUSTOMER_TERRITORIES, "supplier_territories": SUPPLIER_TERRITORIES,
 }
 
 
