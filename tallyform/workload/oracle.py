@@ -554,3 +554,20 @@ s AS (SELECT s.*, c.code AS holder, row_number() OVER (PARTITION BY s.territory
 SELECT 'run_1' AS run_id, code, territory, CASE WHEN place > 1 THEN 'the value belongs to another row of the batch' END AS refused FROM c
 UNION ALL SELECT 'run_2', code, territory, CASE WHEN holder IS NOT NULL THEN 'the value belongs to another row of the target'
   WHEN place > 1 THEN 'the value belongs to another row of the batch' END FROM s"""
+
+ORACLE["source_delimited_quoted"] = """
+SELECT doc_id::VARCHAR AS doc_id, coalesce('"' || replace(text, ', ', '", "') || '"', '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(n_chars::VARCHAR, '') AS n_chars FROM documents"""
+ORACLE["source_delimited_ragged"] = f"""
+SELECT source_row_index::VARCHAR AS row, coalesce(order_num, '') AS order_num, CASE WHEN source_row_index % 7 <> 0 AND source_row_index % 11 = 0 THEN '' ELSE coalesce(order_total_str, '') END AS order_total,
+  CASE WHEN source_row_index % 7 = 0 THEN concat_ws('|', source_row_index::VARCHAR, order_num, order_total_str, 'late', 'x') END AS extra_fields FROM ({plain('orders_src')}) t"""
+ORACLE["source_delimited_tabs"] = """
+SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment
+FROM customer"""
+ORACLE["source_json_array"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INTEGER::BIGINT AS l_quantity, '}]{"' || l_returnflag || chr(92) || '", [' AS remark FROM lineitem"""
+ORACLE["source_json_wrapped"] = "SELECT * FROM customer"
+ORACLE["upsert_null_keys"] = f"""
+WITH f AS (SELECT source_row_index, CASE WHEN source_row_index % 4 <> 0 THEN trim(account_code) END AS code, status FROM ({plain('batch')}) b)
+SELECT NULL::BIGINT AS source_row_index, code, arg_max(status, source_row_index) AS status, NULL::VARCHAR AS rule FROM f WHERE code IS NOT NULL GROUP BY code
+UNION ALL SELECT source_row_index, NULL, NULL, 'UPSERT_KEY_IS_NULL' FROM f WHERE code IS NULL"""

@@ -560,3 +560,89 @@ def store_unique_values(spark, sf_dir):
     e = F.col("errors")[0]
     lost = store.quarantine().select("run_id", F.col("source_natural_key").alias("code"), e["raw_value"].alias("territory"), e["error_message"].alias("refused"))
     return kept.unionByName(lost)
+
+
+def _as_file(rows: DataFrame, path: str, order: str) -> None:
+    """Rows of text (``value``) as one file, in order."""
+    rows.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+
+
+QUOTED = "concat('\"', replace(text, ', ', '\", \"'), '\"')"
+
+
+@query
+def source_delimited_quoted(spark, sf_dir):
+    """Whole documents as one delimited file: line ends, separators and quotes inside of quoted values, read by ranges."""
+    path = scratch_path(spark, "quoted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(QUOTED).alias("text"), "lang", "source", "n_chars")
+    export(docs.repartition(1), path)
+    return readers.read_delimited(spark, path, sep=",", rest=None)
+
+
+@query
+def source_delimited_ragged(spark, sf_dir):
+    """Pipe text with longer, shorter and blank records."""
+    path = scratch_path(spark, "ragged")
+    line = F.expr(RAGGED_LINE)
+    head = spark.sql("SELECT cast(-1 AS bigint) AS at, 'row|order_num|order_total' AS value")
+    rows = table(spark, sf_dir, "orders_src").select(F.col("source_row_index").cast("bigint").alias("at"), line.alias("value"))
+    blank = rows.filter("at % 5 = 0").select("at", F.when(F.col("at") % 2 == 0, "").otherwise(" | | ").alias("value"))
+    _as_file(head.unionByName(rows).unionByName(blank), path, "at")
+    return readers.read_delimited(spark, path)
+
+
+RAGGED_LINE = """
+CASE WHEN source_row_index % 7 = 0 THEN concat_ws('|', cast(source_row_index AS string), order_num, order_total_str, 'late', 'x')
+     WHEN source_row_index % 11 = 0 THEN concat_ws('|', cast(source_row_index AS string), order_num)
+     ELSE concat_ws('|', cast(source_row_index AS string), order_num, order_total_str) END"""
+
+
+@query
+def source_delimited_tabs(spark, sf_dir):
+    """Tab text, its separator found from the first line, with positions."""
+    path = scratch_path(spark, "tabs")
+    export(table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1), path, sep="\t")
+    return readers.read_delimited(spark, path, index="pos", rest=None)
+
+
+@query
+def source_json_array(spark, sf_dir):
+    """Orders with their lines as one JSON array; strings hold brackets, braces and quotes."""
+    path = scratch_path(spark, "array")
+    lines = table(spark, sf_dir, "lineitem").withColumn("remark", F.expr("concat('}]{\"', l_returnflag, '\\\\\", [')"))
+    item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("l_quantity"), "remark")
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    first = orders.agg(F.min("l_orderkey")).scalar()
+    body = orders.select(
+        F.col("l_orderkey").alias("at"), F.concat(F.when(F.col("l_orderkey") == first, "").otherwise(", "), F.to_json(F.struct("l_orderkey", "items"))).alias("value")
+    )
+    ends = spark.sql("SELECT * FROM VALUES (cast(-1 AS bigint), '['), (9223372036854775807, ']') AS t (at, value)")
+    _as_file(body.unionByName(ends), path, "at")
+    return readers.read_json(spark, path).select("l_orderkey", F.inline("items"))
+
+
+@query
+def source_json_wrapped(spark, sf_dir):
+    """Customers in one list of an object that holds other lists and objects."""
+    path = scratch_path(spark, "wrapped")
+    c = table(spark, sf_dir, "customer")
+    body = c.select(F.col("c_custkey").alias("at"), F.concat(F.to_json(F.struct(*c.columns)), F.lit(",")).alias("value"))
+    ends = spark.sql(
+        """SELECT * FROM VALUES (cast(-1 AS bigint), '{"status": "ok", "meta": {"page": {"n": 1}}, "errors": [{"code": 1}], "records": ['),
+           (9223372036854775807, 'null], "more": [[{"c_custkey": -5}], {"c_custkey": -6}]}') AS t (at, value)"""
+    )
+    _as_file(body.unionByName(ends), path, "at")
+    return readers.read_json(spark, path).select(*c.columns)
+
+
+@query
+def upsert_null_keys(spark, sf_dir):
+    """A feed in which every fourth row has no key: accounts kept, and rows that went to the ledger."""
+    spec = TargetSpec.from_dict({"table_name": "feed", "natural_key": "code", "fields": [{"name": "code"}, {"name": "status"}]})
+    plan = Plan.of(("code", ["code"], "DIRECT_COPY"), ("status", ["status"], "DIRECT_COPY")).approve("tester", spec)
+    store = Store(spark, scratch_path(spark, "feed"), spec)
+    feed = table(spark, sf_dir, "batch").select("source_row_index", F.expr("CASE WHEN source_row_index % 4 <> 0 THEN account_code END").alias("code"), "status")
+    execute(store, feed, plan, "run_1", AT)
+    kept = store.target().select(F.lit(None).cast("bigint").alias("source_row_index"), "code", "status", F.lit(None).cast("string").alias("rule"))
+    lost = store.quarantine("run_1").select("source_row_index", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("status"), F.col("errors")[0]["rule"].alias("rule"))
+    return kept.unionByName(lost)
