@@ -571,3 +571,69 @@ ORACLE["upsert_null_keys"] = f"""
 WITH f AS (SELECT source_row_index, CASE WHEN source_row_index % 4 <> 0 THEN trim(account_code) END AS code, status FROM ({plain('batch')}) b)
 SELECT NULL::BIGINT AS source_row_index, code, arg_max(status, source_row_index) AS status, NULL::VARCHAR AS rule FROM f WHERE code IS NOT NULL GROUP BY code
 UNION ALL SELECT source_row_index, NULL, NULL, 'UPSERT_KEY_IS_NULL' FROM f WHERE code IS NULL"""
+
+
+def _trial(position: int, field: str, column: str, rule: str, good: str) -> str:
+    return (
+        f"SELECT {position} AS position, {q(field)} AS target_field, {q(column)} AS source_field, {q(rule)} AS transformation, "
+        f"count(*) FILTER (NOT {blank(column)}) AS filled, count(*) FILTER (NOT {blank(column)} AND coalesce({good}, false)) AS accepted FROM src"
+    )
+
+
+def _upper_name(x: str, part: str) -> str:
+    return f"({first_name(x) if part == 'first' else last_name(x)}) <> ''"
+
+
+_ACCOUNT, _NAME, _MAIL, _PHONE, _DAY = "legacy_account_id", "full_name_raw", "email_address", "phone_raw", "signup_date_str"
+_STATUS, _MONEY, _RISK, _COUNTRY = "account_status_code", "balance_due_str", "risk_flag", "country_code_raw"
+_NUMBER = f"try_cast({_MONEY} AS DOUBLE) IS NOT NULL"
+_TRIALS = [
+    (0, "customer_uuid", _ACCOUNT, "UUID_V5_FROM_KEY", "true"), (0, "customer_uuid", _ACCOUNT, "DIRECT_COPY", "true"), (1, "natural_key", _ACCOUNT, "DIRECT_COPY", "true"),
+    (2, "first_name", _NAME, "SPLIT_NAME", _upper_name(_NAME, "first")), (2, "first_name", _NAME, "DIRECT_COPY", "true"),
+    (3, "last_name", _NAME, "SPLIT_NAME", _upper_name(_NAME, "last")), (3, "last_name", _NAME, "DIRECT_COPY", "true"),
+    (4, "email", _MAIL, "EMAIL_NORMALIZE", email_ok(_MAIL)), (4, "email", _MAIL, "DIRECT_COPY", "true"),
+    (5, "phone_e164", _PHONE, "PHONE_TO_E164", f"{phone_value(_PHONE)} IS NOT NULL"),
+    (5, "phone_e164", _PHONE, "DIRECT_COPY", f"regexp_matches({_PHONE}, '^\\+[1-9][0-9]{{1,14}}$')"),
+    (6, "joined_at", _DAY, "DATE_TO_ISO8601", f"{date_iso(_DAY)} IS NOT NULL"), (6, "joined_at", _DAY, "DIRECT_COPY", "true"),
+    (7, "status", _STATUS, "ENUM_LOOKUP", f"lower({strip(_STATUS)}) IN ('1', '0', '9', 'true', 'false', 'active', 'inactive', 'suspended', 'terminated')"),
+    (7, "status", _STATUS, "DIRECT_COPY", f"{_STATUS} IN ('ACTIVE', 'INACTIVE', 'SUSPENDED', 'TERMINATED')"),
+    (8, "balance_due", _MONEY, "CLEAN_CURRENCY_TO_FLOAT", f"{money(_MONEY)} IS NOT NULL"), (8, "balance_due", _MONEY, "DIRECT_COPY", _NUMBER),
+    (9, "risk_tier", _RISK, "ENUM_LOOKUP", f"lower({strip(_RISK)}) IN ('low', 'n', 'med', 'medium', 'high', 'y', 'standard', 'elevated', 'critical')"),
+    (9, "risk_tier", _RISK, "DIRECT_COPY", f"{_RISK} IN ('STANDARD', 'ELEVATED', 'CRITICAL')"),
+    (10, "country_iso2", _COUNTRY, "COUNTRY_TO_ISO2", "v_country_known"), (10, "country_iso2", _COUNTRY, "DIRECT_COPY", f"regexp_matches({_COUNTRY}, '^[A-Z]{{2}}$')"),
+]
+_KNOWN = "(source_row_index IN (SELECT source_row_index FROM ({}) k WHERE value IS NOT NULL))".format(ORACLE["rule_country"])
+ORACLE["suggested_mapping_tried"] = f"""{_WITH_CRM}, t AS ({' UNION ALL '.join(_trial(*t).replace('v_country_known', _KNOWN) for t in _TRIALS)}),
+u AS (SELECT *, round(100.0 * accepted / filled, 2)::DOUBLE AS accepted_percentage FROM t)
+SELECT *, row_number() OVER (PARTITION BY position ORDER BY accepted_percentage < 50, transformation = 'DIRECT_COPY', accepted_percentage DESC) AS choice FROM u"""
+
+ORACLE["reconcile_run_states"] = f"""
+WITH h AS ({plain('run_history')}), m AS ({plain('run_recorded')}),
+e AS (SELECT run_id, count(*) FILTER (event_type = 'DRY_RUN_EXECUTED') AS simulations, count(*) FILTER (event_type IN ('MIGRATION_EXECUTED', 'MIGRATION_RETRIED')) AS executions,
+  count(*) FILTER (event_type = 'MIGRATION_ROLLED_BACK') AS rollbacks, max(seq) FILTER (event_type = 'MIGRATION_ROLLED_BACK') AS undone,
+  max(seq) FILTER (event_type IN ('MIGRATION_EXECUTED', 'MIGRATION_RETRIED')) AS done FROM h GROUP BY run_id),
+l AS (SELECT run_id, count(*) AS n FROM ({plain('run_ledger')}) x GROUP BY run_id),
+r AS (SELECT run_id, CASE WHEN m.total_source_records IS NULL THEN 'simulated' WHEN undone > done THEN 'rolled_back' ELSE 'executed' END AS state,
+  coalesce(simulations, 0) AS simulations, coalesce(executions, 0) AS executions, coalesce(rollbacks, 0) AS rollbacks,
+  coalesce(total_source_records, 0)::BIGINT AS total_source_records, coalesce(inserted_count + updated_count + skipped_count, 0)::BIGINT AS accepted, coalesce(n, 0) AS quarantined_records
+  FROM e FULL OUTER JOIN m USING (run_id) FULL OUTER JOIN l USING (run_id)),
+s AS (SELECT * EXCLUDE (accepted), CASE WHEN state = 'executed' THEN accepted ELSE 0 END AS target_accepted_records,
+  CASE WHEN state = 'executed' THEN total_source_records - accepted - quarantined_records ELSE 0 END AS unaccounted_records FROM r)
+SELECT *, CASE state WHEN 'simulated' THEN 'PENDING_EXECUTION' WHEN 'rolled_back' THEN 'ROLLED_BACK' ELSE
+  CASE WHEN unaccounted_records <> 0 THEN 'DISCREPANCY_DETECTED' WHEN quarantined_records = 0 THEN 'PASSED_EXACT' ELSE 'PASSED_WITH_QUARANTINE' END END AS verdict FROM s"""
+
+_CODES = f"SELECT lower(trim(code)) AS code, min(brand) AS brand, count(DISTINCT brand) AS variants FROM ({plain('part_codes')}) c GROUP BY 1"
+ORACLE["rule_enum_table"] = f"""
+WITH c AS ({_CODES}), x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN 'p-' || (l_partkey + 1)::VARCHAR WHEN l_partkey % 10 = 1 THEN ' ' ELSE ' P-' || l_partkey::VARCHAR || ' ' END AS raw FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN variants = 1 THEN brand END AS value,
+  CASE WHEN trim(raw) = '' THEN {q(fixed.MSG_ENUM_MISSING)} WHEN variants > 1 THEN 'the code ' || chr(39) || raw || chr(39) || ' stands for more than one value' WHEN variants IS NULL THEN 'there is no code ' || chr(39) || raw || chr(39) END AS error
+FROM x LEFT JOIN c ON lower(trim(raw)) = c.code"""
+ORACLE["code_table_repeated"] = f"SELECT code, variants FROM ({_CODES}) c WHERE variants > 1"
+ORACLE["profile_distinct_sketches"] = " UNION ALL ".join(
+    f"SELECT {q(c)} AS column_name, count(*) AS total_records, count(DISTINCT {c}) AS distinct_count, true AS within_bound, true AS halves_equal_whole FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+)
+ORACLE["profile_empty_table"] = " UNION ALL ".join(
+    f"SELECT {q(c)} AS column_name, {i} AS position, 0::BIGINT AS total_records, 0::BIGINT AS non_null_count, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_percentage, 0::BIGINT AS distinct_count, '' AS patterns_detected"
+    for i, c in enumerate(("event_id", "ts", "user_id", "event_type", "value", "props"))
+)

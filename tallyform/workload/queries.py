@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profiling, reconcile, remediate, suggest
+from ..operators import codes, profiling, reconcile, remediate, suggest
 from ..operators.conform import apply_rule, conform
 from ..operators.upsert import Upsert, add_columns, duplicate_keys, rekey_collisions, version_diff, violations
 from ..pipeline import apply_batch, execute
@@ -646,3 +646,54 @@ def upsert_null_keys(spark, sf_dir):
     kept = store.target().select(F.lit(None).cast("bigint").alias("source_row_index"), "code", "status", F.lit(None).cast("string").alias("rule"))
     lost = store.quarantine("run_1").select("source_row_index", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("status"), F.col("errors")[0]["rule"].alias("rule"))
     return kept.unionByName(lost)
+
+
+@query
+def suggested_mapping_tried(spark, sf_dir):
+    """Every candidate rule of every field, tried on the whole column; choice 1 is what the plan takes."""
+    return suggest.rule_trials(table(spark, sf_dir, "crm"), CUSTOMERS, CRM_COLUMNS).drop("precedence")
+
+
+@query
+def reconcile_run_states(spark, sf_dir):
+    """Runs that were simulated only, executed, rolled back, or rolled back and executed again."""
+    return reconcile.run_states(table(spark, sf_dir, "run_history"), table(spark, sf_dir, "run_recorded"), table(spark, sf_dir, "run_ledger"))
+
+
+@query
+def rule_enum_table(spark, sf_dir):
+    """Part codes of all order lines looked up in a table of codes, some of which stand for two brands."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(PART_CODE).alias("code"))
+    done = codes.lookup_codes(lines, "code", table(spark, sf_dir, "part_codes"), "code", "brand", required=True)
+    return done.select("l_orderkey", "l_linenumber", "value", "error")
+
+
+PART_CODE = "CASE WHEN l_partkey % 9 = 0 THEN concat('p-', cast(l_partkey + 1 AS string)) WHEN l_partkey % 10 = 1 THEN ' ' ELSE concat(' P-', cast(l_partkey AS string), ' ') END"
+
+
+@query
+def code_table_repeated(spark, sf_dir):
+    return codes.repeated_codes(table(spark, sf_dir, "part_codes"), "code", "brand")
+
+
+@query
+def profile_distinct_sketches(spark, sf_dir):
+    """Sketches of two halves of the order lines, merged, against one of the whole and the exact counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    halves = [profiling.distinct_sketches(lines.filter(half)) for half in ("l_linestatus = 'O'", "l_linestatus <> 'O' OR l_linestatus IS NULL")]
+    merged = profiling.estimated_distinct(profiling.merge_sketches(halves[0].unionByName(halves[1])))
+    # an unmerged sketch estimates from the order of its updates, too: merged with itself, from its registers alone
+    whole = profiling.distinct_sketches(lines)
+    again = profiling.estimated_distinct(profiling.merge_sketches(whole.unionByName(whole))).select("position", F.col("distinct_estimate").alias("whole"))
+    exact = profiling.profile_columns(lines).select("position", "distinct_count")
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) / F.col("distinct_count")
+    return merged.join(again, "position").join(exact, "position").select(
+        "column_name", "total_records", "distinct_count", (off <= profiling.sketch_error()).alias("within_bound"),
+        (F.col("distinct_estimate") == F.col("whole")).alias("halves_equal_whole"),
+    )
+
+
+@query
+def profile_empty_table(spark, sf_dir):
+    """A profile of no rows has a line of zeros for every column."""
+    return _flat_profile(profiling.profile_columns(table(spark, sf_dir, "events").filter("event_id < 0")))

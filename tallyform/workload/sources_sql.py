@@ -65,6 +65,23 @@ SELECT run_id, concat('rb_', run_id) AS event_id, 'MIGRATION_ROLLED_BACK' AS eve
 GROUP BY run_id
 """
 
+# Every run was simulated first; those of February stayed at that, those of an even year's August were executed again.
+RUN_HISTORY = f"""
+SELECT run_id, event_type, seq * 10 AS seq FROM ({RUN_EVENTS}) a WHERE run_id NOT LIKE '%02'
+UNION ALL SELECT DISTINCT run_id, 'DRY_RUN_EXECUTED' AS event_type, cast(0 AS bigint) AS seq FROM ({RUN_EVENTS}) b
+UNION ALL SELECT run_id, 'MIGRATION_RETRIED' AS event_type, seq * 10 + 1 AS seq FROM ({RUN_EVENTS}) c
+WHERE event_type = 'MIGRATION_ROLLED_BACK' AND cast(substr(run_id, 5, 4) AS int) % 2 = 0
+UNION ALL SELECT DISTINCT run_id, 'PLAN_UPDATED' AS event_type, cast(9000000000 AS bigint) AS seq FROM ({RUN_EVENTS}) d
+"""
+RUN_RECORDED = f"SELECT * FROM ({RUN_METRICS}) m WHERE run_id NOT LIKE '%02'"
+
+# Codes of parts; those of parts that are multiples of 25 are there once more, for another brand.
+PART_CODES = """
+SELECT concat('p-', cast(p_partkey AS varchar(20))) AS code, p_brand AS brand FROM {part}
+UNION ALL SELECT concat(' P-', cast(p_partkey AS varchar(20))), p_brand FROM {part} WHERE p_partkey % 2 = 0
+UNION ALL SELECT concat('P-', cast(p_partkey AS varchar(20)), ' '), concat(p_brand, '-old') FROM {part} WHERE p_partkey % 25 = 0
+"""
+
 # Agents of few territories.
 CUSTOMER_TERRITORIES = """
 SELECT c_custkey AS source_row_index, concat('C', cast(c_custkey AS varchar(20))) AS code,
@@ -80,6 +97,7 @@ FROM {supplier}
 TEXTS = {
     "crm": LEGACY_CRM, "orders_src": LEGACY_ORDERS, "typed": TYPED_EVENTS, "batch": ACCOUNT_BATCH,
     "target": ACCOUNT_TARGET, "run_metrics": RUN_METRICS, "run_ledger": RUN_LEDGER, "run_events": RUN_EVENTS,
+    "run_history": RUN_HISTORY, "run_recorded": RUN_RECORDED, "part_codes": PART_CODES,
     "customer_territories": CUSTOMER_TERRITORIES, "supplier_territories": SUPPLIER_TERRITORIES,
 }
 
