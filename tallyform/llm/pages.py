@@ -3,7 +3,9 @@
 A page is cut at its block tags into leaf blocks of text. A block is seen as the hashed names of the elements around it (tag,
 class and id words), the hashed words of its text, and how long and how densely linked it is. A bidirectional LSTM in numpy
 reads the blocks of the page in order and calls each of them main text or not, so that every block is judged in the context of
-the whole page. It is trained on at most ``pages`` pages, chosen by a hash of their url. Their labels come from their markup
+the whole page; long pages are read in runs that carry their states on. It is trained on a sample of about ``pages`` pages, drawn
+by a hash of url and html, and of each at most ``stretch`` blocks in a row, of which each has at most ``chars`` characters. These
+three bound what reaches the driver; every page is extracted whole. Labels of the sample come from markup
 (text of an article that is in no menu, header, footer, aside, form, notice, advert or comment); copies of the pages with such
 parts strewn in, or with other names for the same elements, are trained on as well.
 
@@ -16,6 +18,7 @@ that of an element around them; a self-closed one is empty; a tag cut off at the
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,7 +47,10 @@ BOILERPLATE_WORDS = set("ad ads advert advertisement banner sponsor promo nav na
 MAIN = {"article", "main"}
 MAIN_WORDS = set("article content main post entry story body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+#: Inside of a tag a quote means something only where a value begins; a value without quotes ends at white space or the tag's end.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z)", re.S)
+_BARE_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -54,6 +60,8 @@ _SPACE = re.compile(r"\s+")
 @dataclass(frozen=True)
 class PageParams:
     pages: int = 400
+    stretch: int = 96
+    chars: int = 2000
     path_buckets: int = 1024
     word_buckets: int = 2048
     path_size: int = 12
@@ -110,7 +118,8 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        tag, closed = m[2].lower(), (m[3] or "").endswith("/")
+        tag = m[2].lower()
+        closed = (m[3] or "").endswith("/") and not _BARE_END.search(m[3])
         foreign = next((i for i, e in enumerate(stack) if e[0] in FOREIGN), None)
         if m[1]:
             known = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -273,10 +282,29 @@ def _lstm_back(dout: np.ndarray, x: np.ndarray, kept: list, inputs: np.ndarray,
     return dinputs, downs, dbias, dx
 
 
-def _probabilities(model: Labeller, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    ahead, _ = _lstm(x, model.inputs[0], model.own[0], model.bias[0], inside)
-    behind, _ = _lstm(x[::-1], model.inputs[1], model.own[1], model.bias[1], inside[::-1])
-    return _sigmoid((np.concatenate([ahead, behind[::-1]], axis=2) @ model.out + model.out_bias)[..., 0])
+#: Steps of a run, and blocks (padding included) of pages that are read side by side.
+RUN, CELLS = 1024, 1 << 16
+
+
+def _logits(model: Labeller, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """[T, B] for ``x`` [T, B, D]. Nothing of a step is kept but its logit; gates are made for a run of steps at a time."""
+    steps, width, _ = x.shape
+    size = model.own.shape[1]
+    out = np.full((steps, width), model.out_bias[0], dtype=np.float32)
+    runs = [(at, min(at + RUN, steps)) for at in range(0, steps, RUN)]
+    for way in (0, 1):
+        inputs, own, bias, weight = model.inputs[way], model.own[way], model.bias[way], model.out[way * size : (way + 1) * size, 0]
+        h, c = np.zeros((width, size), dtype=np.float32), np.zeros((width, size), dtype=np.float32)
+        for a, b in runs[::-1] if way else runs:
+            pre = x[a:b] @ inputs + bias
+            for t in range(b - 1, a - 1, -1) if way else range(a, b):
+                z = pre[t - a] + h @ own
+                gates = _sigmoid(z[:, : 3 * size])
+                c_new = gates[:, size : 2 * size] * c + gates[:, :size] * np.tanh(z[:, 3 * size :])
+                m = inside[t][:, None]
+                h, c = np.where(m, gates[:, 2 * size :] * np.tanh(c_new), h), np.where(m, c_new, c)
+                out[t] += h @ weight
+    return out
 
 
 # -- training ---------------------------------------------------------------------------------------------------------
@@ -311,7 +339,11 @@ def _varied(page: list[Block], rng: np.random.Generator) -> list[Block]:
 
 def train(pages: list[str], params: PageParams = PageParams()) -> Labeller | None:
     """A labeller from raw pages; None if there is no block to learn from."""
-    cut = [b for b in map(blocks, pages) if b]
+    return train_blocks([blocks(p) for p in pages], params)
+
+
+def train_blocks(pages: list[list[Block]], params: PageParams = PageParams()) -> Labeller | None:
+    cut = [p for p in pages if p]
     if not cut:
         return None
     rng = np.random.Generator(np.random.PCG64(params.seed))
@@ -372,32 +404,54 @@ def label(model: Labeller | None, pages: list[list[Block]], params: PageParams,
     if model is None:
         return out
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), 128):
-        some = order[at : at + 128]
+    while order:
+        # as many of the shortest as fit side by side, padded to the longest of them; a page is never cut
+        n = 1
+        while n < min(128, len(order)) and (n + 1) * len(pages[order[n]]) <= CELLS:
+            n += 1
+        some, order = order[:n], order[n:]
         steps = len(pages[some[-1]])
-        x = np.zeros((steps, len(some), params.path_size + params.word_size + 4), dtype=np.float32)
-        inside = np.zeros((steps, len(some)), dtype=bool)
-        ts = np.concatenate([np.arange(len(pages[i])) for i in some])
-        bs = np.repeat(np.arange(len(some)), [len(pages[i]) for i in some])
-        every = [b for i in some for b in pages[i]]
-        x[ts, bs, : params.path_size] = _sum(model.path, [coder.path(b.path) for b in every])
-        x[ts, bs, params.path_size : -4] = _mean(model.word, [coder.words(b.text) for b in every])
-        x[ts, bs, -4:] = [coder.numbers(b) for b in every]
-        inside[ts, bs] = True
-        p = _probabilities(model, x, inside)
+        x = np.zeros((steps, n, params.path_size + params.word_size + 4), dtype=np.float32)
+        inside = np.zeros((steps, n), dtype=bool)
+        for k, i in enumerate(some):
+            for at in range(0, len(pages[i]), CELLS):
+                part = pages[i][at : at + CELLS]
+                rows = x[at : at + len(part), k]
+                rows[:, : params.path_size] = _sum(model.path, [coder.path(b.path) for b in part])
+                rows[:, params.path_size : -4] = _mean(model.word, [coder.words(b.text) for b in part])
+                rows[:, -4:] = [coder.numbers(b) for b in part]
+            inside[: len(pages[i]), k] = True
+        found = _logits(model, x, inside)
         for k, i in enumerate(some):
-            out[i] = p[: len(pages[i]), k] >= 0.5
+            out[i] = found[: len(pages[i]), k] >= 0
     return out
 
 
-def sample(pages: DataFrame, params: PageParams = PageParams()) -> list[str]:
-    rows = pages.select("url", "html").where(F.col("html").isNotNull() & (F.length("html") <= 50_000))
-    return [r.html for r in rows.orderBy(F.xxhash64("url", "html")).limit(params.pages).select("html").collect()]
+def _stretch(page: str, params: PageParams) -> list[Block]:
+    """Blocks of a page that are learned from: all of a short one, else some in a row from a place its content decides."""
+    found = blocks(page)
+    at = zlib.crc32(page[:1000].encode()) % (len(found) - params.stretch + 1) if len(found) > params.stretch else 0
+    return [Block(b.text[: params.chars], b.path, min(b.link_chars, len(b.text), params.chars)) for b in found[at : at + params.stretch]]
+
+
+def sample(pages: DataFrame, params: PageParams = PageParams()) -> list[list[Block]]:
+    """Blocks of about ``params.pages`` pages, whatever their length: chosen and cut in the tasks that read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [[(b.text, b.path, b.link_chars) for b in _stretch(h, params)] for h in batch["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(c) for c in cut], pa.string())], names=["blocks"])
+
+    some = pages.select("url", "html").where(F.col("html").isNotNull())
+    share = min(1.0, params.pages / max(1, some.count()))
+    drawn = some.where(F.pmod(F.xxhash64("url", "html"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
+    rows = drawn.mapInArrow(run, "blocks string").collect()
+    return sorted(([Block(t, [tuple(e) for e in path], n) for t, path, n in json.loads(r.blocks)] for r in rows), key=lambda p: [(b.text, b.path) for b in p])
 
 
 def extract(pages: DataFrame, params: PageParams = PageParams(), model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_main for every row of ``pages``."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(sample(pages, params), params))
+    shared = pages.sparkSession.sparkContext.broadcast(model or train_blocks(sample(pages, params), params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(params)

@@ -437,7 +437,7 @@ def test_chat_round_trip(spark):
 
 def test_pages(spark):
     raw = spark.read.parquet(f"{SF}/pages.parquet")
-    labeller = pages.train(pages.sample(raw))
+    labeller = pages.train_blocks(pages.sample(raw))
     for r in pages.extract(raw, model=labeller).join(raw.select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = " ".join(__import__("html").unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", body))).split())
@@ -532,3 +532,53 @@ def test_registered_query(spark, name):
     source = spark.read.parquet(f"{SF}/{table}.parquet")
     want = source.select("conv_id").distinct().count() + 1 if table == "conversations" else source.count()
     assert out.count() == want
+
+
+ARTICLE = "<html><body><nav class=menu><a href=/>Home</a></nav><article>{}</article><footer>bye</footer></body></html>"
+
+
+def test_pages_of_any_length_are_learned_from(spark):
+    """Pages that are all longer than 50,000 characters."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    longer = rows.withColumn("html", F.concat("html", F.lit("<!--" + "x" * 60_000 + "-->")))
+    got = {r.page_id: r.text for r in pages.extract(longer).collect()}
+    want = {r.page_id: r.text for r in pages.extract(rows).collect()}
+    assert sum(map(len, got.values())) > 100_000 and sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article class=it's><p>one</p><p>two</p></article>", ["one", "two"]),
+        ("<p title=\"a>b\">one</p><p title='c>\"d'>two", ["one", "two"]),
+        ("<p a\"b>one</p><p>two</p>", ["one", "two"]),
+        ("<div><a href=x/>one</a> two</div>", ["one two"]),
+        ("<p a = 'x>' b=y'>one</p>", ["one"]),
+        ("<p>one</p><p title='never closed>two", ["one"]),
+    ],
+)
+def test_attribute_values(page, want):
+    assert [b.text for b in pages.blocks(page)] == want
+
+
+def test_runs_and_groups_of_pages_change_nothing(spark, monkeypatch):
+    rows = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    params = pages.PageParams(rounds=40)
+    model, cut = pages.train(rows, params), [pages.blocks(h) for h in rows]
+    want = pages.label(model, cut, params, pages.Encoder(params))
+    for run, cells in ((1, 1), (3, 50), (7, 10_000)):
+        monkeypatch.setattr(pages, "RUN", run)
+        monkeypatch.setattr(pages, "CELLS", cells)
+        assert all((a == b).all() for a, b in zip(want, pages.label(model, cut, params, pages.Encoder(params)), strict=True))
+
+
+def test_a_page_of_200_000_blocks_beside_small_ones():
+    import resource
+
+    params = pages.PageParams(rounds=5)
+    small = [ARTICLE.format("<p>word</p>" * n) for n in range(1, 100)]
+    model = pages.train(small, params)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    cut = [pages.blocks(p) for p in [*small, ARTICLE.format("<p>word</p>" * 200_000)]]
+    marks = pages.label(model, cut, params, pages.Encoder(params))
+    assert len(marks[-1]) == 200_002 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
