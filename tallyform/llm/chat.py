@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more training windows. Prefix sums of its turns' tokens choose spans of whole turns that fit
-the budget; each window begins with the system turn (if the conversation opens with one), repeats at most ``history``
-tokens of the turns before its span, and carries a loss mask: assistant texts of the span itself are targets, repeated ones
-are masked, so that each target counts once over all windows. A turn that alone exceeds the budget is a window of its own,
-whole: nothing is cut.
+A conversation becomes one or more training windows. Each begins with the system turn (if the conversation opens with one),
+repeats whole turns before its span of at most ``history`` tokens, and carries a loss mask: assistant texts of the span itself
+are targets, repeated ones are masked, so that each target counts once over all windows. Borders are found by search in the
+prefix sums of the turns' tokens: the first turn that is repeated (fewer are where the next turn needs their room), then the last
+turn that fits into what the system turn and the repeated ones leave of the budget. A window is over the budget only if the
+system turn and one turn are: that is a window of its own, whole, since nothing is cut.
 
 Template: ``<s>`` opens a window; a turn is ``[INST] text [/INST]`` (user), `` text </s>`` behind ``[ANS]`` (assistant),
 ``<<SYS>> text <</SYS>>`` (system) or ``[ROLE] name [SAYS] text [/ROLE]`` (any other role). Control strings inside a text
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -75,7 +77,6 @@ class _Window:
     parts: list[str] = field(default_factory=list)
     length: int = 0
     loss: list[dict[str, int]] = field(default_factory=list)
-    targets: int = 0
 
     def add(self, role: str, text: str, target: bool) -> None:
         shown, start, stop = render(role, text)
@@ -86,62 +87,59 @@ class _Window:
 
 
 class _Packer:
-    """Spans of one conversation, turn by turn: holds one window and the history that may be repeated, never the whole."""
+    """Windows of one conversation: holds the turns of a window and those that may be repeated, never the whole."""
 
     def __init__(self, conv_id: int | None, budget: int, history: int):
         self.conv_id, self.budget, self.history = conv_id, budget, history
         self.system: tuple[str, str, int] | None = None
-        self.recent: list[tuple[str, str, int]] = []
-        self.prefix = 0
-        self.at = 0
-        self.window: _Window | None = None
-
-    def _open(self) -> _Window:
-        number = self.window.number + 1 if self.window else 0
-        repeated: list[tuple[str, str, int]] = []
-        room = self.history
-        for turn in reversed(self.recent):
-            if turn[2] > room:
-                break
-            room -= turn[2]
-            repeated.insert(0, turn)
-        w = _Window(number, self.at, len(repeated), 0, ["<s>"], 3)
-        if number and self.system:
-            w.add(self.system[0], self.system[1], False)
-            w.used += self.system[2]
-            w.n_history += 1
-        for role, text, n in repeated:
-            w.add(role, text, False)
-            w.used += n
-        return w
+        self.turns: list[tuple[str, str, int]] = []
+        #: Tokens of the turns up to each of ``turns``; sums of any run of them are differences of two entries.
+        self.prefix = [0]
+        self.dropped = self.number = self.start = self.seen = 0
 
     def turn(self, role: str, text: str) -> Iterator[dict]:
         n = tokens(text)
-        if self.window is None:
-            self.window = self._open()
-        elif self.window.targets and self.window.used + n > self.budget:
-            yield self._row()
-            self.window = self._open()
-        if self.at == 0 and role == "system":
+        if not self.seen and role == "system":
             self.system = (role, text, n)
-        else:
-            self.recent.append((role, text, n))
-            held = sum(t[2] for t in self.recent)
-            while self.recent and held > self.history:
-                held -= self.recent.pop(0)[2]
-        self.window.add(role, text, True)
-        self.window.used += n
-        self.window.targets += 1
-        self.prefix += n
-        self.at += 1
-
-    def _row(self) -> dict:
-        w = self.window
-        return {"conv_id": self.conv_id, "window": w.number, "first_turn": w.first_turn, "n_history": w.n_history, "n_tokens": w.used, "text": "".join(w.parts), "loss": w.loss}
+        self.seen += 1
+        self.turns.append((role, text, n))
+        self.prefix.append(self.prefix[-1] + n)
+        while (span := self._span()) is not None and span[1] < len(self.turns):
+            yield self._cut(*span)
 
     def close(self) -> Iterator[dict]:
-        if self.window:
-            yield self._row()
+        while (span := self._span()) is not None:
+            yield self._cut(*span)
+
+    def _span(self) -> tuple[int, int] | None:
+        """First repeated turn, and the turn behind the span, which begins at ``start``; None if no turn is left."""
+        if self.start == len(self.turns):
+            return None
+        room = self.budget - (self.system[2] if self.number and self.system else 0)
+        most = min(self.history, max(0, room - self.turns[self.start][2]))
+        first = self._repeated(most) if self.number else self.start
+        return first, max(self.start + 1, bisect_right(self.prefix, self.prefix[first] + room) - 1)
+
+    def _repeated(self, most: int) -> int:
+        """The first of the turns right before ``start`` that have ``most`` tokens together; not the system turn."""
+        held = 1 if self.system and not self.dropped else 0
+        return bisect_left(self.prefix, self.prefix[self.start] - most, held, self.start)
+
+    def _cut(self, first: int, stop: int) -> dict:
+        w = _Window(self.number, self.dropped + self.start, 0, 0, ["<s>"], 3)
+        again = [self.system] if self.number and self.system else []
+        again += self.turns[first : self.start]
+        for role, text, n in again:
+            w.add(role, text, False)
+            w.n_history, w.used = w.n_history + 1, w.used + n
+        for role, text, n in self.turns[self.start : stop]:
+            w.add(role, text, True)
+            w.used += n
+        self.number, self.start = self.number + 1, stop
+        gone = self._repeated(self.history)
+        del self.turns[:gone], self.prefix[:gone]
+        self.dropped, self.start = self.dropped + gone, self.start - gone
+        return {"conv_id": self.conv_id, "window": w.number, "first_turn": w.first_turn, "n_history": w.n_history, "n_tokens": w.used, "text": "".join(w.parts), "loss": w.loss}
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ posting lists, shifted by each term's place in the phrase, from the rarest term
 the rarest term's list gives candidate starts, the next ones thin them out, and what is left is compared in full with the
 words of the document. Proximity search asks for all terms within a span of words instead.
 
-Test terms are dealt into blocks of at most ``TERMS_PER_BLOCK`` distinct terms: what a block broadcasts is bounded (8 bytes a
-term), and a larger test set takes more blocks.
+Distinct test terms are dealt into blocks of at most ``TERMS_PER_BLOCK``, whatever items they come from; the sizes of blocks are
+counted before any is used. What a block broadcasts is thus bounded (8 bytes a term), and a larger test set takes more blocks,
+each with a pass over the documents.
 
 Cases: null texts have no words and match nothing; an item of fewer than ``window`` words (not none) is one phrase; equal
 items and repeated rows each count; an item without an id hits words, but is in no list of items; documents that share an id
@@ -21,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyform.llm.shared import ALNUM_WORDS, Words, grams, row_key, stage, text_passes
@@ -50,8 +51,18 @@ def test_terms(items: DataFrame, id_column: str = "item_id") -> DataFrame:
     )
 
 
-def _sorted_terms(terms: DataFrame) -> np.ndarray:
-    return np.sort(np.array([r.term for r in terms.select("term").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
+def term_blocks(terms: DataFrame) -> Iterator[np.ndarray]:
+    """The distinct terms in sorted blocks of at most ``TERMS_PER_BLOCK``."""
+    distinct = stage(terms.select("term").distinct(), "distinct-terms")
+    blocks = max(1, -(-distinct.count() // TERMS_PER_BLOCK))
+    while blocks > 1:
+        block = F.pmod(F.xxhash64("term"), F.lit(blocks))
+        if distinct.groupBy(block).count().agg(F.max("count")).first()[0] <= TERMS_PER_BLOCK:
+            break
+        blocks += 1 + blocks // 4
+    for b in range(blocks):
+        own = distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b) if blocks > 1 else distinct
+        yield np.sort(np.array([r.term for r in own.toLocalIterator()], dtype=np.int64).view(np.uint64))
 
 
 def _members(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -161,18 +172,30 @@ def phrase_candidates(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, terms: list[int], within: int) -> DataFrame:
-    """doc_id, doc_key, start, stop: shortest spans, one per position of the rarest term, that hold all ``terms`` in at most
-    ``within`` words. ``terms`` are hashes, as ``test_terms`` gives them, the rarest first."""
+    """doc_id, doc_key, at, start, stop: for each position ``at`` of the rarest term the shortest span around it that holds all
+    ``terms`` in at most ``within`` words (the first of equals). ``terms`` are hashes, as ``test_terms`` gives them, the rarest
+    first. Positions farther than ``within`` words from ``at`` are dropped as lists are joined."""
     lists = index.where(F.col("term").isNotNull())
-    found = lists.where(F.col("term") == terms[0]).select("doc_id", "doc_key", F.explode("positions").alias("at")).withColumns({"start": F.col("at"), "stop": F.col("at")})
-    for t in terms[1:]:
+    at = F.col("at")
+    found = lists.where(F.col("term") == terms[0]).select("doc_id", "doc_key", F.explode("positions").alias("at"))
+    found = found.withColumn("near", F.array().cast("array<array<int>>"))
+    for t in dict.fromkeys(terms[1:]):
+        if t == terms[0]:
+            continue
         other = lists.where(F.col("term") == t).select(F.col("doc_id").alias("d2"), F.col("doc_key").alias("k2"), "positions")
-        nearest = F.array_min(F.transform("positions", lambda p: F.struct(F.abs(p - F.col("at")).alias("far"), p.alias("p"))))
+        close = F.filter("positions", lambda p: F.abs(p - at) < within)
         found = (
-            found.join(other, found.doc_id.eqNullSafe(other.d2) & (found.doc_key == other.k2)).withColumn("p", nearest["p"])
-            .select("doc_id", "doc_key", "at", F.least("start", "p").alias("start"), F.greatest("stop", "p").alias("stop"))
+            found.join(other, found.doc_id.eqNullSafe(other.d2) & (found.doc_key == other.k2)).withColumn("close", close).where(F.size("close") > 0)
+            .select("doc_id", "doc_key", "at", F.concat("near", F.array("close")).alias("near"))
         )
-    return found.where(F.col("stop") - F.col("start") < within).select("doc_id", "doc_key", "start", "stop")
+    # a span begins at one of the positions up to ``at``, and ends where every other term has come after that
+    starts = F.array_distinct(F.concat(F.array(at), F.filter(F.flatten("near"), lambda p: p < at)))
+    nexts = lambda s: F.transform("near", lambda ps: F.array_min(F.filter(ps, lambda p: p >= s)))
+    spans = F.transform(starts, lambda s: F.struct((F.greatest(at, F.array_max(nexts(s))) - s).alias("size"), s.alias("start"), F.exists(nexts(s), F.isnull).alias("open")))
+    best = F.array_min(F.filter(spans, lambda x: ~x["open"] & (x["size"] < within)))
+    return found.withColumn("best", best).where(F.col("best").isNotNull()).select(
+        "doc_id", "doc_key", "at", F.col("best.start").alias("start"), (F.col("best.start") + F.col("best.size")).alias("stop")
+    )
 
 
 def _confirmed(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
@@ -220,20 +243,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13, shar
 
     A document is contaminated if it has hit words, and they are at least one in ``share`` of its words."""
     terms = stage(test_terms(items), "test-terms")
-    distinct = terms.select(F.approx_count_distinct("term", 0.02)).first()[0]
-    blocks = 1 + int(distinct * 1.1) // TERMS_PER_BLOCK
-    block: Column = F.pmod(F.xxhash64("item_key"), F.lit(blocks))
-    counts, found, owners = None, [], []
-    for b in range(blocks):
-        own = terms.where(block == b) if blocks > 1 else terms
-        frequencies = stage(document_frequencies(docs, _sorted_terms(own)), "test-term-df")
-        wanted = stage(phrases(own, frequencies, window), "test-phrases")
-        index = stage(positional_index(docs, _sorted_terms(wanted.select(F.explode("terms").alias("term")))), "positional-index")
-        counts = index.where("term is null").select("doc_id", "doc_key", "n_words") if counts is None else counts
-        found.append(phrase_candidates(index, wanted))
-        owners.append(wanted.select("phrase", F.col("item_id").cast("string").alias("item")).distinct())
-    hits = stage(_confirmed(docs, reduce(DataFrame.unionAll, found), window), "phrase-hits")
-    owner = reduce(DataFrame.unionAll, owners).distinct()
+    counted = [stage(document_frequencies(docs, block), "test-term-df") for block in term_blocks(terms)]
+    wanted = stage(phrases(terms, reduce(DataFrame.unionAll, counted), window), "test-phrases")
+    parts = [stage(positional_index(docs, block), "positional-index") for block in term_blocks(wanted.select(F.explode("terms").alias("term")))]
+    counts = parts[0].where("term is null").select("doc_id", "doc_key", "n_words")
+    found = phrase_candidates(reduce(DataFrame.unionAll, parts), wanted)
+    hits = stage(_confirmed(docs, found, window), "phrase-hits")
+    owner = wanted.select("phrase", F.col("item_id").cast("string").alias("item")).distinct()
     listed = (
         hits.select("doc_id", "doc_key", F.explode("phrases").alias("phrase")).join(owner, "phrase")
         .groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("item")).alias("items"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyform.llm.shared import LOWER, text_passes
+from tallyform.llm.shared import LOWER, grown, text_passes
 
 CAPACITY, CLASSES = 4096, 8
 
@@ -54,13 +54,6 @@ _LATIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8,
 _WORD = re.compile(f"[{_LATIN}]+")
 
 
-def _grown(array: np.ndarray, least: int) -> np.ndarray:
-    """The array, with room for ``least`` entries."""
-    if least <= len(array):
-        return array
-    return np.concatenate([array, np.zeros(max(least, 2 * len(array)) - len(array), dtype=array.dtype)])
-
-
 class Encoder:
     """Ids of texts, part by distinct part."""
 
@@ -88,8 +81,8 @@ class Encoder:
             found[k] = coded.ids
         k, size = len(self.known), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         more = int(size.sum())
-        self.flat = _grown(self.flat, self.used + more)
-        self.begin, self.sizes = _grown(self.begin, k + len(new)), _grown(self.sizes, k + len(new))
+        self.flat = grown(self.flat, self.used + more)
+        self.begin, self.sizes = grown(self.begin, k + len(new)), grown(self.sizes, k + len(new))
         self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=more)
         self.begin[k : k + len(new)] = self.used + np.cumsum(size) - size
         self.sizes[k : k + len(new)] = size

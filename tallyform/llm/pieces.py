@@ -15,15 +15,17 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyform.llm.shared import grown
+
 SPACE = "▁"
-#: Stretches that a Python worker keeps with their pieces before it begins anew.
-CACHED = 250_000
+#: Stretches, and ids of stretches, that a Python worker keeps before it begins anew.
+CACHED, CACHED_IDS = 250_000, 4_000_000
 #: Longer stretches are merged one by one, with a heap.
 TOGETHER_CHARS = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -92,11 +94,15 @@ class Normalizer:
             source.insert(0, source[0])
         return "".join(out).replace(" ", SPACE), [*source, end if out else 0]
 
-    def only(self, text: str) -> str:
-        """The normalised text alone."""
+    def aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """As calling it. Where every character stands for itself, bytes that begin one are all there is to find."""
         if not self.plain:
-            return self(text)[0]
-        return (SPACE + text if self.dummy and text else text).replace(" ", SPACE)
+            shown, source = self(text)
+            return shown, np.array(source, dtype=np.int64)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        front = [0] if self.dummy and len(raw) else []
+        shown = (SPACE + text if front else text).replace(" ", SPACE)
+        return shown, np.concatenate([front, np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]]).astype(np.int64)
 
 
 class PairTable:
@@ -163,8 +169,16 @@ class Pieces:
             self.stretch = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.stretch = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.cache: dict[str, tuple[int, str, str, tuple[int, ...] | None]] = {}
         self.words, self.shown = list(map(str, range(len(self.texts)))), [t.replace(SPACE, " ") for t in self.texts]
+        #: Normalised characters of each piece.
+        self.width = np.array([len(t) for t in self.texts], dtype=np.int64)
+        # control ids show nothing, and a byte below 128 is a character wherever it stands; other bytes depend on their neighbours
+        for i in self.unseen:
+            self.shown[i] = ""
+        for b in range(128):
+            self.shown[self.byte_ids[b]] = chr(b)
+        self.apart = np.array([self.byte_of.get(i, 0) >= 128 for i in range(len(self.texts))])
+        self._forget()
         pairs = [(self.ids[t[:k]], self.ids[t[k:]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self.pairs = PairTable(*np.array(pairs, dtype=np.int64).reshape(-1, 3).T)
         by_loss = sorted(self.ids.values(), key=lambda i: self.loss[self.texts[i]])
@@ -215,9 +229,23 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def _encode_one(self, stretch: str) -> tuple[int, str, str, tuple[int, ...] | None]:
-        """(number of ids, ids as text, decoded text, normalised characters of each id). A character in several byte ids
-        counts with the first. The last is None where every id is a piece and so has the piece's own length."""
+    def _forget(self) -> None:
+        #: Stretches met so far: where their ids, and the characters of each id, stand in ``ids`` and ``widths``.
+        self.known: dict[str, int] = {}
+        self.ids_of, self.widths_of, self.begin, self.size = (np.zeros(1 << 16, dtype=np.int64) for _ in range(4))
+        self.used = 0
+
+    def _remember(self, stretches: list[str], ids: np.ndarray, widths: np.ndarray, size: np.ndarray) -> None:
+        k, n, more = len(self.known), self.used, len(ids)
+        self.ids_of, self.widths_of = grown(self.ids_of, n + more), grown(self.widths_of, n + more)
+        self.begin, self.size = grown(self.begin, k + len(size)), grown(self.size, k + len(size))
+        self.ids_of[n : n + more], self.widths_of[n : n + more] = ids, widths
+        self.begin[k : k + len(size)], self.size[k : k + len(size)] = n + np.cumsum(size) - size, size
+        self.used += more
+        self.known.update(zip(stretches, range(k, k + len(stretches)), strict=True))
+
+    def _encode_one(self, stretch: str) -> tuple[list[int], list[int]]:
+        """Ids, and normalised characters of each: a character in several byte ids counts with the first."""
         ids: list[int] = []
         widths: list[int] = []
         for part in self.merge(stretch):
@@ -228,10 +256,15 @@ class Pieces:
                 raw = part.encode()
                 ids += [self.byte_ids[b] for b in raw]
                 widths += [len(part)] + [0] * (len(raw) - 1)
-        return len(ids), " ".join(map(str, ids)), self._decode(ids), tuple(widths)
+        return ids, widths
+
+    def _encode_singly(self, stretches: list[str]) -> None:
+        if found := [self._encode_one(s) for s in stretches]:
+            flat = [np.array([x for pair in found for x in pair[k]], dtype=np.int64) for k in (0, 1)]
+            self._remember(stretches, *flat, np.array([len(ids) for ids, _ in found], dtype=np.int64))
 
     def _encode_together(self, stretches: list[str]) -> None:
-        """Fill the cache for short stretches: in each round every stretch merges its best pair, all at once in numpy."""
+        """Remember short stretches: in each round every stretch merges its best pair, all at once in numpy."""
         points = np.frombuffer("".join(stretches).encode("utf-32-le"), dtype=np.uint32)
         kinds, back = np.unique(points, return_inverse=True)
         unknown = len(self.texts) + 1
@@ -267,39 +300,55 @@ class Pieces:
             left, right = at[at > heads] - 1, at[at < heads + size - 1]
             for pair in (left, right):  # only the pairs beside a merge are new
                 ranks[pair] = self.rank[self.pairs(symbol[pair], symbol[pair + 1])]
-        symbols = np.concatenate([x[0] for x in done]).tolist()
-        size = np.concatenate([x[2] for x in done])
-        first = np.empty(len(stretches), dtype=np.int64)
-        last = np.empty(len(stretches), dtype=np.int64)
-        owner = np.concatenate([x[1] for x in done])
-        last[owner] = np.cumsum(size)
-        first[owner] = np.cumsum(size) - size
-        firsts, lasts = first.tolist(), last.tolist()
-        words, shown, cache = self.words, self.shown, self.cache
-        for k, stretch in enumerate(stretches):
-            own = symbols[firsts[k] : lasts[k]]
-            if unknown in own:
-                cache[stretch] = self._encode_one(stretch)
-            else:
-                cache[stretch] = (len(own), " ".join([words[i] for i in own]), "".join([shown[i] for i in own]), None)
-
-    def encode_all(self, normalised: Iterable[str]) -> Iterator[list[tuple[int, str, str, tuple[int, ...] | None]]]:
-        """The encoded stretches of each text."""
+        symbols = np.concatenate([x[0] for x in done])
+        size, owner = np.concatenate([x[2] for x in done]), np.concatenate([x[1] for x in done])
+        odd = np.zeros(len(stretches), dtype=bool)
+        odd[owner] = np.add.reduceat(symbols == unknown, np.cumsum(size) - size) > 0
+        plain = ~odd[owner]
+        ids = symbols[np.repeat(plain, size)]
+        self._remember([stretches[k] for k in owner[plain].tolist()], ids, self.width[ids], size[plain])
+        self._encode_singly([stretches[k] for k in np.flatnonzero(odd).tolist()])
+
+    def encode_all(self, normalised: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the normalised characters of each, and the number of ids of each text."""
         texts = [self.stretch.findall(t) for t in normalised]
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        unseen = {s for t in texts for s in t if s not in cache}
-        long = {s: self._encode_one(s) for s in unseen if len(s) > TOGETHER_CHARS}
-        if unseen := [s for s in unseen if s not in long]:
-            self._encode_together(unseen)
-        for t in texts:
-            yield [cache[s] for s in t] if not long else [cache[s] if s in cache else long[s] for s in t]
-
-    def stretches(self, normalised: str) -> list[tuple[int, str, str, tuple[int, ...] | None]]:
-        return next(self.encode_all([normalised]))
+        if len(self.known) > CACHED or self.used > CACHED_IDS:
+            self._forget()
+        known = self.known
+        unseen = {s for t in texts for s in t if s not in known}
+        if short := [s for s in unseen if len(s) <= TOGETHER_CHARS]:
+            self._encode_together(short)
+        self._encode_singly([s for s in unseen if len(s) > TOGETHER_CHARS])
+        count = np.array([len(t) for t in texts], dtype=np.int64)
+        place = np.fromiter((known[s] for t in texts for s in t), dtype=np.int64, count=int(count.sum()))
+        size, ends = self.size[place], np.cumsum(self.size[place])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[place] - ends + size, size)
+        total = np.concatenate([[0], ends])[np.cumsum(count)]
+        return self.ids_of[at], self.widths_of[at], np.diff(total, prepend=0)
+
+    def encode_spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the byte of its source where each begins and the one behind it, and the number of ids of each
+        text. A character in several byte ids gives each its own source byte, if it has as many; the front space has none."""
+        aligned = [self.normalizer.aligned(t) for t in texts]
+        ids, widths, count = self.encode_all([shown for shown, _ in aligned])
+        first = np.concatenate([np.zeros(0, dtype=np.int64), *(source[:-1] for _, source in aligned)])
+        behind = np.concatenate([np.zeros(0, dtype=np.int64), *(source[1:] for _, source in aligned)])
+        if not len(ids):
+            return ids, ids, ids, count
+        # ids without a character of their own go with the one before them
+        head = np.flatnonzero(widths)
+        group = np.cumsum(widths > 0) - 1
+        at = np.cumsum(widths[head]) - widths[head]
+        start, stop = first[at], behind[at + widths[head] - 1]
+        members = np.diff(np.append(head, len(ids)))
+        own = (members > 1) & (stop - start == members)
+        nth = np.arange(len(ids)) - head[group]
+        starts = start[group] + np.where(own[group], nth, 0)
+        return ids, starts, np.where(own[group], starts + 1, stop[group]), count
 
     def _decode(self, ids: list[int]) -> str:
+        if not self.apart[ids].any():
+            return "".join([self.shown[i] for i in ids])
         out: list[str] = []
         held = bytearray()
         for i in [*ids, -1]:
@@ -310,40 +359,20 @@ class Pieces:
                 out.append(_utf8(bytes(held)))
                 held.clear()
             if i >= 0 and i not in self.unseen:
-                out.append(self.texts[i].replace(SPACE, " "))
+                out.append(self.shown[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids have none; the space that encoding put in front goes."""
         text = self._decode(ids)
-        shown = [i for i in ids if i not in self.unseen]
-        lead = self.normalizer.dummy and shown and self.texts[shown[0]].startswith(SPACE)
-        return text[1:] if lead else text
+        lead = next((i for i in ids if i not in self.unseen), None)
+        return text[1:] if self.normalizer.dummy and lead is not None and self.texts[lead].startswith(SPACE) else text
 
     def encode(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids with the end id, and the byte span of the source for each. A character in several byte ids gives each its own
-        source byte, the front space and the end id an empty span."""
-        normalised, source = self.normalizer(text or "")
-        raw_end = len((text or "").encode())
-        ids: list[int] = []
-        spans: list[tuple[int, int]] = []
-        at = 0
-        for _, own, _, widths in self.stretches(normalised):
-            own_ids = list(map(int, own.split(" "))) if own else []
-            widths = widths or tuple(len(self.texts[i]) for i in own_ids)
-            for k, (i, width) in enumerate(zip(own_ids, widths, strict=True)):
-                ids.append(i)
-                if width:
-                    start, stop = source[at], source[at + width]
-                    tail = k + 1
-                    while tail < len(widths) and not widths[tail]:
-                        tail += 1
-                    at += width
-                    if tail - k > 1 and stop - start == tail - k:
-                        spans += [(start + j, start + j + 1) for j in range(tail - k)]
-                    else:
-                        spans += [(start, stop)] * (tail - k)
-        return [*ids, self.end], [*spans, (raw_end, raw_end)]
+        """Ids with the end id, and the byte span of the source for each; that of the end id is empty."""
+        ids, starts, stops, _ = self.encode_spans([text or ""])
+        end = len((text or "").encode())
+        return [*ids.tolist(), self.end], [*zip(starts.tolist(), stops.tolist(), strict=True), (end, end)]
 
 
 def _utf8(raw: bytes) -> str:
@@ -374,50 +403,58 @@ def model(path: str) -> Pieces:
     return _MODELS[path]
 
 
+def _coded(pieces: Pieces, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, starts and stops of each text, the end id and its empty span last."""
+    ids, starts, stops, count = pieces.encode_spans(texts)
+    at = 0
+    for text, n in zip(texts, count.tolist(), strict=True):
+        own, end = slice(at, at + n), len(text.encode())
+        yield np.append(ids[own], pieces.end), np.append(starts[own], end), np.append(stops[own], end)
+        at += n
+
+
+def _runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in runs of bounded length; a longer text is a run of its own."""
+    at = 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and stop - at < 256 and size + len(texts[stop]) <= chars:
+            size += len(texts[stop])
+            stop += 1
+        yield texts[at:stop]
+        at = stop
+
+
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id, ids array<int> (the end id last), starts and stops array<int>: the byte span of the source of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                coded = [pieces.encode(t) for t in part[text_column].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part[id_column], pa.array([i for i, _ in coded], pa.list_(pa.int32())), *(pa.array([[s[k] for s in spans] for _, spans in coded], pa.list_(pa.int32())) for k in (0, 1))],
-                    names=[id_column, "ids", "starts", "stops"],
-                )
+            at = 0
+            for texts in _runs([t or "" for t in batch[text_column].to_pylist()]):
+                coded = list(_coded(pieces, texts))
+                arrays = [pa.array([x[k] for x in coded], pa.list_(pa.int32())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([batch[id_column].slice(at, len(texts)), *arrays], names=[id_column, "ids", "starts", "stops"])
+                at += len(texts)
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, stops array<int>")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes that the pieces' spans cover).
-
-    Digests are taken while encoding, stretch by stretch; ids and spans of a document never exist as Python lists."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes between the first piece's span and the last's
+    end): all from the ids and spans that ``encode_documents`` gives, in the task that makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        plain, dummy = pieces.normalizer.plain, pieces.normalizer.dummy
+        words = pieces.words
         for batch in batches:
             rows: list[tuple[int, str, str, int]] = []
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                if plain:
-                    for text, found in zip(part, pieces.encode_all(map(pieces.normalizer.only, part)), strict=True):
-                        whole = "".join([f[2] for f in found])
-                        front = bool(found and dummy)
-                        # Every character stands for itself; those shown as a space may have been the mark itself, of three bytes.
-                        covered = len(whole.encode()) - front + 2 * text.count(SPACE)
-                        ids = " ".join([f[1] for f in found] + [pieces.words[pieces.end]])
-                        rows.append((sum([f[0] for f in found]) + 1, _sha(ids), _sha(whole[front:]), covered))
-                    continue
-                for text in part:
-                    coded, spans = pieces.encode(text)
-                    covered = spans[-1][0] - spans[0][0]
-                    rows.append((len(coded), _sha(" ".join(map(str, coded))), _sha(pieces.decode(coded)), covered))
+            for texts in _runs([t or "" for t in batch["text"].to_pylist()]):
+                for ids, starts, stops in _coded(pieces, texts):
+                    coded = ids.tolist()
+                    rows.append((len(coded), _sha(" ".join([words[i] for i in coded])), _sha(pieces.decode(coded)), int(stops[-1] - starts[0])))
             n, ids, decoded, covered = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64())],

@@ -47,6 +47,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0][:n]
 
 
+def grown(array: np.ndarray, least: int) -> np.ndarray:
+    """The array, with room for ``least`` entries."""
+    if least <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(least, 2 * len(array)) - len(array), dtype=array.dtype)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
