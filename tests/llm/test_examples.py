@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyform.llm import infill, packing, repair
-from tallyform.llm.queries import QUERIES, word_vocabulary
+from tallyform.llm.queries import ORACLE, QUERIES, word_vocabulary
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -297,3 +297,17 @@ def test_repair_damaged(spark):
 @pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_harmonic_packing", "op13_turn_repair"])
 def test_registered(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    cursor = con.execute(ORACLE[name])
+    names = [c[0] for c in cursor.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
