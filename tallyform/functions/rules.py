@@ -376,8 +376,8 @@ def uuid_v5_from_key(src: Source, params: Params, tmp: str) -> Outcome:
     made = F.col(tmp + "uuid")
     if params.get("required", False):
         return Outcome(F.when(~src.blank, made), F.when(src.blank, F.lit(fixed.MSG_UUID_MISSING)), stages=stages)
-    # only reached on its own: inside a plan a blank source is replaced by the row's business key
-    return Outcome(F.when(src.blank, F.uuid()).otherwise(made), None, stages=stages)
+    # callers put the business key, the row's position or its content in place of a blank source
+    return Outcome(F.when(~src.blank, made), None, stages=stages)
 
 
 def compile_rule(name: str, src: Source, params: Params | None, tmp: str) -> Outcome:

@@ -78,7 +78,8 @@ def _as_text(c: Column, kind: str, data_type: T.DataType | None) -> Column:
 # of bytecode uncompiled: a wide plan fused whole runs several times slower. Text length of the expressions
 # stands in for bytecode size; the budget keeps generated methods below that limit.
 _METHOD_BUDGET = 2000
-_KEEP_PARTITIONS = 1_000_000
+# More partitions than a table can have.
+_KEEP_PARTITIONS = 2**31 - 1
 
 
 class _Layout:
@@ -240,6 +241,8 @@ class Conformed:
         self._key: str = key
         self._index: str = index
         self._prefix = prefix
+        #: What each mapping computes, and the columns that hold it.
+        self.forms: dict[str, _Field] = {}
 
     # -- predicates -------------------------------------------------------------------------------
 
@@ -510,19 +513,30 @@ class _Compiled:
     layout: _Layout
     fields: list[_Field]
     key_column: str
+    forms: dict[str, _Field]
 
 
 _COMPILED: dict[tuple, _Compiled] = {}
 _COMPILED_MAX = 64
 
 
-def _compile(df: DataFrame, plan: Plan, spec: TargetSpec, index: str, prefix: str, columns: list[str]) -> _Compiled:
-    """Columns of a whole plan. They depend on names and types only, and are kept for the next batch."""
+def _form(mapping: FieldMapping, target: TargetField, key: str) -> str:
+    """What a mapping computes, whatever plan it stands in: target, rule, inputs, parameters, and the business key if it
+    stands in for a blank input."""
+    stands_in = key if mapping.transformation == "UUID_V5_FROM_KEY" else ""
+    return json.dumps([mapping.canonical(), repr(target), stands_in], sort_keys=True, default=str)
+
+
+def _compile(
+    df: DataFrame, plan: Plan, spec: TargetSpec, index: str, prefix: str, columns: list[str], known: dict[str, _Field]
+) -> _Compiled:
+    """Columns of a whole plan. They depend on names and types only, and are kept for the next batch. Mappings whose form
+    is ``known`` are there already and add nothing."""
     key = (
         df.sparkSession.sparkContext.applicationId,
         json.dumps([m.canonical() for m in plan.mappings], sort_keys=True, default=str),
         repr(spec), json.dumps(spec.document, sort_keys=True, default=str),
-        df.schema.json(), index, prefix, tuple(columns),
+        df.schema.json(), index, prefix, tuple(columns), tuple(sorted(known)),
     )
     if key in _COMPILED:
         return _COMPILED[key]
@@ -533,9 +547,15 @@ def _compile(df: DataFrame, plan: Plan, spec: TargetSpec, index: str, prefix: st
 
     fields: list[_Field] = []
     per_field: list[list[Stage]] = []
+    forms: dict[str, _Field] = {}
     for i, mapping in enumerate(plan.mappings):
         tmp = f"{prefix}{i}_"
         target = declared.get(mapping.target_field, TargetField(mapping.target_field))
+        form = _form(mapping, target, str(business_key).replace(prefix, ""))
+        if form in known:
+            forms[form] = known[form]
+            fields.append(known[form])
+            continue
         src = table.source(mapping.source_fields, mapping.transformation)
         raw = src.text
         if mapping.transformation == "UUID_V5_FROM_KEY":
@@ -552,11 +572,12 @@ def _compile(df: DataFrame, plan: Plan, spec: TargetSpec, index: str, prefix: st
         made = {c for stage in per_field[-1] for c in stage} | set(table.stage) | {key_column}
         inputs = tuple(sorted(made & (_names_in(message) | _names_in(hint) | _names_in(raw))))
         fields.append(_Field(mapping, target, final, tmp + "rule", message, hint, raw, inputs))
+        forms[form] = fields[-1]
 
     layout = _Layout().add([table.stage, {key_column: business_key}]).add_side_by_side(per_field)
     if len(_COMPILED) >= _COMPILED_MAX:
         _COMPILED.pop(next(iter(_COMPILED)))
-    _COMPILED[key] = _Compiled(layout, fields, key_column)
+    _COMPILED[key] = _Compiled(layout, fields, key_column, forms)
     return _COMPILED[key]
 
 
@@ -567,14 +588,16 @@ def conform(
     index: str = ROW_INDEX,
     prefix: str = "__c_",
     source_columns: Sequence[str] | None = None,
+    shared: Conformed | None = None,
 ) -> Conformed:
     """Evaluate every mapping of ``plan`` on every row of ``df``.
 
     ``index`` names the column that holds each row's position (see ``sources.row_index``). It is evidence,
-    not data, and is left out of the payload. ``prefix`` keeps two evaluations of one table apart.
+    not data, and is left out of the payload. ``prefix`` keeps two evaluations of one table apart. ``shared`` is an
+    evaluation whose frame ``df`` is: mappings that both plans have alike are taken from it, not computed again.
     """
     columns = list(source_columns) if source_columns is not None else [c for c in df.columns if c != index]
-    compiled = _compile(df, plan, spec, index, prefix, columns)
+    compiled = _compile(df, plan, spec, index, prefix, columns, shared.forms if shared is not None else {})
     keep = [*df.columns, compiled.key_column]
     for f in compiled.fields:
         keep += [f.value, f.rule, *f.inputs]
@@ -582,6 +605,7 @@ def conform(
     mapped = {m.target_field for m in plan.mappings}
     unmapped = [f.name for f in spec.fields if not f.nullable and f.name not in mapped and f.default is None]
     done = Conformed(frame, compiled.fields, unmapped, spec, columns, compiled.key_column, index, prefix)
+    done.forms = compiled.forms
     # Row counts of whatever job runs over the frame. The observation also keeps Catalyst from pushing a filter
     # on the outcome below the mapping, where every rule would be evaluated a second time inside the filter.
     done.frame = frame.observe(
@@ -600,11 +624,17 @@ def apply_rule(
     value: str = "value",
     error: str = "error",
 ) -> DataFrame:
-    """Add one rule's value and error text to a table."""
+    """Add one rule's value and error text to a table.
+
+    A generated key whose source is blank comes from the row's position, or from the whole row where the table has none."""
     names = [source_fields] if isinstance(source_fields, str) else list(source_fields)
     tmp = "__r_"
     table = SourceTable(df, tmp)
     src = table.source(names, rule)
+    if rule == "UUID_V5_FROM_KEY" and not (params or {}).get("required", False):
+        place = F.col(ROW_INDEX).cast("string") if ROW_INDEX in df.columns else F.to_json(F.struct(*map(column_ref, df.columns)))
+        filled = F.when(src.blank, place).otherwise(src.stripped)
+        src = Source(src.label, filled, "string", filled, filled)
     outcome = compile_rule(rule, src, params, tmp)
     out = _Layout().add([table.stage, *outcome.stages]).apply(df)
     message = outcome.error if outcome.error is not None else F.lit(None).cast("string")

@@ -155,11 +155,11 @@ def fixes_from_errors(errors: DataFrame, plan: Plan, spec: TargetSpec, least: in
 def outcomes(df: DataFrame, before: Plan, after: Plan, spec: TargetSpec, index: str = ROW_INDEX) -> DataFrame:
     """Per row: accepted under the old plan, accepted under the new one.
 
-    Both plans are evaluated on the same scan, so nothing is joined.
+    Both plans are evaluated on the same scan, so nothing is joined; mappings that did not change are evaluated once.
     """
     columns = [c for c in df.columns if c != index]
     old = conform(df, before, spec, index, "__old_")
-    new = conform(old.frame, after, spec, index, "__new_", columns)
+    new = conform(old.frame, after, spec, index, "__new_", columns, shared=old)
     return new.frame.select(
         F.col(index).alias(ROW_INDEX), (~old.refused()).alias("before"), (~new.refused()).alias("after")
     )

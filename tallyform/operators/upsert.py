@@ -262,29 +262,29 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)
 
 
-def guard_not_null(df: DataFrame, spec: TargetSpec) -> None:
-    """Refuse the whole batch when a required value is missing; only generated keys may be."""
-    required = [
-        f.name for f in spec.fields
-        if not f.nullable and f.name in df.columns and f.name not in spec.primary_key and not f.name.endswith("_uuid")
-    ]
-    absent = [
-        f.name for f in spec.fields
-        if not f.nullable and f.name not in df.columns and f.name not in spec.primary_key and not f.name.endswith("_uuid")
-    ]
-    if absent:
-        raise ConstraintError(f"NOT NULL constraint failed on {spec.table_name}.{absent[0]}: column is missing")
-    if not required:
-        return
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
-    bad = [c for c in required if counts[c]]
-    if bad:
-        raise ConstraintError(f"NOT NULL constraint failed on {spec.table_name}.{bad[0]}: {counts[bad[0]]} rows")
+def _per_column(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """column_name, violations: rows of ``df`` that meet each column's test, in one pass."""
+    if not tests:
+        return df.sparkSession.createDataFrame([], "column_name string, violations bigint")
+    names = list(tests)
+    one = df.agg(*[F.count_if(tests[c]).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("violations")) for i, c in enumerate(names)]
+    return one.select(F.inline(F.array(*rows)))
 
 
-def guard_types(df: DataFrame, spec: TargetSpec) -> DataFrame:
-    """Numbers in text columns are parsed; a value that is not a number refuses the whole batch."""
-    casts, tests = {}, {}
+def _required(spec: TargetSpec) -> list[str]:
+    """Columns that must be filled; only generated keys may be empty."""
+    return [f.name for f in spec.fields if not f.nullable and f.name not in spec.primary_key and not f.name.endswith("_uuid")]
+
+
+def missing_values(df: DataFrame, spec: TargetSpec) -> DataFrame:
+    """column_name, violations: rows without a value, of each required column; all rows where the column is missing."""
+    return _per_column(df, {c: F.col(c).isNull() if c in df.columns else F.lit(True) for c in _required(spec)})
+
+
+def _numbers(df: DataFrame, spec: TargetSpec) -> dict[str, Column]:
+    """How text columns of number types are read."""
+    casts = {}
     for f in spec.fields:
         if f.name not in df.columns or not isinstance(df.schema[f.name].dataType, T.StringType):
             continue
@@ -294,15 +294,32 @@ def guard_types(df: DataFrame, spec: TargetSpec) -> DataFrame:
             casts[f.name] = F.translate(text, "$,", "").try_cast("double")
         elif name in fixed.INTEGER_TYPES:
             casts[f.name] = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
-        else:
-            continue
-        tests[f.name] = F.count_if((text != "") & casts[f.name].isNull()).alias(f.name)
+    return casts
+
+
+def unreadable_numbers(df: DataFrame, spec: TargetSpec) -> DataFrame:
+    """column_name, violations: rows whose text is no number, of each text column that should hold numbers."""
+    return _per_column(df, {c: (strip(F.col(c)) != "") & cast.isNull() for c, cast in _numbers(df, spec).items()})
+
+
+def guard_not_null(df: DataFrame, spec: TargetSpec) -> None:
+    """Refuse the whole batch when a required value is missing; only generated keys may be."""
+    absent = [c for c in _required(spec) if c not in df.columns]
+    if absent:
+        raise ConstraintError(f"NOT NULL constraint failed on {spec.table_name}.{absent[0]}: column is missing")
+    bad = [r for r in missing_values(df, spec).collect() if r["violations"]]
+    if bad:
+        raise ConstraintError(f"NOT NULL constraint failed on {spec.table_name}.{bad[0]['column_name']}: {bad[0]['violations']} rows")
+
+
+def guard_types(df: DataFrame, spec: TargetSpec) -> DataFrame:
+    """Numbers in text columns are parsed; a value that is not a number refuses the whole batch."""
+    casts = _numbers(df, spec)
     if not casts:
         return df
-    counts = df.agg(*tests.values()).first()
-    bad = [c for c in tests if counts[c]]
+    bad = [r for r in unreadable_numbers(df, spec).collect() if r["violations"]]
     if bad:
-        raise ConstraintError(f"Data type constraint violation on {bad[0]}: {counts[bad[0]]} rows are not numbers")
+        raise ConstraintError(f"Data type constraint violation on {bad[0]['column_name']}: {bad[0]['violations']} rows are not numbers")
     return df.withColumns(casts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -66,6 +66,31 @@ def _evaluate_once(done: Conformed, run_id: str, at: str) -> tuple[DataFrame, Da
     return accepted, refused.withColumn("suggestion", F.col("errors")[0]["suggestion"])
 
 
+def _plan_event(store: Store, event: str, plan: Plan, by: str, at: str, **more: object) -> Plan:
+    details = {"plan_id": plan.plan_id, "version": plan.version, "status": plan.status, "fingerprint": plan.fingerprint(store.spec), **more}
+    store.log(event, by, "", at, details)
+    return plan
+
+
+def propose(store: Store, plan: Plan, by: str, at: str) -> Plan:
+    """Record a new plan in the audit log."""
+    return _plan_event(store, fixed.PLAN_CREATED, plan, by, at, fields=len(plan.mappings))
+
+
+def revise(store: Store, before: Plan, after: Plan, by: str, at: str) -> Plan:
+    """Record a changed plan: a version of its own, not approved, with the names of the fields that differ."""
+    old = {m.target_field: m.canonical() for m in before.mappings}
+    new = {m.target_field: m.canonical() for m in after.mappings}
+    changed = sorted(f for f in old.keys() | new.keys() if old.get(f) != new.get(f))
+    after = replace(after, version=before.version + 1, status="DRAFT", approval_fingerprint=None, approved_by=None)
+    return _plan_event(store, fixed.PLAN_UPDATED, after, by, at, changed=",".join(changed))
+
+
+def approve(store: Store, plan: Plan, by: str, at: str) -> Plan:
+    """Approve a plan for the store's table, and record who did."""
+    return _plan_event(store, fixed.PLAN_APPROVED, plan.approve(by, store.spec), by, at)
+
+
 def dry_run(store: Store, source: DataFrame, plan: Plan, run_id: str, at: str, actor: str = "Simulator") -> dict:
     """Evaluate without writing the target; the quarantine and an audit event are kept."""
     done = conform(source, plan, store.spec)

@@ -142,7 +142,16 @@ class Store:
         return json.loads(files.read_text(self.spark, f"{self.path}/commits/{seq:012d}.json"))
 
     def events(self) -> DataFrame:
-        return self._read("audit", EVENTS).select(*_names(EVENTS))
+        """The audit log. Of events written under one name, as by a repeated run, the last one counts."""
+        names = _names(EVENTS)
+        try:
+            found = self.spark.read.schema(f"{EVENTS}, once string").json(f"{self.path}/audit")
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+            return self.spark.createDataFrame([], EVENTS)
+        last = found.groupBy(F.coalesce("once", F.col("event_id")).alias("name")).agg(F.max_by(F.struct(*names), "seq").alias("e"))
+        return last.select("e.*")
 
     def metrics(self) -> DataFrame:
         """One row per committed run; what a lost run left behind is not shown."""
@@ -161,10 +170,6 @@ class Store:
             return View(-1, None, "", self._buckets)
         return View(row["seq"], row["version"], row["manifest"], row["buckets"])
 
-    def _next(self, df: DataFrame, column: str) -> int:
-        top = df.agg(F.max(column)).first()[0]
-        return 0 if top is None else int(top) + 1
-
     # -- target -----------------------------------------------------------------------------------
 
     def _manifest(self, name: str) -> dict[str, Any]:
@@ -342,21 +347,29 @@ class Store:
         return min(int(newest["parent"]), self.view().version)
 
     def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self.target().orderBy(*self.spec.keys()).offset(offset).limit(limit)
+        return page(self.target(), self.spec.keys(), limit, offset)
 
     # -- ledgers ----------------------------------------------------------------------------------
 
     def log(
         self, event_type: str, actor: str, run_id: str, at: str, details: dict[str, Any], once: str | None = None
-    ) -> None:
-        """Add an event. With ``once`` it replaces the event written under that name, as by a repeated run."""
-        seq = self._next(self.events(), "seq")
+    ) -> int:
+        """Add an event; its number. With ``once`` it replaces the event written under that name, as by a repeated run.
+
+        Numbers are claimed like those of commits: of two writers each gets its own."""
         text = {k: str(v) for k, v in details.items()}
-        row = (seq, f"evt_{seq:08d}", event_type, actor, self.spec.table_name, run_id, text, at)
-        self._replace(f"audit/entry={once or f'{seq:08d}'}", EVENTS, row)
+        while True:
+            found = [n for n in files.names(self.spark, f"{self.path}/audit") if n.endswith(".json")]
+            seq = int(found[-1].removesuffix(".json")) + 1 if found else 0
+            row = {
+                "seq": seq, "event_id": f"evt_{seq:08d}", "event_type": event_type, "actor": actor, "table_name": self.spec.table_name,
+                "run_id": run_id, "details": text, "timestamp": at, "once": once,
+            }
+            if files.put_if_absent(self.spark, f"{self.path}/audit/{seq:012d}.json", json.dumps(row)):
+                return seq
 
     def audit_trail(self, limit: int = 50) -> DataFrame:
-        return self.events().orderBy(F.desc("timestamp"), F.desc("seq")).limit(limit)
+        return newest_events(self.events(), limit)
 
     def record_run(self, row: dict[str, Any]) -> None:
         names, run_id = _names(METRICS), row["run_id"]
@@ -372,7 +385,7 @@ class Store:
         return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 
     def quarantine_page(self, run_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self.quarantine(run_id).orderBy(ROW_INDEX).offset(offset).limit(limit)
+        return page(self.quarantine(run_id), [ROW_INDEX], limit, offset)
 
     # -- exports ----------------------------------------------------------------------------------
 
@@ -389,6 +402,17 @@ class Store:
         export(rows.orderBy("source_row_index"), path, "csv")
 
 
+def page(rows: DataFrame, keys: Iterable[str], limit: int = 50, offset: int = 0) -> DataFrame:
+    """Some rows in order of their keys: a top-k, not a sort of the table."""
+    return rows.orderBy(*keys).offset(offset).limit(limit)
+
+
+def newest_events(events: DataFrame, limit: int = 50) -> DataFrame:
+    """The last events, by their time and then their number."""
+    time = [F.desc("timestamp")] if "timestamp" in events.columns else []
+    return events.orderBy(*time, F.desc("seq")).limit(limit)
+
+
 def fingerprint(column: str):
     """Of a value as text; none of null."""
     return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))

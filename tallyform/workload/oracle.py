@@ -637,3 +637,29 @@ ORACLE["profile_empty_table"] = " UNION ALL ".join(
     f"SELECT {q(c)} AS column_name, {i} AS position, 0::BIGINT AS total_records, 0::BIGINT AS non_null_count, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_percentage, 0::BIGINT AS distinct_count, '' AS patterns_detected"
     for i, c in enumerate(("event_id", "ts", "user_id", "event_type", "value", "props"))
 )
+
+_RUN_COUNTS = "(SELECT count(*) FROM good)::VARCHAR AS good, ((SELECT count(*) FROM f) - (SELECT count(*) FROM good))::VARCHAR AS bad"
+ORACLE["audit_of_a_run"] = _ORDERS + f""", c AS (SELECT {_RUN_COUNTS})
+SELECT seq, event_type, actor, run_id, CASE WHEN seq = 0 THEN '1' WHEN seq IN (1, 2, 4) THEN '2' END AS plan_version, CASE WHEN seq >= 3 THEN good END AS rows, CASE WHEN seq IN (3, 4) THEN bad END AS refused
+FROM c, (VALUES (0, 'PLAN_CREATED', 'planner', ''), (1, 'PLAN_UPDATED', 'planner', ''), (2, 'PLAN_APPROVED', 'owner', ''), (3, 'DRY_RUN_EXECUTED', 'Simulator', 'run_0'),
+  (4, 'MIGRATION_EXECUTED', 'Data Engineer', 'run_1'), (5, 'MIGRATION_ROLLED_BACK', 'owner', 'run_1')) e(seq, event_type, actor, run_id)"""
+ORACLE["store_commit_log"] = f"""
+WITH t AS (SELECT count(*) AS n FROM ({plain('target')}) x),
+m AS (SELECT count(*) AS n FROM (SELECT account_code FROM ({plain('target')}) x UNION SELECT trim(account_code) FROM ({plain('batch')}) y) z)
+SELECT seq, version, action, run_id, parent, CASE version WHEN 0 THEN 0 WHEN 1 THEN t.n ELSE m.n END AS version_rows, t.n AS current_rows
+FROM t, m, (VALUES (0, 0, 'write', 'run_0', NULL), (1, 1, 'write', 'run_1', 0), (2, 2, 'write', 'run_2', 1), (3, 1, 'rollback', 'run_2', NULL)) l(seq, version, action, run_id, parent)"""
+ORACLE["reconcile_balance_sheet"] = _reconcile("SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1", _UNDONE) + """
+SELECT run_id, position, measure, CASE position WHEN 0 THEN total_source_records WHEN 1 THEN target_accepted_records WHEN 2 THEN quarantined_records WHEN 3 THEN unaccounted_records ELSE duplicate_count END AS value,
+  verdict = 'DISCREPANCY_DETECTED' AND ((position = 3 AND unaccounted_records <> 0) OR (position = 4 AND duplicate_count <> 0)) AS broken
+FROM v, (VALUES (0, 'read'), (1, 'kept'), (2, 'quarantined'), (3, 'missing'), (4, 'repeated keys')) m(position, measure)"""
+ORACLE["target_totals"] = _ORDERS + "SELECT count(*) AS target_rows, coalesce(sum(cast(v_total AS DECIMAL(18,2))), 0)::DOUBLE AS target_sum FROM good"
+ORACLE["write_guards"] = f"""
+WITH t AS ({plain('typed')})
+SELECT 'NOT NULL' AS guard, 'count_str' AS column_name, count(*) FILTER (count_str IS NULL) AS violations FROM t
+UNION ALL SELECT 'NOT NULL', 'active_str', count(*) FILTER (active_str = 'maybe') FROM t
+UNION ALL SELECT 'NOT NULL', 'region', count(*) FROM t
+UNION ALL SELECT 'NUMBER', 'count_str', count(*) FILTER (trim(count_str) <> '' AND NOT regexp_full_match(trim(count_str), '[+-]?[0-9]+')) FROM t
+UNION ALL SELECT 'NUMBER', 'price_str', count(*) FILTER (trim(price_str) <> '' AND try_cast(replace(replace(trim(price_str), '$', ''), ',', '') AS DOUBLE) IS NULL) FROM t"""
+ORACLE["ledger_page"] = _ORDERS + f"""
+SELECT {_QID.replace(RUN, 'run_a')} AS quarantine_id, source_row_index, count(*)::INTEGER AS error_count, '{AT}' AS created_at FROM ev
+GROUP BY source_row_index ORDER BY source_row_index LIMIT 20 OFFSET 5"""

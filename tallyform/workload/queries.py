@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from ..operators import codes, profiling, reconcile, remediate, suggest
 from ..operators.conform import apply_rule, conform
-from ..operators.upsert import Upsert, add_columns, duplicate_keys, rekey_collisions, version_diff, violations
-from ..pipeline import apply_batch, execute
+from ..operators.upsert import (
+    Upsert, add_columns, duplicate_keys, missing_values, rekey_collisions, unreadable_numbers, version_diff, violations,
+)
+from ..pipeline import apply_batch, approve, dry_run, execute, propose, revise
 from ..plans.catalogue import CUSTOMERS, CUSTOMERS_PLAN, ORDERS, ORDERS_PLAN
 from ..plans.spec import Plan, TargetSpec
 from ..sources import readers
 from ..sources.row_index import with_row_index
 from ..sources.scratch import scratch_path
-from ..sources.store import Store, export, quarantine_report
+from ..sources.store import Store, export, newest_events, page, quarantine_report
 from .sources_sql import source, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,7 +423,7 @@ def money_reconciliation(spark, sf_dir):
 
 @query
 def quarantine_per_run(spark, sf_dir):
-    return table(spark, sf_dir, "run_ledger").groupBy("run_id").agg(F.count(F.lit(1)).alias("quarantined"))
+    return reconcile.ledger_per_run(table(spark, sf_dir, "run_ledger")).withColumnRenamed("quarantined_records", "quarantined")
 
 
 # -- remediation and suggestion ---------------------------------------------------------------------------
@@ -453,12 +455,12 @@ def suggested_mapping(spark, sf_dir):
 
 @query
 def target_page(spark, sf_dir):
-    return table(spark, sf_dir, "target").orderBy("account_code").offset(20).limit(50)
+    return page(table(spark, sf_dir, "target"), ["account_code"], 50, 20)
 
 
 @query
 def audit_latest(spark, sf_dir):
-    return table(spark, sf_dir, "run_events").orderBy(F.desc("seq")).limit(50)
+    return newest_events(table(spark, sf_dir, "run_events"), 50)
 
 
 # -- files ------------------------------------------------------------------------------------------------
@@ -697,3 +699,74 @@ def profile_distinct_sketches(spark, sf_dir):
 def profile_empty_table(spark, sf_dir):
     """A profile of no rows has a line of zeros for every column."""
     return _flat_profile(profiling.profile_columns(table(spark, sf_dir, "events").filter("event_id < 0")))
+
+
+@query
+def audit_of_a_run(spark, sf_dir):
+    """A plan proposed, revised and approved, simulated, executed and rolled back: what the audit log says of it."""
+    store = Store(spark, scratch_path(spark, "audited"), ORDERS)
+    first = propose(store, ORDERS_PLAN, "planner", "2024-06-01T00:00:01Z")
+    changed = first.with_parameters(first.mappings[0].target_field, {"reviewed": "yes"})
+    plan = approve(store, revise(store, first, changed, "planner", "2024-06-01T00:00:02Z"), "owner", "2024-06-01T00:00:03Z")
+    rows = source(spark, sf_dir, "orders_src")
+    dry_run(store, rows, plan, "run_0", "2024-06-01T00:00:04Z")
+    execute(store, rows, plan, "run_1", "2024-06-01T00:00:05Z")
+    store.rollback(0, "run_1", "owner", "2024-06-01T00:00:06Z")
+    d = F.col("details")
+    return store.audit_trail().select(
+        "seq", "event_type", "actor", "run_id", F.coalesce(d["version"], d["plan_version"]).alias("plan_version"), F.coalesce(d["inserted_count"], d["accepted_count"], d["records_removed"]).alias("rows"),
+        F.coalesce(d["quarantined_count"], d["rejected_count"]).alias("refused"),
+    )
+
+
+@query
+def store_commit_log(spark, sf_dir):
+    """Snapshot, two upserts, a rollback: the log, and the rows of each version."""
+    store = Store(spark, scratch_path(spark, "log"), ACCOUNTS, buckets=4)
+    store.snapshot("run_0", AT)
+    customers = table(spark, sf_dir, "target").drop("migration_run_id", "migrated_at")
+    apply_batch(store, customers.withColumn("source_row_index", F.expr("cast(substr(account_id, 2) as bigint)")), "run_1", AT)
+    apply_batch(store, table(spark, sf_dir, "batch"), "run_2", AT)
+    back = store.latest_snapshot()
+    store.rollback(back, "run_2", "tester", AT)
+    rows = [store.version(n).agg(F.lit(n).cast("bigint").alias("version"), F.count(F.lit(1)).alias("version_rows")) for n in (0, 1, 2)]
+    held = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    log = store.commits().select("seq", "version", "action", "run_id", "parent").join(held, "version")
+    return log.crossJoin(store.target().agg(F.count(F.lit(1)).alias("current_rows")))
+
+
+@query
+def ledger_page(spark, sf_dir):
+    """Refused orders 6 to 25 of one run's ledger."""
+    store = Store(spark, scratch_path(spark, "ledger"), ORDERS)
+    store.write_quarantine(_orders(spark, sf_dir).quarantine("run_a", AT), "run_a")
+    return store.quarantine_page("run_a", 20, 5).select("quarantine_id", "source_row_index", F.size("errors").alias("error_count"), "created_at")
+
+
+@query
+def reconcile_balance_sheet(spark, sf_dir):
+    """The measures behind every run's verdict, a row each."""
+    runs = reconcile.reconcile_runs(
+        table(spark, sf_dir, "run_metrics"), table(spark, sf_dir, "run_ledger"), table(spark, sf_dir, "run_events"),
+        table(spark, sf_dir, "orders"), ["o_orderkey"],
+    )
+    return reconcile.balance_sheet(runs)
+
+
+@query
+def target_totals(spark, sf_dir):
+    """Rows and money of the orders that were accepted."""
+    return reconcile.target_summary(_orders(spark, sf_dir).accepted(), "total_amount").withColumn("target_sum", F.col("target_sum").cast("double"))
+
+
+@query
+def write_guards(spark, sf_dir):
+    """What would refuse a batch of events as a whole: required values that are missing, text that is no number."""
+    spec = TargetSpec.from_dict(
+        {"table_name": "events", "natural_key": "src_id", "fields": [
+            {"name": "src_id", "nullable": False}, {"name": "count_str", "type": "int", "nullable": False}, {"name": "price_str", "type": "float"},
+            {"name": "active_str", "nullable": False}, {"name": "region", "nullable": False}]}
+    )
+    rows = table(spark, sf_dir, "typed").withColumn("active_str", F.expr("nullif(active_str, 'maybe')"))
+    missing = missing_values(rows, spec).withColumn("guard", F.lit("NOT NULL"))
+    return missing.unionByName(unreadable_numbers(rows, spec).withColumn("guard", F.lit("NUMBER")))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyform import Plan, TargetSpec, conform
+from tallyform.operators import remediate
+from tallyform.operators.conform import apply_rule
 from tallyform.operators.remediate import (
     fix_all, fix_all_for, fix_field, fixes_from_errors, impact, override, with_policy,
 )
@@ -135,3 +137,25 @@ def test_rows_are_conserved(spark):
     assert s["accepted_count"] + s["rejected_count"] == 3000
     assert done.accepted(True).join(done.quarantine("r", "t"), "source_row_index").count() == 0
     assert done.status().filter(F.col("accepted") == (F.col("error_count") > 0)).count() == 0
+
+
+def test_mappings_that_two_plans_share_are_evaluated_once(spark):
+
+    src = legacy_customers(spark, 200)
+    after = remediate.fix_all(CUSTOMERS_PLAN)
+    old = conform(src, CUSTOMERS_PLAN, CUSTOMERS, prefix="__old_")
+    new = conform(old.frame, after, CUSTOMERS, prefix="__new_", source_columns=old.source_columns, shared=old)
+    alike = {m.target_field for m in CUSTOMERS_PLAN.mappings if m.canonical() == after.mapping_for(m.target_field).canonical()}
+    assert len(alike) >= 5
+    taken = {f.mapping.target_field for f in new._fields if f.value.startswith("__old_")}
+    assert taken == alike
+    alone = conform(src, after, CUSTOMERS)
+    assert sorted(map(tuple, new.accepted().collect())) == sorted(map(tuple, alone.accepted().collect()))
+    assert sorted(map(repr, new.evidence().collect())) == sorted(map(repr, alone.evidence().collect()))
+
+
+def test_generated_keys_are_the_same_in_every_run(spark):
+    df = spark.createDataFrame([(0, None), (1, " "), (2, "x")], "source_row_index long, k string")
+    for rows in (df, df.drop("source_row_index").withColumn("n", F.lit(1))):
+        first, second = ([r.value for r in apply_rule(rows, "UUID_V5_FROM_KEY", "k").collect()] for _ in range(2))
+        assert first == second and len(set(first)) == 3 and None not in first
