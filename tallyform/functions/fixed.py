@@ -13,8 +13,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# What collapsing whitespace has to replace: runs of two or more, and single ones that are not a space.
-WHITESPACE_TO_COLLAPSE = WHITESPACE_CLASS + "{2,}|[" + WHITESPACE_CLASS + "&&[^ ]]"
 
 EMAIL_PATTERN = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 E164_PATTERN = r"^\+[1-9]\d{1,14}$"

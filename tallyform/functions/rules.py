@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .calendar import date_stages
-from .fixed import WHITESPACE_TO_COLLAPSE
-from .text import fill, is_blank, strip
+from .text import blanks, fill, is_blank, one_blank, strip
 
 Params = dict[str, Any]
 Stage = dict[str, Column]
@@ -133,14 +132,15 @@ def direct_copy(src: Source, params: Params, tmp: str) -> Outcome:
 
 @rule("TRIM_CLEAN")
 def trim_clean(src: Source, params: Params, tmp: str) -> Outcome:
-    squeezed = F.regexp_replace(src.stripped, WHITESPACE_TO_COLLAPSE, " ")
-    value = F.when(src.stripped != "", squeezed)
+    spaced = tmp + "spaced"
+    stages = [{spaced: blanks(src.stripped)}]
+    value = F.when(F.col(spaced) != "", one_blank(F.col(spaced)))
     if not params.get("required", False):
-        return Outcome(value)
+        return Outcome(value, stages=stages)
     error = F.when(src.text.isNull(), F.lit(fixed.MSG_TRIM_MISSING)).when(
         src.stripped == "", F.lit(fixed.MSG_TRIM_EMPTY)
     )
-    return Outcome(value, error)
+    return Outcome(value, error, stages=stages)
 
 
 @rule("CONCAT_WS")
@@ -171,7 +171,7 @@ def split_name(src: Source, params: Params, tmp: str) -> Outcome:
     s, comma, flat, got = src.stripped, tmp + "comma", tmp + "flat", tmp + "got"
     first_stage = {
         comma: F.instr(s, ","),
-        flat: F.regexp_replace(s, WHITESPACE_TO_COLLAPSE, " "),
+        flat: one_blank(blanks(s)),
     }
     if part == "first":
         after_comma = strip(F.substr(s, F.col(comma) + 1))

@@ -20,6 +20,20 @@ def strip(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
+#: White space that is not the blank.
+_OTHER_SPACES = WHITESPACE.replace(" ", "")
+
+
+def blanks(c: Column) -> Column:
+    """Every white space as a blank: one pass, without a pattern."""
+    return F.translate(c, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+
+
+def one_blank(c: Column) -> Column:
+    """Runs of blanks as one; most texts have none, and are passed through."""
+    return F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
+
+
 def _strip_sql(name: str) -> str:
     c = "`" + name.replace("`", "``") + "`"
     plain = f"{c} >= '!' AND {c} < '\x7f' AND substring({c}, -1, 1) BETWEEN '!' AND '~'"

@@ -20,15 +20,11 @@ def previous_in_key(
     block has positions. What crosses a block border is the last value of each (key, block), one row each.
     """
     blocked = df.withColumns({"__block": F.shiftright(F.col(order), bits), "__value": value})
+    held = F.struct(F.col("__value").alias("v"))
     inside = Window.partitionBy(*keys, "__block").orderBy(order)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = blocked.withColumns(
-        {
-            "__lag": F.lag(F.struct(F.col("__value").alias("v"))).over(inside),
-            "__last": F.last(F.struct(F.col("__value").alias("v"))).over(whole),
-        }
-    )
-    heads = marked.filter(F.col("__lag").isNull()).select(*keys, "__block", "__last")
+    marked = blocked.withColumn("__lag", F.lag(held).over(inside))
+    # what crosses a border comes from a partial aggregate, not from the sorted rows again
+    heads = blocked.groupBy(*keys, "__block").agg(F.max_by(held, order).alias("__last"))
     across = Window.partitionBy(*keys).orderBy("__block")
     carried = heads.withColumn("__carry", F.lag("__last").over(across)).filter(F.col("__carry").isNotNull())
     joined = marked.join(carried.select(*keys, "__block", "__carry"), [*keys, "__block"], "left")
