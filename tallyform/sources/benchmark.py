@@ -163,6 +163,37 @@ FROM {orders}
 """
 
 
+#: Values that exports really hold, by column; a row takes one of each by its number. Lists of unlike lengths make many pairs.
+HARD_VALUES = {
+    "full_name_raw": ["Dupont,  Amélie", "N/A", "  ", "Prince", "van der Berg, Jan Willem", "O'Neil,Shaun", "Li\tWei", ", Solo", "Mr. Bob  Dole ", "García Márquez, Gabriel", "TBD"],
+    "email_address": ["JOHN@Example.COM", " pat@mail.example.org\t", "no-at-sign", "a@b", "x@@example.com", "", "first.last+tag@sub.example.co", "N/A", "trailing@example.com.", "sp ace@example.com"],
+    "phone_raw": ["+44 20 7946 0958", "555-0100", "(555) 010-0199", "000-000-0000", "555.010.0199 x42", "none", "1-800-555-0199", "+1 (555) 010 0199", "911", "  5550100199  ", "+123456789012345678", "", "5550100199 ext 7"],
+    "signup_date_str": ["2021-02-30", "00/00/0000", "1463788800", "October 18, 2007", "13-07-22", "2020-02-29", "3/4/2019", "2019/7/5", "31/12/2018", "TBD", " 2022-01-05 ", "2021-03-04T05:06:07Z", "20210304", "Sept 5, 2020", "12/31/99", "2021-06-07 08:09:10"],
+    "account_status_code": ["1", " 1", "01", "0", "9", "X", "", "active", "1.0"],
+    "balance_due_str": ["USD 8,482.57", "(124.07)", "$-5.00", "1,234", "--", "", "N/A", "0", "12.345", "-7.5", "$ 1 000.10", "1.2.3", "$1,000,000.00", "(0.00)"],
+    "risk_flag": ["HIGH", " low ", "Y", "n", "medium", "", "??"],
+    "country_code_raw": ["u.s.a.", "United  States", "Untied States", "uk", "Great Britain", "XX", "canada", "", "D E", "Australia ", "U.K.", "123"],
+}
+
+
+def _one_of(values: list[str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(values))
+    return f"CASE c_custkey % {len(values)} {cases} END"
+
+
+#: Every customer with hard values in all columns but its key.
+HARD_CRM = (
+    "SELECT c_custkey AS source_row_index, concat('HARD-', cast(c_custkey AS varchar(20))) AS legacy_account_id, "
+    + ", ".join(f"{_one_of(values)} AS {column}" for column, values in HARD_VALUES.items()) + " FROM {customer}"
+)
+
+
+def hard_customers(spark: SparkSession, n: int = 100) -> DataFrame:
+    """``n`` rows of hard values, of which any 100 hold every one."""
+    rows = spark.range(n).withColumnRenamed("id", "c_custkey")
+    return spark.sql(HARD_CRM.replace("{customer}", "{rows}"), rows=rows)
+
+
 def parquet_ref(sf_dir: str, table: str) -> str:
     return f"parquet.`{sf_dir}/{table}.parquet`"
 

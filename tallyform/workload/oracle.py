@@ -663,3 +663,6 @@ UNION ALL SELECT 'NUMBER', 'price_str', count(*) FILTER (trim(price_str) <> '' A
 ORACLE["ledger_page"] = _ORDERS + f"""
 SELECT {_QID.replace(RUN, 'run_a')} AS quarantine_id, source_row_index, count(*)::INTEGER AS error_count, '{AT}' AS created_at FROM ev
 GROUP BY source_row_index ORDER BY source_row_index LIMIT 20 OFFSET 5"""
+
+for _name, _of in (("hard_values_evidence", "conform_evidence"), ("hard_values_accepted", "conform_accepted")):
+    ORACLE[_name] = ORACLE[_of].replace(plain("crm"), plain("hard"))

@@ -770,3 +770,14 @@ def write_guards(spark, sf_dir):
     rows = table(spark, sf_dir, "typed").withColumn("active_str", F.expr("nullif(active_str, 'maybe')"))
     missing = missing_values(rows, spec).withColumn("guard", F.lit("NOT NULL"))
     return missing.unionByName(unreadable_numbers(rows, spec).withColumn("guard", F.lit("NUMBER")))
+
+
+@query
+def hard_values_evidence(spark, sf_dir):
+    """Every error of customers with hard values in all columns."""
+    return conform(source(spark, sf_dir, "hard"), CUSTOMERS_PLAN, CUSTOMERS).evidence()
+
+
+@query
+def hard_values_accepted(spark, sf_dir):
+    return conform(source(spark, sf_dir, "hard"), CUSTOMERS_PLAN, CUSTOMERS).accepted()

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.benchmark import LEGACY_CRM, LEGACY_ORDERS, parquet_ref
+from ..sources.benchmark import HARD_CRM, LEGACY_CRM, LEGACY_ORDERS, parquet_ref
 
 # Event values as the text a careless export would hold.
 TYPED_EVENTS = """
@@ -95,7 +95,7 @@ FROM {supplier}
 """
 
 TEXTS = {
-    "crm": LEGACY_CRM, "orders_src": LEGACY_ORDERS, "typed": TYPED_EVENTS, "batch": ACCOUNT_BATCH,
+    "crm": LEGACY_CRM, "hard": HARD_CRM, "orders_src": LEGACY_ORDERS, "typed": TYPED_EVENTS, "batch": ACCOUNT_BATCH,
     "target": ACCOUNT_TARGET, "run_metrics": RUN_METRICS, "run_ledger": RUN_LEDGER, "run_events": RUN_EVENTS,
     "run_history": RUN_HISTORY, "run_recorded": RUN_RECORDED, "part_codes": PART_CODES,
     "customer_territories": CUSTOMER_TERRITORIES, "supplier_territories": SUPPLIER_TERRITORIES,

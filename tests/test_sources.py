@@ -143,3 +143,19 @@ def test_signed_gap(spark):
     assert got == {
         "even": (0, "PASSED_WITH_QUARANTINE"), "over": (-15, "DISCREPANCY_DETECTED"), "under": (10, "DISCREPANCY_DETECTED"), "clean": (0, "PASSED_EXACT")
     }
+
+
+def test_hard_values(spark):
+    from tallyform import conform
+    from tallyform.operators.conform import apply_rule
+    from tallyform.plans.catalogue import CUSTOMERS_PLAN
+    from tallyform.sources.benchmark import HARD_VALUES, hard_customers
+
+    rows = hard_customers(spark)
+    found = rows.collect()
+    assert len(found) == 100 and all({r[c] for r in found} == set(v) for c, v in HARD_VALUES.items())
+    done = conform(rows, CUSTOMERS_PLAN, CUSTOMERS)
+    got = done.summary().first()
+    assert got.total_source_records == 100 == got.accepted_count + got.rejected_count and got.rejected_count > 50
+    phones = {r.phone_raw: r.error for r in apply_rule(rows, "PHONE_TO_E164", "phone_raw").collect()}
+    assert phones["000-000-0000"] is None and phones["911"] and phones["555.010.0199 x42"] is None
