@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyform.llm.shared import held_out, text_passes
+from tallyform.llm.shared import hash_below, held_out, text_passes
 
 UNKNOWN = "und"
 
@@ -208,12 +208,14 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, stretch: int, co
 def sample(docs: DataFrame, params: LanguageParams = LanguageParams()) -> list[tuple[bytes, str]]:
     """Labelled documents that are not held out, as the bounds in ``params`` have it; every language that has one is in it."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    langs = usable.select("lang").distinct().count()
-    each = min(params.docs_per_language, max(1, params.docs // max(1, langs)))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = min(params.docs_per_language, max(1, params.docs // max(1, counts.count())))
     start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - params.doc_chars, F.lit(0)) + 1).cast("int") + 1
+    # about twice the rows that are needed are drawn by their hash where they are read; only those are ranked
+    drawn = usable.join(counts, "lang").where(hash_below(F.xxhash64("doc_id"), F.lit(2.0 * each + 50) / F.col("n")))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = (
-        usable.select("doc_id", "lang", F.col("text").substr(start, F.lit(params.doc_chars)).alias("text"))
+        drawn.select("doc_id", "lang", F.col("text").substr(start, F.lit(params.doc_chars)).alias("text"))
         .withColumn("place", F.row_number().over(by)).where(F.col("place") <= each).orderBy("lang", "place").collect()
     )
     return [(r.text.encode(), r.lang) for r in rows]

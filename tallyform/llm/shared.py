@@ -164,3 +164,9 @@ def row_key(id_column: str, text_column: str) -> F.Column:
 def held_out(id_column: str) -> F.Column:
     """Rows kept back from training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def hash_below(hashed: F.Column, share: F.Column) -> F.Column:
+    """Whether a 64-bit hash is among the lowest ``share`` of all values: rows drawn in the tasks that read them, and a
+    beginning of the order by that hash."""
+    return hashed.cast("double") <= F.lit(-(2.0**63)) + F.least(share, F.lit(1.0)) * F.lit(2.0**64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyform.llm.shared import ALNUM_WORDS, GRAM, LOWER, Words, held_out, mix, text_passes
+from tallyform.llm.shared import ALNUM_WORDS, GRAM, LOWER, Words, hash_below, held_out, mix, text_passes
 
 #: Words for groups of people, in the four languages of the corpus. Swapped for one another, within a language.
 GROUP_WORDS = [
@@ -132,10 +132,10 @@ def _lists(keys: np.ndarray, n: int, bits: int) -> pa.ListArray:
 def sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """toxic, buckets (distinct), and for each counterfactual the buckets that it lacks and those that it has besides (less1, more1,
     less2, more2): the sample. Its ids and labels, at most ``rows`` of them, are what is broadcast."""
-    rows = (
-        labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(params.rows)
-    )
+    usable = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
+    # about twice the rows that are needed are drawn by their hash where they are read; only those are put in order
+    share = F.lit((2.0 * params.rows + 50) / max(1, usable.count()))
+    rows = usable.where(hash_below(F.xxhash64("doc_id"), share)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(params.rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
