@@ -211,8 +211,9 @@ def sample(docs: DataFrame, params: LanguageParams = LanguageParams()) -> list[t
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     each = min(params.docs_per_language, max(1, params.docs // max(1, counts.count())))
     start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - params.doc_chars, F.lit(0)) + 1).cast("int") + 1
-    # about twice the rows that are needed are drawn by their hash where they are read; only those are ranked
-    drawn = usable.join(counts, "lang").where(hash_below(F.xxhash64("doc_id"), F.lit(2.0 * each + 50) / F.col("n")))
+    # about twice the rows that are needed are drawn by their hash where they are read; only those are ranked. The counts have
+    # a row for each language, as many as the network, which every task gets, has outputs
+    drawn = usable.join(F.broadcast(counts), "lang").where(hash_below(F.xxhash64("doc_id"), F.lit(2.0 * each + 50) / F.col("n")))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = (
         drawn.select("doc_id", "lang", F.col("text").substr(start, F.lit(params.doc_chars)).alias("text"))
