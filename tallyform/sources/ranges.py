@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,14 +44,26 @@ def pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[tuple[tuple, pa.Array]]:
     """((file, block, extra...), values) of consecutive pieces of one range; a range may come in several runs."""
     for batch in batches:
-        keys = list(zip(*(batch[c].to_pylist() for c in ("file", "block", *extra)), strict=True))
-        at = 0
-        while at < len(keys):
-            stop = at + 1
-            while stop < len(keys) and keys[stop][:2] == keys[at][:2]:
-                stop += 1
-            yield keys[at], batch["value"].slice(at, stop - at)
-            at = stop
+        if not len(batch):
+            continue
+        file, block = batch["file"], batch["block"]
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        starts = [0, *(k + 1 for k in pc.indices_nonzero(other).to_pylist())]
+        for at, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+            yield tuple(batch[c][at].as_py() for c in ("file", "block", *extra)), batch["value"].slice(at, stop - at)
+
+
+def _chunks(values: pa.Array, end: str) -> Iterator[str]:
+    """Consecutive pieces as text, ``end`` behind each; no more of them at once than a task holds with ease."""
+    chunk = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False) + 1) // _CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(values)]
+    for text in pc.binary_join(pa.ListArray.from_arrays(cuts, values), end):
+        yield text.as_py() + end
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows to join with, one per range or file: sent to every task unless they are many."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_RANGES else rows
 
 
 def _with_state(found: DataFrame, states: DataFrame) -> DataFrame:
@@ -73,6 +86,11 @@ def whole(parts: DataFrame) -> DataFrame:
     return numbered.groupBy("file", "record").agg(*first, F.array_join(F.transform(bits, lambda b: b["text"]), "").alias("text")).drop("record")
 
 
+def _in_file_order(tables: DataFrame) -> DataFrame:
+    """One row per range, brought together; the ranges themselves are read by as many tasks as there are."""
+    return tables.repartition(1).sortWithinPartitions("file", "block")
+
+
 def _flush(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -233,6 +251,11 @@ def text_records(spark: SparkSession, path: str, sep: str, header: bool = True)
 
 _MARK = re.compile(r'"(?:[^"\\]|\\.)*+("?)|[{}\[\]]', re.S)
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*+("?)', re.S)
+_STRING = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?', re.S)
+_NO_BRACKET = bytes(c for c in range(256) if c not in b"{}[]")
+_IS_MARK = np.isin(np.arange(256), list(b'"{}[]'))
+#: Pairs of brackets are struck out from within; what is nested deeper than this is counted one by one.
+_NESTED = 64
 _KEY = re.compile(r'"((?:[^"\\]|\\.)*+)"\s*:\s*\Z', re.S)
 
 
@@ -280,6 +303,74 @@ class _Scan:
     def in_record(self, base: int) -> bool:
         return len(self.stack) > base and self.stack[base - 1 : base + 1] == ["[", "{"]
 
+    def pass_over(self, text: str) -> None:
+        """Read pieces, each with the ``}`` behind it, for the state behind them only."""
+        at = 0
+        if self.string:
+            end = _STRING_END.match(text)
+            at, self.string = end.end(), not end[1]
+        if self.string:
+            return
+        # the quote added closes a string that is open, and the bracket behind it shows that; else both are a string
+        marks = _STRING.sub("", text[at:] + '"[').encode().translate(None, _NO_BRACKET)
+        if marks.endswith(b"["):
+            self.string, marks = True, marks[:-1]
+        for _ in range(_NESTED):
+            left = len(marks)
+            for pair in (b"{}", b"[]", b"{]", b"[}"):
+                marks = marks.replace(pair, b"")
+            if len(marks) == left:
+                break
+        for c in marks.decode():
+            if c in "{[":
+                self.stack.append(c)
+            else:
+                self._close()
+
+    def events(self, data: bytes, base: int) -> list[tuple[int, int]] | None:
+        """Read pieces, each with the ``}`` behind it: (place, kind) where a record begins (0), may end (1), or a list
+        of records begins under a top-level object (2), in order. None, and nothing is read, if escapes stand outside of strings."""
+        plain = data.replace(b"\\\\", b"..").replace(b'\\"', b"..") if b"\\" in data else data
+        here = np.flatnonzero(_IS_MARK[np.frombuffer(plain, np.uint8)])
+        c = np.frombuffer(plain, np.uint8)[here]
+        inside = (np.cumsum(c == 34) + self.string) % 2 == 1
+        if plain is not data:
+            escapes = np.flatnonzero(np.frombuffer(data, np.uint8) == 92)
+            k = np.searchsorted(here, escapes) - 1
+            if not np.where(k < 0, self.string, inside[k]).all():
+                return None
+        bare = (c != 34) & ~inside
+        here, c = here[bare], c[bare]
+        opens = (c == 123) | (c == 91)
+        depth = len(self.stack) + np.cumsum(np.where(opens, 1, -1))
+        if len(depth) and depth[:-1].min(initial=0) < 0:
+            return None
+        order = np.arange(len(c))
+
+        def around(level: int) -> np.ndarray:
+            """For each bracket the one that stands open at this level when it comes (0: none does)."""
+            made = np.flatnonzero(opens & (depth == level))
+            last = np.searchsorted(made, order) - 1
+            held = ord(self.stack[level - 1]) if len(self.stack) >= level else 0
+            return np.where(last < 0, held, c[made[last]] if len(made) else 0)
+
+        in_list = around(base) == 91
+        begins = (c == 123) & (depth == base + 1) & in_list
+        ends = (c == 125) & (depth == base) & in_list & (around(base + 1) == 123)
+        lists = (c == 91) & (depth == 2) if base == 2 else np.zeros(len(c), bool)
+        told = np.flatnonzero(begins | ends | lists)
+        kinds = np.where(begins, 0, np.where(ends, 1, 2))[told]
+        found = list(zip(here[told].tolist(), kinds.tolist(), strict=True))
+        # the brackets that stay open: the last one made at each level
+        final = int(depth[-1]) if len(depth) else len(self.stack)
+        lowest = min(len(self.stack), int(depth.min(initial=len(self.stack))))
+        stack = self.stack[: max(0, lowest)]
+        for level in range(len(stack) + 1, final + 1):
+            stack.append(chr(c[np.flatnonzero(opens & (depth == level))[-1]]))
+        self.stack = stack
+        self.string ^= bool(np.count_nonzero(np.frombuffer(plain, np.uint8) == 34) % 2)
+        return found
+
 
 def document_states(found: DataFrame) -> DataFrame:
     """file, block, string, stack, base: the state in which each range of a JSON file begins."""
@@ -301,10 +392,10 @@ def document_states(found: DataFrame) -> DataFrame:
                     yield row()
                 now, scans, start, size = key, [_Scan(False, ""), _Scan(True, "")], "", 0
             size += len(values) + (pc.sum(pc.binary_length(values)).as_py() or 0)
-            for text in values.to_pylist():
-                start = start or text.lstrip(_BLANK)[:1]
+            for text in _chunks(values, "}"):
+                start = start or text.lstrip(_BLANK + "}")[:1]
                 for scan in scans:
-                    scan.piece(text)
+                    scan.pass_over(text)
         if now:
             yield row()
 
@@ -335,7 +426,7 @@ def document_states(found: DataFrame) -> DataFrame:
 
     ddl = "file string, block bigint, start string, bytes bigint, size bigint, to0 boolean, under0 bigint, stack0 string, to1 boolean, under1 bigint, stack1 string"
     tables = found.select("file", "block", "size", "value").mapInArrow(table, ddl)
-    return tables.coalesce(1).sortWithinPartitions("file", "block").mapInArrow(compose, "file string, block bigint, string boolean, stack string, base int")
+    return _in_file_order(tables).mapInArrow(compose, "file string, block bigint, string boolean, stack string, base int")
 
 
 _BLANK = " \t\r\n\ufeff"
@@ -359,6 +450,40 @@ def cut_document(found: DataFrame, states: DataFrame) -> DataFrame:
             out.append((now[0], now[1], place, "record", opens, closed, label, text))
             held, place, size = None, place + 1, size + len(text)
 
+        def begin_list(name: str) -> None:
+            nonlocal label, place
+            label = name
+            out.append((now[0], now[1], place, "list", True, True, name, None))
+            place += 1
+
+        def one_by_one(pieces: list[str]) -> None:
+            nonlocal held, opens
+            for text in pieces:
+                begins, ends, lists = scan.piece(text, base)
+                for name in lists:
+                    begin_list(name)
+                if held is None and begins is not None:
+                    held, opens, text = [], True, text[begins:]
+                if held is not None:
+                    held += (text, "}")
+                    if ends:
+                        emit(True)
+
+        def several(data: bytes, events: list[tuple[int, int]]) -> None:
+            nonlocal held, opens
+            begun = 0
+            for at, kind in events:
+                if kind == 2:
+                    found = _KEY.search(data[data.rfind(b"}", 0, at) + 1 : at].decode())
+                    begin_list(found[1] if found else "")
+                elif kind == 0 and held is None:
+                    held, opens, begun = [], True, at
+                elif kind == 1 and held is not None:
+                    held.append(data[begun : at + 1].decode())
+                    emit(True)
+            if held is not None:
+                held.append(data[begun:].decode())
+
         for key, values in _runs(batches, ("string", "stack", "base")):
             if now is None or key[:2] != now[:2]:
                 if held:
@@ -368,18 +493,13 @@ def cut_document(found: DataFrame, states: DataFrame) -> DataFrame:
                 held, opens = ([], False) if scan.in_record(base) else (None, True)
                 if base == 1 and not key[3]:
                     out.append((now[0], now[1], -1, "list", True, True, "", None))
-            for text in values.to_pylist():
-                begins, ends, lists = scan.piece(text, base)
-                for name in lists:
-                    label = name
-                    out.append((now[0], now[1], place, "list", True, True, name, None))
-                    place += 1
-                if held is None and begins is not None:
-                    held, opens, text = [], True, text[begins:]
-                if held is not None:
-                    held += (text, "}")
-                    if ends:
-                        emit(True)
+            for text in _chunks(values, "}"):
+                data = text.encode()
+                events = scan.events(data, base)
+                if events is None:
+                    one_by_one(text.split("}")[:-1])
+                else:
+                    several(data, events)
                 if len(out) >= _ROWS or size >= _CHARS:
                     yield _flush(out, schema)
                     out, size = [], 0
@@ -399,7 +519,8 @@ def document_records(spark: SparkSession, path: str, wrappers: tuple[str, ...])
     ``wrappers``. What else stands in those lists is left out.
     """
     found = pieces(spark, path, "}")
-    cut = stage(cut_document(found, stage(document_states(found), "ranges")), "cut-document")
+    states = stage(document_states(found), "ranges")
+    cut = stage(cut_document(found, states), "cut-document")
     lists = cut.filter("kind = 'list'").select("file", "block", "place", "key")
     # records whose list began in an earlier range have the key of the last list before them: a row per list and range
     keyless = cut.filter("kind = 'record' AND key IS NULL").select("file", "block", F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("key"))
@@ -408,10 +529,10 @@ def document_records(spark: SparkSession, path: str, wrappers: tuple[str, ...])
     carried = carried.filter("key IS NULL").select("file", "block", "last")
     rank = F.array_position(F.array(F.lit(""), *map(F.lit, wrappers)), F.col("key"))
     chosen = lists.withColumn("rank", rank).filter("rank > 0").groupBy("file").agg(F.min_by("key", "rank").alias("chosen"))
-    parts = cut.filter("kind = 'record'").drop("kind").join(carried, ["file", "block"], "left")
+    parts = cut.filter("kind = 'record'").drop("kind").join(_few(carried), ["file", "block"], "left")
     parts = parts.withColumn("key", F.coalesce("key", "last")).drop("last")
     crossing = whole(parts.filter("NOT (opens AND closed)").drop("closed"))
     records = parts.filter("opens AND closed").select("file", "key", "text").unionByName(crossing.select("file", "key", "text"))
-    records = records.join(chosen, "file").filter(F.col("key") == F.col("chosen")).select("file", "text")
-    bare = found.select("file").distinct().join(chosen, "file", "left_anti")
+    records = records.join(_few(chosen), "file").filter(F.col("key") == F.col("chosen")).select("file", "text")
+    bare = states.select("file").distinct().join(chosen, "file", "left_anti")
     return records, [r["file"] for r in bare.collect()]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -564,9 +565,20 @@ def store_unique_values(spark, sf_dir):
     return kept.unionByName(lost)
 
 
-def _as_file(rows: DataFrame, path: str, order: str) -> None:
-    """Rows of text (``value``) as one file, in order."""
-    rows.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+def _as_files(rows: DataFrame, path: str, head: str, tail: str | None = None, between: str = "") -> None:
+    """Rows of text (``value``) as files, one by each task that has them; ``head`` and ``tail`` are lines of every file."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        lead = ""
+        for batch in batches:
+            lines = batch["value"].to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": pa.array([(between if k else lead) + line for k, line in enumerate(lines)], pa.string())})
+            lead = between if lines else lead
+        if tail is not None:
+            yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    rows.select("value").mapInArrow(framed, "value string").write.text(path)
 
 
 QUOTED = "concat('\"', replace(text, ', ', '\", \"'), '\"')"
@@ -609,31 +621,23 @@ def source_delimited_tabs(spark, sf_dir):
 
 @query
 def source_json_array(spark, sf_dir):
-    """Orders with their lines as one JSON array; strings hold brackets, braces and quotes."""
+    """Orders with their lines as JSON arrays, one per file; strings hold brackets, braces and quotes."""
     path = scratch_path(spark, "array")
     lines = table(spark, sf_dir, "lineitem").withColumn("remark", F.expr("concat('}]{\"', l_returnflag, '\\\\\", [')"))
     item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("l_quantity"), "remark")
     orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    first = orders.agg(F.min("l_orderkey")).scalar()
-    body = orders.select(
-        F.col("l_orderkey").alias("at"), F.concat(F.when(F.col("l_orderkey") == first, "").otherwise(", "), F.to_json(F.struct("l_orderkey", "items"))).alias("value")
-    )
-    ends = spark.sql("SELECT * FROM VALUES (cast(-1 AS bigint), '['), (9223372036854775807, ']') AS t (at, value)")
-    _as_file(body.unionByName(ends), path, "at")
+    _as_files(orders.select(F.to_json(F.struct("l_orderkey", "items")).alias("value")), path, "[", "]", ", ")
     return readers.read_json(spark, path).select("l_orderkey", F.inline("items"))
 
 
 @query
 def source_json_wrapped(spark, sf_dir):
-    """Customers in one list of an object that holds other lists and objects."""
+    """Customers in one list of an object that holds other lists and objects, an object per file."""
     path = scratch_path(spark, "wrapped")
     c = table(spark, sf_dir, "customer")
-    body = c.select(F.col("c_custkey").alias("at"), F.concat(F.to_json(F.struct(*c.columns)), F.lit(",")).alias("value"))
-    ends = spark.sql(
-        """SELECT * FROM VALUES (cast(-1 AS bigint), '{"status": "ok", "meta": {"page": {"n": 1}}, "errors": [{"code": 1}], "records": ['),
-           (9223372036854775807, 'null], "more": [[{"c_custkey": -5}], {"c_custkey": -6}]}') AS t (at, value)"""
-    )
-    _as_file(body.unionByName(ends), path, "at")
+    body = c.select(F.concat(F.to_json(F.struct(*c.columns)), F.lit(",")).alias("value"))
+    head = '{"status": "ok", "meta": {"page": {"n": 1}}, "errors": [{"code": 1}], "records": ['
+    _as_files(body, path, head, 'null], "more": [[{"c_custkey": -5}], {"c_custkey": -6}]}')
     return readers.read_json(spark, path).select(*c.columns)
 
 

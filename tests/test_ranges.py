@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyform.sources import ranges
 from tallyform.sources.readers import read_delimited, read_json
+from tallyform.workload import queries
 
 
 @pytest.fixture(params=[61])
@@ -139,3 +140,76 @@ def test_a_document_is_read_by_several_tasks(spark, tmp_path):
         assert df.count() == 20000 and df.select(F.sum("id")).first()[0] == 199990000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_ranges_of_a_document_are_read_by_tasks_of_their_own(spark, tmp_path, small_ranges):
+    """What a range does is found where it is read; only a row for each comes together."""
+    (tmp_path / "x.json").write_text(json.dumps([{"id": n, "s": "}]"} for n in range(40)]))
+    found = ranges.pieces(spark, str(tmp_path / "x.json"), "}")
+    states = ranges.document_states(found)
+    assert states.count() == found.rdd.getNumPartitions() > 3
+    assert "Coalesce 1" not in plan(states) and "REPARTITION_BY_NUM" in plan(states)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_read_together_or_one_by_one(seed):
+    rnd = random.Random(seed)
+    for _ in range(500):
+        text = "".join(rnd.choices([*'{}[]"\\ a:,', '"k":[', '{"a":', "},", "日"], k=rnd.randint(0, 30)))
+        string, stack, base = rnd.random() < 0.4, rnd.choices("{[", k=rnd.randint(0, 4)), rnd.choice([1, 2])
+        one, over, many = (ranges._Scan(string, stack) for _ in range(3))
+        events, at = [], 0
+        for piece in text.split("}"):
+            begins, ends, _ = one.piece(piece, base)
+            if begins is not None:
+                events.append((len(text[: at + begins].encode()), 0))
+            at += len(piece) + 1
+            events += [(len((text + "}")[: at - 1].encode()), 1)] * ends
+        over.pass_over(text + "}")
+        assert (over.string, over.stack, over.under) == (one.string, one.stack, one.under), text
+        found = many.events((text + "}").encode(), base)
+        if found is None:  # not JSON: escapes outside of strings, or more brackets closed than were open
+            assert (many.string, many.stack) == (string, stack)
+        else:
+            # a piece tells the last of several beginnings, of which only a document that is not JSON has more than one
+            assert set(events) <= {e for e in found if e[1] < 2}, text
+            assert (many.string, many.stack) == (one.string, one.stack), text
+
+
+def test_a_record_with_escapes_outside_of_strings_is_still_cut(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"a": "\\\\"}, \\ {"a": "\\"}]"}]')
+    got, bare = ranges.document_records(spark, str(tmp_path / "x.json"), ())
+    assert sorted(r.text for r in got.collect()) == ['{"a": "\\"}]"}', '{"a": "\\\\"}'] and bare == []
+
+
+def written(spark, tmp_path, monkeypatch, name, tables):
+    """Rows of a query over tables of several files, and the text files that it made of them."""
+    for t, rows in tables.items():
+        rows.repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, kind: str(tmp_path / kind))
+    for k, v in {"spark.sql.files.openCostInBytes": "128m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        spark.conf.set(k, v)
+    try:
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    made = [d for d in tmp_path.iterdir() if not d.name.endswith(".parquet")]
+    return rows, [f for d in made for f in d.iterdir() if f.name.startswith("part-")]
+
+
+def test_json_arrays_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    lines = spark.range(60).selectExpr("id div 3 l_orderkey", "cast(id % 3 as int) l_linenumber", "id l_partkey", "1.0d l_quantity", "'R' l_returnflag")
+    rows, files = written(spark, tmp_path, monkeypatch, "source_json_array", {"lineitem": lines})
+    assert sorted((r.l_orderkey, r.l_linenumber, r.l_partkey) for r in rows) == [(n // 3, n % 3, n) for n in range(60)]
+    assert len(files) > 1 and sum(len(json.loads(f.read_text())) for f in files) == 20
+
+
+def test_wrapped_documents_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows, files = written(spark, tmp_path, monkeypatch, "source_json_wrapped", {"customer": spark.range(30).selectExpr("id c_custkey")})
+    assert sorted(r.c_custkey for r in rows) == list(range(30))
+    assert len(files) > 1 and sum(len(json.loads(f.read_text())["records"]) - 1 for f in files) == 30
