@@ -181,8 +181,7 @@ def line_states(found: DataFrame, sep: str, header: bool) -> DataFrame:
                 yield _flush(out, schema)
 
     tables = found.select("file", "block", "value").mapInArrow(table, "file string, block bigint, to0 boolean, to1 boolean, n0 bigint, n1 bigint")
-    # one row per range, in file order
-    return tables.coalesce(1).sortWithinPartitions("file", "block").mapInArrow(compose, "file string, block bigint, inside boolean, first bigint, skip int")
+    return _in_file_order(tables).mapInArrow(compose, "file string, block bigint, inside boolean, first bigint, skip int")
 
 
 def cut_lines(found: DataFrame, states: DataFrame, sep: str) -> DataFrame:

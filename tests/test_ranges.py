@@ -213,3 +213,11 @@ def test_wrapped_documents_are_written_by_several_tasks(spark, tmp_path, monkeyp
     rows, files = written(spark, tmp_path, monkeypatch, "source_json_wrapped", {"customer": spark.range(30).selectExpr("id c_custkey")})
     assert sorted(r.c_custkey for r in rows) == list(range(30))
     assert len(files) > 1 and sum(len(json.loads(f.read_text())["records"]) - 1 for f in files) == 30
+
+
+def test_ranges_of_text_are_read_by_tasks_of_their_own(spark, tmp_path, small_ranges):
+    (tmp_path / "x.csv").write_text("id;t\n" + "".join(f'{n};"a\n{n}"\n' for n in range(40)))
+    found = ranges.pieces(spark, str(tmp_path / "x.csv"), "\n")
+    states = ranges.line_states(found, ";", True)
+    assert 3 < states.count() <= found.rdd.getNumPartitions()  # a range may have no beginning of a line
+    assert "Coalesce 1" not in plan(states) and "REPARTITION_BY_NUM" in plan(states)
