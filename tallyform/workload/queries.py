@@ -586,10 +586,10 @@ QUOTED = "concat('\"', replace(text, ', ', '\", \"'), '\"')"
 
 @query
 def source_delimited_quoted(spark, sf_dir):
-    """Whole documents as one delimited file: line ends, separators and quotes inside of quoted values, read by ranges."""
+    """Whole documents as delimited files, one by each task that reads some: line ends, separators and quotes inside of quoted values, read by ranges."""
     path = scratch_path(spark, "quoted")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(QUOTED).alias("text"), "lang", "source", "n_chars")
-    export(docs.repartition(1), path)
+    export(docs, path)
     return readers.read_delimited(spark, path, sep=",", rest=None)
 
 
@@ -615,7 +615,7 @@ CASE WHEN source_row_index % 7 = 0 THEN concat_ws('|', cast(source_row_index AS
 def source_delimited_tabs(spark, sf_dir):
     """Tab text, its separator found from the first line, with positions."""
     path = scratch_path(spark, "tabs")
-    export(table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1), path, sep="\t")
+    export(table(spark, sf_dir, "customer").orderBy("c_custkey"), path, sep="\t")
     return readers.read_delimited(spark, path, index="pos", rest=None)
 
 

@@ -221,3 +221,16 @@ def test_ranges_of_text_are_read_by_tasks_of_their_own(spark, tmp_path, small_ra
     states = ranges.line_states(found, ";", True)
     assert 3 < states.count() <= found.rdd.getNumPartitions()  # a range may have no beginning of a line
     assert "Coalesce 1" not in plan(states) and "REPARTITION_BY_NUM" in plan(states)
+
+
+def test_quoted_text_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    docs = spark.range(30).selectExpr("id doc_id", "concat('a, ', id, '\\n') text", "'en' lang", "'s' source", "5L n_chars")
+    rows, files = written(spark, tmp_path, monkeypatch, "source_delimited_quoted", {"documents": docs})
+    assert sorted((int(r.doc_id), r.text) for r in rows) == [(n, f'"a", "{n}\n"') for n in range(30)]
+    assert len(files) > 1
+
+
+def test_positions_over_several_files(spark, tmp_path, monkeypatch):
+    rows, files = written(spark, tmp_path, monkeypatch, "source_delimited_tabs", {"customer": spark.range(30).selectExpr("29 - id c_custkey", "id c_name")})
+    assert sorted((r.pos, int(r.c_custkey), int(r.c_name)) for r in rows) == [(n, n, 29 - n) for n in range(30)]
+    assert len(files) > 1
