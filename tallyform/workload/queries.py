@@ -597,11 +597,10 @@ def source_delimited_quoted(spark, sf_dir):
 def source_delimited_ragged(spark, sf_dir):
     """Pipe text with longer, shorter and blank records."""
     path = scratch_path(spark, "ragged")
-    line = F.expr(RAGGED_LINE)
-    head = spark.sql("SELECT cast(-1 AS bigint) AS at, 'row|order_num|order_total' AS value")
-    rows = table(spark, sf_dir, "orders_src").select(F.col("source_row_index").cast("bigint").alias("at"), line.alias("value"))
-    blank = rows.filter("at % 5 = 0").select("at", F.when(F.col("at") % 2 == 0, "").otherwise(" | | ").alias("value"))
-    _as_file(head.unionByName(rows).unionByName(blank), path, "at")
+    at = F.col("source_row_index")
+    blank = F.when(at % 5 == 0, F.when(at % 2 == 0, "").otherwise(" | | "))
+    rows = table(spark, sf_dir, "orders_src").select(F.explode(F.array_compact(F.array(F.expr(RAGGED_LINE), blank))).alias("value"))
+    _as_files(rows, path, "row|order_num|order_total")
     return readers.read_delimited(spark, path)
 
 

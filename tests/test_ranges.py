@@ -230,6 +230,24 @@ def test_quoted_text_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert len(files) > 1
 
 
+ORDERS = "id o_orderkey", "id o_custkey", "'O' o_orderstatus", "1.5d o_totalprice", "timestamp'2024-01-01' o_orderdate", "'5-LOW' o_orderpriority"
+
+
+def test_ragged_text_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    orders = {"orders": spark.range(60).selectExpr(*ORDERS), "customer": spark.range(60).selectExpr("id c_custkey")}
+    rows, files = written(spark, tmp_path, monkeypatch, "source_delimited_ragged", orders)
+    assert sorted(int(r.row) for r in rows) == list(range(60))
+    assert {int(r.row) for r in rows if r.extra_fields is not None} == set(range(0, 60, 7))
+    lines = [line for f in files for line in f.read_text().splitlines()[1:]]
+    assert len(files) > 1 and sum(not line.strip(" |") for line in lines) == 12
+
+
+def test_ragged_text_of_no_rows(spark, tmp_path, monkeypatch):
+    orders = {"orders": spark.range(0).selectExpr(*ORDERS), "customer": spark.range(0).selectExpr("id c_custkey")}
+    rows, files = written(spark, tmp_path, monkeypatch, "source_delimited_ragged", orders)
+    assert rows == [] and files
+
+
 def test_positions_over_several_files(spark, tmp_path, monkeypatch):
     rows, files = written(spark, tmp_path, monkeypatch, "source_delimited_tabs", {"customer": spark.range(30).selectExpr("29 - id c_custkey", "id c_name")})
     assert sorted((r.pos, int(r.c_custkey), int(r.c_name)) for r in rows) == [(n, n, 29 - n) for n in range(30)]
