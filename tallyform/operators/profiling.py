@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import strip
@@ -22,6 +23,16 @@ def _blank(value):
     return value.isNull() | (strip(value) == "")
 
 
+#: Types whose values have a text that is never blank.
+_NEVER_BLANK = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _filled(name: str, of: T.DataType):
+    """The text of a column, null where it is blank."""
+    text = F.col(name).cast("string")
+    return text if isinstance(of, _NEVER_BLANK) else F.when(~_blank(text), text)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, index: str | None = None) -> DataFrame:
     """(column_name, position, value, count): every distinct value of every column, nulls included.
 
@@ -42,10 +53,15 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, index: str
     return long.groupBy("column_name", "position", "value").agg(*aggs)
 
 
+#: Bytes of a SHA-256.
+DIGEST_BYTES = 32
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, index: str | None = None) -> DataFrame:
     """Counts, null share, exact distinct count and pattern flags per column; a table without rows has zeros.
 
-    What a value contributes is read off before the shuffle, and every value travels as its SHA-256.
+    A value of ``DIGEST_BYTES`` bytes or more travels as its SHA-256, which is that long, with what it contributes; a shorter
+    one travels as it is, and what it contributes is read off once for all rows that have it.
     """
     names = list(columns) if columns is not None else [c for c in df.columns if c != index]
     v = F.col("value")
@@ -58,8 +74,12 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, index:
     }
     cells = F.array(*[F.struct(F.lit(i).alias("position"), column_ref(n).cast("string").alias("value")) for i, n in enumerate(names)])
     long = df.select(F.explode(cells).alias("c")).select("c.*")
-    marked = long.select("position", F.unhex(F.sha2(v, 256)).alias("digest"), *[m.alias(k) for k, m in marks.items()])
-    distinct = marked.groupBy("position", "digest", *marks).agg(F.count(F.lit(1)).alias("count"))
+    long_value = F.octet_length(v) >= DIGEST_BYTES
+    key = F.when(long_value, F.unhex(F.sha2(v, 256))).otherwise(v.cast("binary")).alias("key")
+    read = F.when(long_value, F.struct(*[F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()])).alias("read")
+    distinct = long.select("position", key, read).groupBy("position", "key", "read").agg(F.count(F.lit(1)).alias("count"))
+    distinct = distinct.withColumn("value", F.when(F.col("read").isNull(), F.col("key").cast("string")))
+    distinct = distinct.select("position", "count", *[F.when(F.col("read").isNull(), m).otherwise(F.col("read")[k]).alias(k) for k, m in marks.items()])
     n, filled = F.col("count"), F.col("filled")
     per = distinct.groupBy("position").agg(
         F.sum(n).alias("total_records"),
@@ -95,8 +115,10 @@ def distinct_sketches(df: DataFrame, columns: Sequence[str] | None = None, bits:
     """column_name, position, total_records, sketch: what a profile keeps of a column's non-blank values to count distinct
     ones later, together with those of other runs. At most 2 ** bits bytes leave a task for each column; no value does."""
     names = list(columns) if columns is not None else df.columns
-    text = [column_ref(n).cast("string") for n in names]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.hll_sketch_agg(F.when(~_blank(t), t), bits).alias(f"s{i}") for i, t in enumerate(text)])
+    # sketches take their input an expression at a time, so it is made before, in compiled code
+    texts = df.select(*[column_ref(n).alias(f"t{i}") for i, n in enumerate(names)])
+    texts = texts.select(*[_filled(f.name, f.dataType).alias(f.name) for f in texts.schema])
+    one = texts.agg(F.count(F.lit(1)).alias("n"), *[F.hll_sketch_agg(F.col(f"t{i}"), bits).alias(f"s{i}") for i in range(len(names))])
     rows = [
         F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("position"), F.col("n").alias("total_records"), F.col(f"s{i}").alias("sketch"))
         for i, n in enumerate(names)
