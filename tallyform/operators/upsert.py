@@ -2,12 +2,13 @@
 
 The batch may hold a key many times (the last row wins) and one key may hold any share of it. Rows of a key
 are therefore merged by partial aggregates before they meet, and the row-by-row outcome is worked out in
-bounded blocks (see ``ordered``). Keys are compared as trimmed text and null equals null, so a row without a key
+bounded blocks (see ``ordered``). Rows whose key the batch has once need neither and are not moved. Keys are compared as trimmed text and null equals null, so a row without a key
 has outcomes like any other; ``pipeline.execute`` sends such rows to the ledger before they get here.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -21,7 +22,7 @@ from ..functions.rules import uuid5_column
 from ..functions.text import strip
 from ..plans.spec import TargetSpec, spark_type
 from .conform import ROW_INDEX
-from .ordered import previous_in_key
+from .ordered import Repeats, previous_in_key, repeats
 
 RUN_COLUMN, TIME_COLUMN = "migration_run_id", "migrated_at"
 LINEAGE = (RUN_COLUMN, TIME_COLUMN)
@@ -76,6 +77,23 @@ class Upsert:
         fixed_columns = {*self.keys, surrogate, *LINEAGE}
         self.data_columns = [c for c in self.columns if c not in fixed_columns]
         self._k = list(key_columns(self.keys))
+        self._repeats: Repeats | None = None
+
+    def against(self, target: DataFrame) -> Upsert:
+        """The same batch into another target, or another part of it."""
+        other = copy.copy(self)
+        other.target = target
+        return other
+
+    def _rows(self) -> DataFrame:
+        """Batch rows under their trimmed key."""
+        return self.batch.withColumns(key_columns(self.keys))
+
+    def _repeated(self) -> Repeats:
+        """Keys that the batch has more than once; looked for once."""
+        if self._repeats is None:
+            self._repeats = repeats(self._rows(), self._k)
+        return self._repeats
 
     def _compared(self, df: DataFrame) -> Column:
         """The values a change is judged by, as the target's types.
@@ -99,10 +117,10 @@ class Upsert:
 
     def actions(self) -> DataFrame:
         """One row per batch row: key columns, position and ``insert``, ``update`` or ``skip``."""
-        rows = self.batch.withColumns(key_columns(self.keys)).select(
+        rows = self._rows().select(
             F.col(self.index), *self.keys, *self._k, self._compared(self.batch).alias("__now")
         )
-        seen = previous_in_key(rows, self._k, self.index, F.col("__now"), "__before", self.block_bits)
+        seen = previous_in_key(rows, self._k, self.index, F.col("__now"), "__before", self.block_bits, self._repeated())
         # a target from elsewhere may hold a key twice; one of its rows is enough to tell an outcome
         known = self._known().select(*self._k, self._compared(self.target).alias("__old"))
         known = known.groupBy(*self._k).agg(F.min("__old").alias("__old"), F.lit(True).alias("__in"))
@@ -134,7 +152,17 @@ class Upsert:
 
     def winners(self) -> DataFrame:
         """One row per key: the last row's data, the first row's surrogate key, and whether rows differed."""
-        rows = self.batch.withColumns(key_columns(self.keys))
+        alone, many = self._repeated().split(self._rows(), self._k)
+        single = None if alone is None else alone.select(
+            *self._k, F.col(self.index).alias("__first"), F.lit(False).alias("__mixed"), *self.columns
+        )
+        if many is None:
+            return single
+        merged = self._merged_keys(many)
+        return merged if single is None else single.unionByName(merged)
+
+    def _merged_keys(self, rows: DataFrame) -> DataFrame:
+        """``winners`` of rows that may all be of one key."""
         hashed = F.xxhash64(self._compared(rows))
         aggs = [
             F.max_by(F.struct(*self.columns), F.col(self.index)).alias("__row"),
@@ -209,7 +237,12 @@ class Upsert:
 def empty_target(spark, spec: TargetSpec) -> DataFrame:
     fields = [T.StructField(f.name, spark_type(f.data_type)) for f in spec.fields]
     fields += [T.StructField(c, T.StringType()) for c in LINEAGE]
-    return spark.createDataFrame([], T.StructType(fields))
+    return no_rows(spark, T.StructType(fields))
+
+
+def no_rows(spark, schema: T.StructType) -> DataFrame:
+    """An empty table that Spark knows to be empty: what is joined with it is not moved."""
+    return spark.createDataFrame([], schema).limit(0)
 
 
 # -- write-time guards --------------------------------------------------------------------------------
@@ -324,14 +357,15 @@ def guard_types(df: DataFrame, spec: TargetSpec) -> DataFrame:
 
 
 def rekey_collisions(
-    inserts: DataFrame, target: DataFrame, primary: str, keys: Sequence[str], order: str, block_bits: int = 20
+    inserts: DataFrame, target: DataFrame, primary: str, keys: Sequence[str], order: str, block_bits: int = 20,
+    known: Repeats | None = None,
 ) -> DataFrame:
     """Give rows a new primary key when theirs is taken, in the batch by an earlier row or in the target.
 
     The new key is derived from the old one and the business key, so a repeated run gives the same.
-    ``rekeyed`` tells which rows changed. A primary key shared by many rows is handled in blocks.
+    ``rekeyed`` tells which rows changed. ``known`` are the repeated primary keys, if somebody looked already. A primary key shared by many rows is handled in blocks.
     """
-    seen = previous_in_key(inserts, [primary], order, F.lit(True), "__earlier", block_bits)
+    seen = previous_in_key(inserts, [primary], order, F.lit(True), "__earlier", block_bits, known)
     taken = target.select(F.col(primary)).filter(F.col(primary).isNotNull()).distinct().withColumn("__taken", F.lit(True))
     # one row per primary key looks into the target
     first = seen.filter(~F.col("__earlier_found")).join(taken, [primary], "left")

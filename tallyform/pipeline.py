@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .operators.conform import ERRORS_TYPE, ROW_INDEX, Conformed, conform
 from .operators.constraints import RULE_TAKEN, taken_values
+from .operators.ordered import repeats
 from .operators.upsert import ConstraintError, Upsert, bucket_of, guard_not_null, guard_types, rekey_collisions
 from .plans.spec import Plan
 from .sources.scratch import stage
@@ -213,17 +214,14 @@ def prepare_batch(
     bucket = bucket_of(spec.keys(), view.buckets)
     near = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
 
-    def upsert(only: list[int]) -> Upsert:
-        return Upsert(store.target(only, view), batch, spec.keys(), run_id, at, spec.surrogate(), detect_changes)
-
-    up = upsert(near)
+    up = Upsert(store.target(near, view), batch, spec.keys(), run_id, at, spec.surrogate(), detect_changes)
     outcomes = up.actions().groupBy(bucket.alias("b"), "action").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {f"{name}_count": sum(r["n"] for r in outcomes if r["action"] == action) for name, action in OUTCOMES.items()}
     given = batch.count()
     if sum(counts.values()) != given:
         raise ConstraintError(f"{given} rows have {sum(counts.values())} outcomes in {spec.table_name}")
     changed = sorted({r["b"] for r in outcomes if r["action"] != "skip"})
-    up = upsert(changed)
+    up = up.against(store.target(changed, view))
     winners = stage(up.winners().filter(bucket.isin(changed)), "winners")
     primary = spec.surrogate()
     if primary is not None:
@@ -237,7 +235,7 @@ def _rekeyed(store: Store, view: View, up: Upsert, winners: DataFrame, primary:
     new = winners.join(known, up._k, "left_anti")
     taken = store.holders(primary, new.select(primary), view)
     texts = [k for k in up._k if k.startswith("__k")]
-    replaced = rekey_collisions(new, taken, primary, texts, "__first").filter("rekeyed")
+    replaced = rekey_collisions(new, taken, primary, texts, "__first", known=repeats(winners, [primary])).filter("rekeyed")
     fresh = stage(replaced.select(*up._k, F.col(primary).alias("__new_pk")), "rekeyed")
     if fresh.isEmpty():
         return winners

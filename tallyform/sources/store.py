@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..operators.conform import ERRORS_TYPE, ROW_INDEX
-from ..operators.upsert import LINEAGE, bucket_of, empty_target
+from ..operators.upsert import LINEAGE, bucket_of, empty_target, no_rows
 from ..plans.spec import TargetSpec
 from . import files
 
@@ -188,7 +188,7 @@ class Store:
         wanted = None if only is None else {str(b) for b in only}
         folders = [f"{self.path}/{kind}/{WRITE}={w}/{BUCKET}={b}" for b, w in writes.items() if wanted is None or b in wanted]
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
         # a bucket that was not rewritten since a column came has nulls there
         return self.spark.read.schema(schema).parquet(*folders)
 
@@ -246,7 +246,8 @@ class Store:
             kept = self._read_buckets("data", {str(b): write for b in present}, df.schema, None)
             marks = F.array(*[F.struct(F.lit(i).alias("constraint_id"), fingerprint(c).alias("fingerprint")) for i, c in places])
             marked = kept.select(bucket.alias(BUCKET), F.inline(marks)).filter(F.col("fingerprint").isNotNull())
-            marked.repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(claims)
+            # read by bucket, written by bucket: nothing has to move
+            marked.write.partitionBy(BUCKET).parquet(claims)
         given = tuple(range(view.buckets)) if touched is None else tuple(sorted(touched))
         if not set(present) <= set(given):
             raise ValueError(f"rows outside of the buckets to be written: {sorted(set(present) - set(given))}")

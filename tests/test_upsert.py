@@ -5,8 +5,11 @@ import random
 import pytest
 
 from tallyform import TargetSpec, Upsert
+from tallyform.operators import ordered
 from tallyform.operators.ordered import previous_in_key
-from tallyform.operators.upsert import ConstraintError, guard_not_null, guard_types, rekey_collisions, version_diff, violations
+from tallyform.operators.upsert import (
+    ConstraintError, empty_target, guard_not_null, guard_types, rekey_collisions, version_diff, violations,
+)
 from pyspark.sql import functions as F
 
 
@@ -80,6 +83,31 @@ def test_previous_in_key_over_blocks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [0, 3, 1 << 17])
+def test_previous_in_key_however_many_keys_repeat(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW_REPEATS", few)
+    rows = [(i, None if i % 9 == 0 else "hot" if i % 4 == 0 else "twice" if i in (5, 150) else f"k{i}", i * 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "pos long, key string, v long").repartition(7)
+    found = previous_in_key(df, ["key"], "pos", F.col("v")).collect()
+    got = {r["pos"]: (r["previous"], r["previous_found"]) for r in found}
+    last, want = {}, {}
+    for pos, key, v in rows:
+        want[pos] = (last.get(key), key in last)
+        last[key] = v
+    assert got == want and len(found) == 200
+
+
+def test_rows_of_a_first_load_are_not_moved(spark):
+    spec = TargetSpec.from_dict({"table_name": "t", "natural_key": "key", "fields": [{"name": "pk"}, {"name": "key"}, {"name": "v", "data_type": "float"}]})
+    b = spark.createDataFrame([(i, f"p{i}", f"K{i}", float(i)) for i in range(50)], "source_row_index long, pk string, key string, v double")
+    up = Upsert(empty_target(spark, spec), b, ["key"], "r1", "t1", "pk")
+    for rows in (up.actions(), up.winners(), up.merged()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(step in plan for step in ("Join", "Window", "Aggregate")), plan
+    assert tuple(up.counts().first()) == (50, 0, 0)
+    assert sorted(r["key"] for r in up.merged().collect()) == sorted(f"K{i}" for i in range(50))
+
+
 SPEC = TargetSpec.from_dict(
     {"table_name": "s", "primary_key": "id", "natural_key": "code", "fields": [
         {"name": "id", "nullable": False}, {"name": "code", "nullable": False, "constraints": {"unique": True}},
